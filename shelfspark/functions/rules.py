@@ -18,23 +18,30 @@ def lookup(key: Column, table: dict) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate an expression once and use it many times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_contained(text: Column, table) -> Column:
-    """Value of the first key (in table order) the text contains, else NULL."""
-    items = table.items() if isinstance(table, dict) else table
-    chain = None
-    for key, value in items:
-        test = text.contains(key)
-        chain = F.when(test, F.lit(value)) if chain is None else chain.when(test, F.lit(value))
-    return chain
+    """Value of the first key (in table order) the text contains, else NULL.
+
+    The table is one constant array searched in order, so that a long table
+    adds nothing to the generated code."""
+    items = list(table.items() if isinstance(table, dict) else table)
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in items])
+    return let(text, lambda t: F.get(F.filter(entries, lambda e: t.contains(e["key"])), F.lit(0))["value"])
 
 
 def first_group(text: Column, groups) -> Column:
     """Name of the first (name, words) group with a word in the text, else NULL."""
-    chain = None
-    for name, words in groups:
-        test = contains_any(text, words)
-        chain = F.when(test, F.lit(name)) if chain is None else chain.when(test, F.lit(name))
-    return chain
+    def search(t):
+        chain = None
+        for name, words in groups:
+            test = contains_any(t, words)
+            chain = F.when(test, F.lit(name)) if chain is None else chain.when(test, F.lit(name))
+        return chain
+    return let(text, search)
 
 
 def folded_table(table: dict) -> list:
@@ -82,12 +89,13 @@ def manga_audience(pegi, audience) -> Column:
 
 def age_statement(c) -> Column:
     """Audience read from an age statement by the ordered ladder; '' if none."""
-    c = text_or_empty(c)
-    lowered = F.lower(F.trim(c))
-    chain = F.when(c == "", F.lit(""))
-    for pattern, value in V.AGE_LADDER:
-        chain = chain.when(lowered.rlike("(?U)" + pattern), F.lit(value))
-    return chain.when(c.rlike("\\d"), F.trim(c)).otherwise(F.lit(""))
+    def ladder(c):
+        lowered = F.lower(c)
+        chain = F.when(c == "", F.lit(""))
+        for pattern, value in V.AGE_LADDER:
+            chain = chain.when(lowered.rlike("(?U)" + pattern), F.lit(value))
+        return chain.when(c.rlike("\\d"), c).otherwise(F.lit(""))
+    return let(F.trim(text_or_empty(c)), ladder)
 
 
 def detect_audience(code, title, collection, publisher, age) -> Column:
@@ -113,12 +121,13 @@ def detect_type(title, collection, abstract, genre, support, publisher, audience
     plain_publisher = strip_accents(F.lower(text_or_empty(publisher)))
     words = F.lower(F.concat_ws(" ", *[text_or_empty(x) for x in (
         title, collection, abstract, genre, support)]))
-    named = first_group(words, V.TYPE_WORDS)
     teen = audience.isin("Ado (12+)", "Ado", "Dès 12 ans")
+    named = let(first_group(words, V.TYPE_WORDS), lambda n: F.when(
+        (n == "Roman jeunesse") & teen, F.lit("Roman ado / YA")).otherwise(n))
     return F.coalesce(
         first_contained(plain_publisher, folded_table(V.TYPE_OF_PUBLISHER)),
         first_contained(plain_collection, folded_table(V.TYPE_OF_COLLECTION)),
-        F.when((named == "Roman jeunesse") & teen, F.lit("Roman ado / YA")).otherwise(named),
+        named,
         F.when(support.contains("texte"),
                F.when(audience.isin("Ado (12+)", "Ado"), F.lit("Roman ado / YA"))
                .otherwise(F.lit("Roman jeunesse"))),
@@ -166,15 +175,19 @@ def genre_words_found(c) -> Column:
 def rank_genres(in_title: Column, anywhere: Column) -> Column:
     """3 points per word in the title, 1 per word elsewhere; the two best
     genres, ties in table order, joined by ' / '; NULL when none scores."""
-    scores = []
-    for rank, (name, words) in enumerate(V.GENRE_WORDS):
-        listed = F.array(*[F.lit(w) for w in words])
-        titled = F.size(F.array_intersect(in_title, listed))
-        others = F.size(F.array_except(F.array_intersect(anywhere, listed), in_title))
-        scores.append(F.struct((titled * 3 + others).alias("score"), F.lit(-rank).alias("rank"),
-                               F.lit(name).alias("name")))
-    best = F.slice(F.sort_array(F.filter(F.array(*scores), lambda s: s["score"] > 0), False), 1, 2)
-    return none_if_empty(F.array_join(F.transform(best, lambda s: s["name"]), " / "))
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(-rank).alias("rank"),
+                               F.array(*[F.lit(w) for w in words]).alias("words"))
+                      for rank, (name, words) in enumerate(V.GENRE_WORDS)])
+
+    def ranked(titled, found):
+        scores = F.transform(table, lambda g: F.struct(
+            (F.size(F.array_intersect(titled, g["words"])) * 3
+             + F.size(F.array_except(F.array_intersect(found, g["words"]), titled))).alias("score"),
+            g["rank"].alias("rank"), g["name"].alias("name")))
+        best = F.slice(F.sort_array(F.filter(scores, lambda s: s["score"] > 0), False), 1, 2)
+        return none_if_empty(F.array_join(F.transform(best, lambda s: s["name"]), " / "))
+
+    return let(in_title, lambda titled: let(anywhere, lambda found: ranked(titled, found)))
 
 
 def score_genres(title, collection, abstract, subjects, kind) -> Column:
