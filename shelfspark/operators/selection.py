@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfspark.functions import rules as R
 from shelfspark.functions import vocab as V
@@ -132,7 +133,8 @@ def budget_select(cands: DataFrame, group: str, price: str, order, budget: float
         listed = _shortlist(rows, group)
         listed = listed.withColumn("_pos", F.row_number().over(Window.partitionBy(group).orderBy("_at")))
         slim = listed.select(group, F.col("_pos").cast("bigint").alias("_at"), *inner, *keys)
-        schema = slim.schema.add("_taken", "boolean").add("_stop", "bigint").add("_rest", "bigint")
+        schema = T.StructType([*slim.schema.fields, T.StructField("_taken", T.BooleanType()),
+                               T.StructField("_stop", T.LongType()), T.StructField("_rest", T.LongType())])
         judged = slim.groupBy(group).applyInPandas(lambda pdf: _fold(pdf, keys), schema)
         verdict = judged.select(group, F.col("_at").alias("_pos"), "_taken", "_stop", "_rest")
         return listed.join(verdict, [group, "_pos"])
