@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import rules as R
 from shelfspark.functions import vocab as V
-from shelfspark.functions.text import (
-    filled, fold_text, has_ean, pub_year, series_key, shelf_zone, token_jaccard, yyyymmdd,
-)
+from shelfspark.functions.text import filled, fold_text, has_ean, pub_year, shelf_zone, yyyymmdd
 from shelfspark.operators import audit, filters, footfall, holdings, matching, merging, selection
 from shelfspark.operators import stocktake, suggestions, weeding
-from shelfspark.operators.keyed import attach_by_key, first_per_key, last_per_key
+from shelfspark.operators.keyed import first_per_key, last_per_key
+from shelfspark.session import materialise
 from shelfspark.sinks import exports
-from shelfspark.sources import files, marc, pages
+from shelfspark.sources import marc, pages
 
 # How a catalogue import treats the columns of a known title.
 NEW_WINS = ("title", "series", "volume", "publisher", "published")
@@ -29,16 +28,18 @@ def catalogue_import(records: DataFrame, titles: DataFrame, copies: DataFrame, s
 
     First record per identifier wins within the file; series and publishers
     take their majority spelling over both tables; the three merge policies
-    apply; audience, category and genre are then harmonised within series."""
+    apply; audience, category and genre are then harmonised within series.
+    Each step reads its input several times, so its result is written to the
+    shared folder before the next one."""
     incoming = marc.marc_to_titles(records, site, subject_scheme).where(F.col("identifier").isNotNull())
-    incoming = first_per_key(incoming, ["identifier"], ["record_id"])
+    incoming = materialise(first_per_key(incoming, ["identifier"], ["record_id"]), "incoming")
     merged_forms = {}
     for column in ("series", "publisher"):
-        merged_forms[column] = audit.majority_form(titles, incoming, column)
-        incoming = audit.apply_majority(incoming, merged_forms[column], column)
-    merged = merging.coalesce_merge(titles, incoming, "identifier", NEW_WINS, OLD_WINS, FROZEN)
+        merged_forms[column] = materialise(audit.majority_form(titles, incoming, column), "forms")
+        incoming = materialise(audit.apply_majority(incoming, merged_forms[column], column), "incoming")
+    merged = materialise(merging.coalesce_merge(titles, incoming, "identifier", NEW_WINS, OLD_WINS, FROZEN), "merged")
     for column in ("audience", "category", "genre"):
-        merged = audit.harmonise_by_group(merged, "series", column).drop("changed")
+        merged = materialise(audit.harmonise_by_group(merged, "series", column).drop("changed"), "merged")
     merged = audit.apply_majority(merged, merged_forms["publisher"], "publisher")
 
     found = marc.marc_to_copies(records, site).withColumn("barcode", F.trim("barcode"))
@@ -88,10 +89,12 @@ def enrichment(titles: DataFrame, cands: DataFrame, when: str, n: int | None = N
     mine = cands.join(waiting.select("identifier"), "identifier", "left_semi")
     asked = merging.early_stop_prefix(mine, "identifier", "title", "priority",
                                       [f for f in V.STOP_FIELDS if f != "illustrator"], optional="illustrator")
+    # read by the vote, the fusion and each fallback: written once
+    asked = materialise(asked, "asked")
     voted = merging.title_vote(asked, "identifier", "title", "priority").select(
         "identifier", F.col("title").alias("_title"))
     fused = merging.fuse_records(asked, "identifier", "priority", "source", V.KEY_FIELDS, V.FILL_FIELDS)
-    fused = fused.join(voted, "identifier").withColumn("title", F.col("_title")).drop("_title")
+    fused = materialise(fused.join(voted, "identifier").withColumn("title", F.col("_title")).drop("_title"), "fused")
     done = merging.fallback_cascade(fused, asked, "identifier", "priority", corrections)
     done = done.withColumn("genre", R.canonical_genre("genre")["value"])
     return merging.apply_enrichment(
