@@ -130,7 +130,7 @@ def _first_guess(cands: DataFrame, key, order, name: str, guess: Column) -> Data
             .select(key, F.col("_m.g").alias(name)))
 
 
-AGE_IN_TEXT = r"(?i)(\d+)\s*[àa]\s*\d+\s*ans?|dès\s*(\d+)\s*ans?|à partir de\s*(\d+)"
+AGE_IN_TEXT = r"(?iU)(\d+)\s*[àa]\s*\d+\s*ans?|dès\s*(\d+)\s*ans?|à partir de\s*(\d+)"
 
 
 def fallback_cascade(fused: DataFrame, cands: DataFrame, key, priority,

@@ -51,14 +51,24 @@ def marc_copies(t):
     return marc.marc_to_copies(parsed(t), derive.SITE).select("identifier", "barcode", "shelfmark", "audience", "support", "entered")
 
 
-@query("catalogue_import")
+TITLES = """select case when p_size % 4 <> 0 then '978' || lpad(p_partkey::varchar, 10, '0') else 'CB:A' || p_partkey end as identifier,
+ p_name as title, case when p_size % 5 = 0 then p_name when p_size % 5 = 1 then 'Série' end as series,
+ case when p_size % 5 = 0 then p_size::varchar when p_size % 5 = 1 and p_size % 2 = 0 then '4' end as volume, p_brand as author,
+ p_type || '.' as publisher, case when p_size % 2 = 0 then 'BD' end as category, case when p_size % 2 = 1 then 'Policier' end as genre,
+ 'Jeunesse' as audience, p_partkey, p_size from part"""
+
+
+@query("catalogue_import", f"""
+with t as ({TITLES}) select identifier, title, series, volume, author, publisher, category, genre, audience,
+  case when p_size % 3 = 0 then 'inserted' else 'updated' end as merge_action from t""")
 def catalogue_import(t):
     """Records of all parts merged into a catalogue made of the records of two
-    thirds of them; checked in the tests."""
+    thirds of them."""
     have = parsed(t, t.part.where(F.col("p_size") % 3 != 0))
     titles = marc.marc_to_titles(have, derive.SITE, derive.SCHEME).drop("record_id")
     copies = marc.marc_to_copies(have, derive.SITE).drop("record_id", "copy_pos")
-    return jobs.catalogue_import(parsed(t), titles, copies, derive.SITE, derive.SCHEME)["titles"]
+    merged = jobs.catalogue_import(parsed(t), titles, copies, derive.SITE, derive.SCHEME)["titles"]
+    return merged.select("identifier", "title", "series", "volume", "author", "publisher", "category", "genre", "audience", "merge_action")
 
 
 # --- pages ------------------------------------------------------------------------------------------
@@ -373,7 +383,10 @@ def acquisition_signals(t):
     return jobs.acquisition_signals(catalogue(t), copies, 2026)["category_rotation"]
 
 
-@query("loans_import")
+@query("loans_import", """
+with c as (select l_partkey, count(*) as n from lineitem group by 1), h as (select c.*, p_size % 4 <> 0 as held from c join part on p_partkey = l_partkey)
+select reason, sum(n)::bigint as rows from (select case when held then 'updated' else 'out_of_scope' end as reason, 1 as n from h
+  union all select 'duplicate_in_file', n - 1 from h where n > 1) group by 1""")
 def loans_import(t):
     rows = t.lineitem.select(
         F.concat(F.lit("978"), F.lpad(F.col("l_partkey").cast("string"), 10, "0")).alias("raw_code"),
@@ -430,7 +443,11 @@ def display_feed(t):
     return jobs.display_feed(titles, copies, statuses, "2026-08-05", "https://c/{}.jpg").agg(F.count(F.lit(1)).alias("slides"))
 
 
-@query("watch_lists")
+@query("watch_lists", """
+with k as (select '978' || lpad(p_partkey::varchar, 10, '0') as isbn, p_name || case when p_size % 2 = 0 then ' Tome ' || p_size else '' end as title,
+             p_brand as author from part where p_size >= 25 and p_size <> 30),
+ f as (select *, row_number() over (partition by lower(title) order by isbn) as r from k where lower(title) not in (select lower(p_name) from part where p_size = 30))
+select title, author, isbn, 'Sélection de libraires : Prix' as motive, 'À classer' as category, 'Tout public' as audience from f where r = 1""")
 def watch_lists(t):
     """One list page per part linking to products; products of small parts are
     already held."""
@@ -439,4 +456,5 @@ def watch_lists(t):
     products = derive.product_pages(t.part).select(code.alias("code"), "html")
     held = t.part.where(F.col("p_size") < 25).select(code.alias("identifier"))
     stored = t.part.where(F.col("p_size") == 30).select(F.col("p_name").alias("title"), code.alias("isbn"))
-    return jobs.watch_lists(list_pages, products, held, stored, "La Librairie", "Veille libraires")
+    out = jobs.watch_lists(list_pages, products, held, stored, "La Librairie", "Veille libraires")
+    return out.select("title", "author", "isbn", "motive", "category", "audience")

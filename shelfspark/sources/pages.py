@@ -154,7 +154,7 @@ def _labelled(html: Column, words) -> Column:
     """Value following a label in the page, tags between them skipped."""
     names = "|".join(words)
     return none_if_empty(F.trim(F.regexp_extract(
-        html, f"(?is)(?:{names})[^<:]{{0,40}}(?::\\s*|\\s*(?:</?[^>]+>\\s*)+:?\\s*(?:<[^>]+>\\s*)*)([^<]+)", 1)))
+        html, f"(?isU)(?:{names})[^<:]{{0,40}}(?::\\s*|\\s*(?:</?[^>]+>\\s*)+:?\\s*(?:<[^>]+>\\s*)*)([^<]+)", 1)))
 
 
 def _marked(html: Column, prop: str) -> Column:

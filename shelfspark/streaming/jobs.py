@@ -26,7 +26,7 @@ def hourly_windows(stream: DataFrame, ts, entries, lateness: str = "7 days") ->
     return (stream.where(F.col(entries) > 0).withWatermark(ts, lateness)
             .groupBy(F.window(ts, "1 hour").alias("slot"))
             .agg(F.sum(entries).alias("all_entries"),
-                 F.sum(F.when(footfall.is_open(F.col("slot.start")), F.col(entries))).alias("open_entries")))
+                 F.sum(F.when(footfall.is_open(F.col(ts)), F.col(entries))).alias("open_entries")))
 
 
 def stream_footfall(stream: DataFrame, ts, entries, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
