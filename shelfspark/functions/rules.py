@@ -149,27 +149,23 @@ def detect_pegi(kind, audience, text) -> Column:
         F.lit("")))
 
 
-def _keyword_pattern(words) -> str:
-    """Every listed word starting at each position, each as a whole word."""
-    return "(?U)\\b(?=(" + "|".join("\\Q" + w + "\\E" for w in words) + ")\\b)"
-
-
 def genre_words_found(c) -> Column:
     """Distinct genre words present in the text as whole words.
 
-    Two scans: plain words in one alternation, expressions (with blanks or
-    hyphens) in a second, so the text is not searched once per genre.
-    """
-    plain, expressions = [], []
-    for _, words in V.GENRE_WORDS:
-        for word in words:
-            target = plain if word.isalnum() else expressions
-            if word not in target:
-                target.append(word)
-    lowered = F.lower(text_or_empty(c))
-    return F.array_union(
-        F.regexp_extract_all(lowered, F.lit(_keyword_pattern(plain)), 1),
-        F.regexp_extract_all(lowered, F.lit(_keyword_pattern(expressions)), 1))
+    Plain words are met by intersecting the words of the text with the list;
+    the few expressions (with blanks, hyphens) by a substring search whose hits
+    are then checked for whole words.  The text is cut once, not per genre."""
+    listed = list(dict.fromkeys(w for _, words in V.GENRE_WORDS for w in words))
+    plain = F.array(*[F.lit(w) for w in listed if w.isalnum()])
+    expressions = F.array(*[F.lit(w) for w in listed if not w.isalnum()])
+    edge = "[^\\p{L}\\p{N}_]"
+
+    def search(text):
+        whole = lambda e: F.rlike(text, F.concat(F.lit(f"(^|{edge})\\Q"), e, F.lit(f"\\E({edge}|$)")))
+        return F.array_union(
+            F.array_intersect(F.split(text, edge + "+"), plain),
+            F.filter(expressions, lambda e: text.contains(e) & whole(e)))
+    return let(F.lower(text_or_empty(c)), search)
 
 
 def rank_genres(in_title: Column, anywhere: Column) -> Column:

@@ -23,6 +23,15 @@ def row_salt(columns, slices: int = SPREAD) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(slices)).cast("int")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row work on an input of few splits.
+
+    An input with at least as many splits as cores, as any large one has, is
+    left alone; only a small one is redistributed."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded_broadcast(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """Broadcast hint only if the frame is counted to hold at most ``limit`` rows;
     beyond that Spark's own shuffle join is left to work."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.text import (
     col, filled, fold_text, jaccard_of, leading_int, overlap_of, title_author_key, tokens,
 )
-from shelfspark.operators.keyed import attach_by_key, bounded_broadcast, first_per_key, top_per_key
+from shelfspark.operators.keyed import attach_by_key, bounded_broadcast, first_per_key, spread, top_per_key
 from shelfspark.session import materialise
 
 
@@ -34,9 +34,13 @@ def present_by_title(candidates: DataFrame, title, holdings: DataFrame, held_tit
 
 
 def _by_title(candidates, title, holdings, held_title, how):
-    # Texts can be long: the folded form travels as its 256-bit digest.
-    held = (holdings.select(F.sha2(fold_text(held_title), 256).alias("_t")).distinct())
-    return (candidates.where(fold_text(title) != "").withColumn("_t", F.sha2(fold_text(title), 256))
+    # Texts can be long: the folded form travels as its 256-bit digest.  The
+    # empty form is treated in the key set, so no text is folded twice.
+    nothing = candidates.sparkSession.range(1).select(F.sha2(F.lit(""), 256).alias("_t"))
+    held = spread(holdings).select(F.sha2(fold_text(held_title), 256).alias("_t")).distinct()
+    held = (held.unionByName(nothing) if how == "left_anti"
+            else held.where(F.col("_t") != F.sha2(F.lit(""), 256)))
+    return (spread(candidates).withColumn("_t", F.sha2(fold_text(title), 256))
             .join(held, "_t", how).drop("_t"))
 
 
@@ -122,22 +126,28 @@ def regretted_withdrawals(withdrawn: DataFrame, requests: DataFrame, isbn, title
 
 # --- similarity --------------------------------------------------------------------------
 
+COMMON_WORDS = 2000   # most frequent words put last in every word set
+
+
 def _token_sets(df: DataFrame, key, text, punct) -> DataFrame:
-    """One row per distinct word set: digest, words, number of words, copies."""
+    """Key, words and digest of the word set of each text that has any."""
     words = F.array_sort(tokens(text, punct))
-    sets = df.select(F.col(key).alias("_id"), words.alias("words")).where(F.size("words") > 0)
-    return sets.withColumn("set_key", F.sha2(F.array_join("words", " "), 256))
+    sets = spread(df.select(F.col(key).alias("_id"), text)).select("_id", words.alias("words"))
+    return (sets.where(F.size("words") > 0)
+            .withColumn("set_key", F.sha2(F.array_join("words", " "), 256)))
+
 
+def _prefixes(sets: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
+    """(set_key, n, word) of the words a set is found by: the first
+    n - ceil(threshold * n) + 1 of its n words, frequent ones last.
 
-def _prefix(words: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
-    """The rarest words of each set, enough that two sets reaching the threshold
-    share at least one: n - ceil(threshold * n) + 1 of n words."""
-    ranked = attach_by_key(words, frequency, "word", "freq")
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
-    listed = (ranked.groupBy("set_key", "n")
-              .agg(F.array_sort(F.collect_list(F.struct("freq", "word"))).alias("_w")))
-    return listed.select("set_key", "n", F.explode(F.slice("_w", F.lit(1), keep.cast("int"))).alias("_w")) \
-        .select("set_key", "n", "_w.word")
+    Two sets reaching the threshold share at least one such word, whatever the
+    (common) order; frequent words last keeps the groups per word small."""
+    with_common = sets.withColumn("_one", F.lit(1)).join(F.broadcast(common), "_one")
+    ordered = F.concat(F.array_except("words", "common"), F.array_intersect("common", "words"))
+    keep = F.size("words") - F.ceil(F.lit(threshold) * F.size("words")).cast("int") + 1
+    return with_common.select("set_key", F.size("words").alias("n"),
+                              F.explode(F.slice(ordered, F.lit(1), keep)).alias("word"))
 
 
 def fuzzy_title_match(left: DataFrame, left_key, left_text, right: DataFrame, right_key, right_text,
@@ -146,28 +156,27 @@ def fuzzy_title_match(left: DataFrame, left_key, left_text, right: DataFrame, ri
 
     ``jaccard``: common over all words; ``overlap``: common over the longer
     count.  Exact and without comparing all pairs: equal word sets are handled
-    once, and two sets meet only through one of their rarest words (prefix
-    filtering; any pair reaching the threshold shares such a word) and when
-    their sizes allow the score.  Ties go to the smallest right key.
+    once, and two sets meet only through one of their least frequent words
+    (prefix filtering) and when their sizes allow the score.  Ties go to the
+    smallest right key.
     """
     punct, score_of = ("drop", jaccard_of) if method == "jaccard" else ("space", overlap_of)
-    lefts, rights = (_token_sets(left, left_key, left_text, punct),
-                     _token_sets(right, right_key, right_text, punct))
-    left_sets = lefts.groupBy("set_key").agg(F.first("words").alias("words"),
-                                             F.count(F.lit(1)).alias("copies"))
-    right_sets = rights.groupBy("set_key").agg(F.first("words").alias("words"),
-                                               F.min("_id").alias("right_id"))
     # Folding and splitting whole texts is the costly part and both sides are
     # read several times below: done once, kept in the shared folder.
-    left_sets, right_sets = materialise(left_sets, "sets"), materialise(right_sets, "sets")
-    exploded = [s.select("set_key", F.size("words").alias("n"), F.explode("words").alias("word"))
-                for s in (left_sets, right_sets)]
-    frequency = (exploded[0].select("word").unionByName(exploded[1].select("word"))
-                 .groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
-    a = _prefix(exploded[0], frequency, threshold).select(
-        F.col("set_key").alias("a"), F.col("n").alias("n_a"), "word")
-    b = _prefix(exploded[1], frequency, threshold).select(
-        F.col("set_key").alias("b"), F.col("n").alias("n_b"), "word")
+    lefts = materialise(_token_sets(left, left_key, left_text, punct), "words")
+    rights = materialise(_token_sets(right, right_key, right_text, punct), "words")
+    left_sets = lefts.groupBy("set_key").agg(F.first("words").alias("words"))
+    right_sets = rights.groupBy("set_key").agg(F.first("words").alias("words"), F.min("_id").alias("right_id"))
+    copies = lefts.groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"))
+    # A fixed number of words, least frequent first, in one row.
+    counted = (lefts.select(F.explode("words").alias("word")).unionByName(rights.select(F.explode("words").alias("word")))
+               .groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
+    common = (counted.orderBy(F.col("freq").desc(), "word").limit(COMMON_WORDS)
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("freq", "word"))), lambda w: w["word"]).alias("common"))
+              .withColumn("_one", F.lit(1)))
+    common = materialise(common, "common")
+    a = _prefixes(left_sets, common, threshold).select(F.col("set_key").alias("a"), F.col("n").alias("n_a"), "word")
+    b = _prefixes(right_sets, common, threshold).select(F.col("set_key").alias("b"), F.col("n").alias("n_b"), "word")
     near = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
     pairs = a.join(b, "word").where(near).select("a", "b").distinct()
     scored = (pairs.join(left_sets.select(F.col("set_key").alias("a"), F.col("words").alias("wa")), "a")
@@ -175,8 +184,7 @@ def fuzzy_title_match(left: DataFrame, left_key, left_text, right: DataFrame, ri
               .select("a", "right_id", score_of(F.col("wa"), F.col("wb")).alias("score"))
               .where(F.col("score") >= threshold))
     best = first_per_key(scored, ["a"], [F.col("score").desc(), "right_id"])
-    best = (best.join(left_sets.select(F.col("set_key").alias("a"), "copies"), "a")
-            .select(F.col("a").alias("set_key"), "right_id", "score", "copies"))
+    best = best.withColumnRenamed("a", "set_key").join(copies, "set_key")
     return (attach_by_key(lefts.select("_id", "set_key"), best, "set_key", "copies")
             .where(F.col("right_id").isNotNull())
             .select(F.col("_id").alias("left_id"), "right_id", "score"))

@@ -129,27 +129,32 @@ def regretted_withdrawals(t):
 # --- similarity -------------------------------------------------------------------------------------
 
 def fuzzy_sql(pattern, score, threshold):
-    def words(table, key):
-        return (f"select {key} as id, list_filter(list_distinct(string_split(regexp_replace(lower(strip_accents(text)), "
-                f"{pattern}, 'g'), ' ')), lambda w: w <> '') as w from {table}")
     return f"""
-with a as ({words('documents', 'doc_id')}), b as ({words('benchmark', 'item_id')}),
- s as (select a.id as left_id, b.id as right_id, {score} as score from a, b where len(a.w) > 0 and len(b.w) > 0),
+with w as (select doc_id, source, list_filter(list_distinct(string_split(regexp_replace(lower(strip_accents(text)), {pattern}, 'g'), ' ')), lambda w: w <> '') as w from documents),
+ u as (select doc_id, source < 'src15' as is_left, len(w) as n, unnest(w) as word from w),
+ c as (select a.doc_id as left_id, b.doc_id as right_id, a.n as na, b.n as nb, count(*) as k from u a join u b on a.word = b.word
+       where a.is_left and not b.is_left group by all),
+ s as (select left_id, right_id, {score} as score from c),
  r as (select *, row_number() over (partition by left_id order by score desc, right_id) as r from s where score >= {threshold})
 select left_id, right_id, round(score, 6)::double as score from r where r = 1"""
 
 
-@query("fuzzy_match_jaccard", fuzzy_sql(
-    "'[^a-z0-9 ]', ''", "len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))", 0.2))
+def two_sources(t):
+    docs = t.documents.select("doc_id", "text", "source")
+    return docs.where(F.col("source") < "src15"), docs.where(F.col("source") >= "src15")
+
+
+@query("fuzzy_match_jaccard", fuzzy_sql("'[^a-z0-9 ]', ''", "k / (na + nb - k)", 0.6))
 def fuzzy_match_jaccard(t):
-    out = matching.fuzzy_title_match(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", 0.2, "jaccard")
+    left, right = two_sources(t)
+    out = matching.fuzzy_title_match(left, "doc_id", "text", right, "doc_id", "text", 0.6, "jaccard")
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("fuzzy_match_overlap", fuzzy_sql(
-    "'[^a-z0-9]+', ' '", "len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w))", 0.3))
+@query("fuzzy_match_overlap", fuzzy_sql("'[^a-z0-9]+', ' '", "k / greatest(na, nb)", 0.5))
 def fuzzy_match_overlap(t):
-    out = matching.fuzzy_title_match(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", 0.3, "overlap")
+    left, right = two_sources(t)
+    out = matching.fuzzy_title_match(left, "doc_id", "text", right, "doc_id", "text", 0.5, "overlap")
     return out.withColumn("score", F.round("score", 6))
 
 

@@ -445,9 +445,9 @@ def display_feed(t):
 
 @query("watch_lists", """
 with k as (select '978' || lpad(p_partkey::varchar, 10, '0') as isbn, p_name || case when p_size % 2 = 0 then ' Tome ' || p_size else '' end as title,
-             p_brand as author from part where p_size >= 25 and p_size <> 30),
+             p_brand as author, case when p_size % 2 = 0 then ' — série ' || p_name || ' t.' || p_size else '' end as tail from part where p_size >= 25 and p_size <> 30),
  f as (select *, row_number() over (partition by lower(title) order by isbn) as r from k where lower(title) not in (select lower(p_name) from part where p_size = 30))
-select title, author, isbn, 'Sélection de libraires : Prix' as motive, 'À classer' as category, 'Tout public' as audience from f where r = 1""")
+select title, author, isbn, 'Sélection de libraires : Prix' || tail as motive, 'À classer' as category, 'Tout public' as audience from f where r = 1""")
 def watch_lists(t):
     """One list page per part linking to products; products of small parts are
     already held."""

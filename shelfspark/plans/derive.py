@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.functions.rules import let
+
 SUB, END, RECORD = "\x1f", "\x1e", "\x1d"
 
 
@@ -22,19 +24,23 @@ def field(*subs: Column) -> Column:
 
 def iso2709(fields: list[tuple[str, Column]]) -> Column:
     """One record; a NULL field is absent."""
-    directory, data = [], []
-    start = F.lit(0)
-    for tag, content in fields:
-        size = F.octet_length(content) + 1
-        entry = F.concat(F.lit(tag), F.lpad(size.cast("string"), 4, "0"), F.lpad(start.cast("string"), 5, "0"))
-        directory.append(F.coalesce(entry, F.lit("")))
-        data.append(F.coalesce(F.concat(content, F.lit(END)), F.lit("")))
-        start = start + F.coalesce(size, F.lit(0))
-    listing, body = F.concat(*directory), F.concat(*data)
-    base = F.length(listing) + 25
-    total = base + F.octet_length(body) + 1
-    leader = F.concat(F.lpad(total.cast("string"), 5, "0"), F.lit("nam0 22"), F.lpad(base.cast("string"), 5, "0"), F.lit("   450 "))
-    return F.concat(leader, listing, F.lit(END), body)
+    given = F.filter(F.array(*[F.struct(F.lit(tag).alias("tag"), content.alias("content")) for tag, content in fields]),
+                     lambda f: f["content"].isNotNull())
+
+    def build(present):
+        def size(f):
+            return F.octet_length(f["content"]) + 1
+
+        def entry(f, i):
+            start = F.aggregate(F.slice(present, F.lit(1), i), F.lit(0), lambda total, g: total + size(g))
+            return F.concat(f["tag"], F.lpad(size(f).cast("string"), 4, "0"), F.lpad(start.cast("string"), 5, "0"))
+        listing = F.array_join(F.transform(present, entry), "")
+        body = F.array_join(F.transform(present, lambda f: F.concat(f["content"], F.lit(END))), "")
+        base = F.size(present) * 12 + 25
+        total = base + F.octet_length(body) + 1
+        return F.concat(F.lpad(total.cast("string"), 5, "0"), F.lit("nam0 22"), F.lpad(base.cast("string"), 5, "0"),
+                        F.lit("   450 "), listing, F.lit(END), body)
+    return let(given, build)
 
 
 SITE, SCHEME = "Site A", "Centre d'intérêt"

@@ -165,7 +165,10 @@ def watch_lists(list_pages: DataFrame, product_pages: DataFrame, holdings_codes:
     fresh = matching.absent_by_id(credited, "code", (holdings_codes, "identifier"), (stored, "isbn"))
     read = pages.parse_product_title(product_pages, "html", site)
     feed = (fresh.join(read.drop("html"), "code")
-            .withColumn("motive", F.concat(F.lit("Sélection de libraires : "), F.col("name")))
+            .withColumn("motive", F.concat(
+                F.lit("Sélection de libraires : "), F.col("name"),
+                F.when(filled("series"), F.concat(F.lit(" — série "), F.col("series"), F.when(filled("volume"), F.concat(
+                    F.lit(" t."), F.col("volume"))).otherwise(""))).otherwise("")))
             .withColumnRenamed("code", "isbn"))
     return suggestions.suggestion_rows(feed, stored, "title", "isbn", source)
 
