@@ -126,28 +126,31 @@ def regretted_withdrawals(withdrawn: DataFrame, requests: DataFrame, isbn, title
 
 # --- similarity --------------------------------------------------------------------------
 
-COMMON_WORDS = 2000   # most frequent words put last in every word set
-
-
 def _token_sets(df: DataFrame, key, text, punct) -> DataFrame:
     """Key, words and digest of the word set of each text that has any."""
-    words = F.array_sort(tokens(text, punct))
+    words = F.sort_array(tokens(text, punct))
     sets = spread(df.select(F.col(key).alias("_id"), text)).select("_id", words.alias("words"))
     return (sets.where(F.size("words") > 0)
             .withColumn("set_key", F.sha2(F.array_join("words", " "), 256)))
 
 
-def _prefixes(sets: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
-    """(set_key, n, word) of the words a set is found by: the first
-    n - ceil(threshold * n) + 1 of its n words, frequent ones last.
+def _prefixes(words: DataFrame, threshold: float) -> DataFrame:
+    """(side, set_key, word, n, place) of the words a set is found by: the first
+    n - ceil(threshold * n) + 1 of its n words, in the order of the number of
+    pairs they would bring (left sets times right sets holding the word).
 
-    Two sets reaching the threshold share at least one such word, whatever the
-    (common) order; frequent words last keeps the groups per word small."""
-    with_common = sets.withColumn("_one", F.lit(1)).join(F.broadcast(common), "_one")
-    ordered = F.concat(F.array_except("words", "common"), F.array_intersect("common", "words"))
-    keep = F.size("words") - F.ceil(F.lit(threshold) * F.size("words")).cast("int") + 1
-    return with_common.select("set_key", F.size("words").alias("n"),
-                              F.explode(F.slice(ordered, F.lit(1), keep)).alias("word"))
+    Two sets reaching the threshold share at least one of these words, whatever
+    the common order; this order makes the groups per word as small as can be,
+    and words of one side only, which come first, bring none at all."""
+    cost = words.groupBy("word").agg(
+        (F.sum(1 - F.col("side")) * F.sum("side")).alias("cost"), F.count(F.lit(1)).alias("freq"))
+    ranked = attach_by_key(words, cost, "word", "freq")
+    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1
+    kept = (ranked.groupBy("side", "set_key", "n")
+            .agg(F.sort_array(F.collect_list(F.struct("cost", "word"))).alias("_w"))
+            .select("side", "set_key", "n", F.posexplode(F.slice("_w", F.lit(1), keep)).alias("place", "_w")))
+    return kept.where(F.col("_w.cost") > 0).select(
+        "side", "set_key", F.col("_w.word").alias("word"), "n", "place")
 
 
 def fuzzy_title_match(left: DataFrame, left_key, left_text, right: DataFrame, right_key, right_text,
@@ -168,17 +171,19 @@ def fuzzy_title_match(left: DataFrame, left_key, left_text, right: DataFrame, ri
     left_sets = lefts.groupBy("set_key").agg(F.first("words").alias("words"))
     right_sets = rights.groupBy("set_key").agg(F.first("words").alias("words"), F.min("_id").alias("right_id"))
     copies = lefts.groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"))
-    # A fixed number of words, least frequent first, in one row.
-    counted = (lefts.select(F.explode("words").alias("word")).unionByName(rights.select(F.explode("words").alias("word")))
-               .groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
-    common = (counted.orderBy(F.col("freq").desc(), "word").limit(COMMON_WORDS)
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("freq", "word"))), lambda w: w["word"]).alias("common"))
-              .withColumn("_one", F.lit(1)))
-    common = materialise(common, "common")
-    a = _prefixes(left_sets, common, threshold).select(F.col("set_key").alias("a"), F.col("n").alias("n_a"), "word")
-    b = _prefixes(right_sets, common, threshold).select(F.col("set_key").alias("b"), F.col("n").alias("n_b"), "word")
-    near = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
-    pairs = a.join(b, "word").where(near).select("a", "b").distinct()
+    words = [sets.select(F.lit(side).alias("side"), "set_key", F.size("words").alias("n"), F.explode("words").alias("word"))
+             for side, sets in enumerate((left_sets, right_sets))]
+    found_by = materialise(_prefixes(words[0].unionByName(words[1]), threshold), "prefixes")
+    a, b = [found_by.where(F.col("side") == side).select(
+        F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"at_{x}"), "word")
+        for side, x in enumerate("ab")]
+    # Words before the first shared one are not shared: the words still to come
+    # bound what two sets can share, and that must reach the wanted score.
+    reachable = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
+    both = F.col("n_a") + F.col("n_b")
+    needed = (both * (threshold / (1 + threshold)) if method == "jaccard"
+              else F.greatest("n_a", "n_b") * threshold)
+    pairs = a.join(b, "word").where(reachable >= needed - 1e-6).select("a", "b").distinct()
     scored = (pairs.join(left_sets.select(F.col("set_key").alias("a"), F.col("words").alias("wa")), "a")
               .join(right_sets.select(F.col("set_key").alias("b"), F.col("words").alias("wb"), "right_id"), "b")
               .select("a", "right_id", score_of(F.col("wa"), F.col("wb")).alias("score"))
