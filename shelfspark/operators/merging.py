@@ -147,6 +147,9 @@ def fallback_cascade(fused: DataFrame, cands: DataFrame, key, priority,
     stated = F.regexp_extract(texts, AGE_IN_TEXT, 0)
     order = F.struct((-sum((filled(F.col(f).cast("string")).cast("int") for f in V.KEY_FIELDS),
                            F.lit(0))).alias("miss"), F.col(priority).alias("prio"))
+    # candidates are looked at in the order of the fusion: completest first
+    cands = cands.withColumn("_ord", order)
+    order = F.col("_ord")
     nothing = F.lit("")
 
     out = fused
@@ -163,8 +166,7 @@ def fallback_cascade(fused: DataFrame, cands: DataFrame, key, priority,
         "_aud", by_type, F.lit("Jeunesse"))).drop("_aud")
 
     out = out.join(_first_guess(
-        cands.drop("audience").join(out.select(key, "audience"), key), key,
-        F.struct(F.col(priority)), "_typ", R.detect_type(
+        cands.drop("audience").join(out.select(key, "audience"), key), key, order, "_typ", R.detect_type(
             "title", "collection", "abstract", nothing, nothing, "publisher", "audience")), key, "left")
     by_audience = (F.when(F.col("audience") == "Dès 3 ans", "Album")
                    .when(F.col("audience") == "Dès 6 ans", "Première lecture")
@@ -175,7 +177,7 @@ def fallback_cascade(fused: DataFrame, cands: DataFrame, key, priority,
         "_typ", by_audience, F.lit("Roman jeunesse"))).drop("_typ")
 
     out = out.join(_first_guess(
-        cands.drop("type").join(out.select(key, "type"), key), key, F.struct(F.col(priority)), "_gen",
+        cands.drop("type").join(out.select(key, "type"), key), key, order, "_gen",
         R.score_genres("title", "collection", "abstract", nothing, "type")), key, "left")
     out = out.withColumn("genre", F.coalesce(
         none_if_empty(text_or_empty("genre")), "_gen",
