@@ -201,7 +201,7 @@ def similar_items(items: DataFrame, key, words: Column, probes: DataFrame, probe
 
     Items with equal word sets are handled as one set holding its k + 1
     smallest keys, so a group of copies never produces all its pairs."""
-    tagged = items.withColumn("_words", F.array_sort(F.array_distinct(words)))
+    tagged = items.withColumn("_words", F.sort_array(F.array_distinct(words)))
     pool = tagged if available is None else tagged.where(available)
     members = top_per_key(pool.select(F.col(key).alias("_id"), F.array_join("_words", " ").alias("set_key"),
                                       "_words"), ["set_key"], ["_id"], k + 1)

@@ -379,13 +379,15 @@ select l_orderkey, max(case when role = 1 then 'S' || (k % 100000) end) as autho
        max(case when role = 2 then 'S' || (k % 100000) end) as illustrator,
        coalesce(max(case when role = 1 then 'S' || (k % 100000) end), 'S' || (min(k) % 100000)) as shown from first group by 1""")
 def record_roles(t):
-    """Lines of an order as contributors; an order has at most a few lines."""
+    """Lines of an order as contributors.  Only the first of each role can be
+    named, so an order is cut to one contributor per role before the array."""
     line = F.col("l_linenumber")
     role = F.when(line % 3 == 1, "070").when(line % 3 == 2, "440").otherwise("730")
-    people = t.lineitem.select("l_orderkey", F.struct(
+    people = t.lineitem.select("l_orderkey", role.alias("role"), F.struct(
         (line * 100000 + F.col("l_suppkey")).alias("k"), role.alias("role"),
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("name")).alias("p"))
-    df = people.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("p")).alias("people"))
+    firsts = people.groupBy("l_orderkey", "role").agg(F.min("p").alias("p"))
+    df = firsts.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("p")).alias("people"))
     return df.select("l_orderkey", R.resolve_author("people").alias("author"), R.role_holder("people", "440").alias("illustrator"),
                      R.resolve_author("people", display=True).alias("shown"))
 

@@ -33,13 +33,13 @@ def parse_marc(df: DataFrame, raw: str) -> DataFrame:
     entries = F.regexp_extract_all(F.substring(F.get(parts, F.lit(0)), 25, 1 << 30),
                                    F.lit("(...\\d{9})"), 1)
     # fields lie in the order of their start address; the directory gives the tags
-    stored = F.array_sort(F.transform(entries, lambda e, i: F.struct(
+    stored = F.sort_array(F.transform(entries, lambda e, i: F.struct(
         F.substring(e, 8, 5).alias("start"), i.alias("pos"), F.substring(e, 1, 3).alias("tag"))))
     contents = F.slice(parts, F.lit(2), F.size(parts))
     named = F.transform(stored, lambda s, i: F.struct(
         s["pos"].alias("pos"), s["tag"].alias("tag"),
         _subfields(F.get(contents, i)).alias("sub")))
-    ordered = F.transform(F.array_sort(named), lambda f: F.struct(f["tag"].alias("tag"), f["sub"].alias("sub")))
+    ordered = F.transform(F.sort_array(named), lambda f: F.struct(f["tag"].alias("tag"), f["sub"].alias("sub")))
     return df.withColumn("fields", ordered).drop("_raw", *([raw] if raw == "value" else []))
 
 
