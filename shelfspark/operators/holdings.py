@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfspark.functions.rules import dewey_class, period_bucket
 from shelfspark.functions.text import author_first, col, filled, fold_text, leading_int
@@ -16,6 +17,19 @@ def ratio(total, n, digits: int = 1) -> Column:
     return F.round(col(total).cast("double") / col(n), digits)
 
 
+def present(df: DataFrame, column: str) -> Column:
+    """Has a value; only text is searched for blanks, so that the test on other
+    types reaches the scan."""
+    c = F.col(column)
+    return filled(c) if isinstance(df.schema[column].dataType, T.StringType) else c.isNotNull()
+
+
+def volume_number(df: DataFrame, column: str) -> Column:
+    """The volume as a number: parsed from text, plain for numeric columns."""
+    c = F.col(column)
+    return leading_int(c) if isinstance(df.schema[column].dataType, T.StringType) else c.cast("bigint")
+
+
 def top_k(df: DataFrame, order, k: int) -> DataFrame:
     """ORDER BY ... LIMIT k; the order should end in a unique key."""
     return df.orderBy(*order).limit(k)
@@ -27,7 +41,7 @@ def top_creators(df, creator, title, loans, min_total=15, k: int | None = 25) ->
     """Distinct titles, loans and loans per title of each creator."""
     # (creator, title) first: the distinct count is then a plain count and a
     # hot creator is pre-aggregated on the map side.
-    per_title = (df.where(filled(F.col(creator).cast("string")) & (F.col(loans) > 0))
+    per_title = (df.where(present(df, creator) & (F.col(loans) > 0))
                  .groupBy(creator, title).agg(F.sum(loans).alias("_loans")))
     out = (per_title.groupBy(creator)
            .agg(F.count(F.lit(1)).alias("titles"), F.sum("_loans").alias("total_loans"))
@@ -50,7 +64,7 @@ def rotation(df, keys, title, loans, min_titles=1, only_lent=False, by_rows=Fals
              k: int | None = None) -> DataFrame:
     """Titles, loans and loans per title of each group."""
     for key in keys[:1]:
-        df = df.where(filled(F.col(key).cast("string")))
+        df = df.where(present(df, key))
     if only_lent:
         df = df.where(F.col(loans) > 0)
     if by_rows:
@@ -89,7 +103,7 @@ def loans_below(df, loans, n) -> DataFrame:
 
 def age_profile(df, published, loans) -> DataFrame:
     """Titles, loans and rotation per publication period."""
-    return (df.where(filled(F.col(published).cast("string")))
+    return (df.where(present(df, published))
             .groupBy(period_bucket(F.substring(F.col(published).cast("string"), 1, 4)).alias("period"))
             .agg(F.count(F.lit(1)).alias("titles"), F.sum(loans).alias("total_loans"))
             .withColumn("rotation", ratio("total_loans", "titles")))
@@ -97,7 +111,7 @@ def age_profile(df, published, loans) -> DataFrame:
 
 def smallest_classes(df, dewey, loans, k: int = 10) -> DataFrame:
     """The least represented classes."""
-    out = (df.where(filled(F.col(dewey).cast("string")))
+    out = (df.where(present(df, dewey))
            .groupBy(dewey_class(dewey).alias("class"))
            .agg(F.count(F.lit(1)).alias("titles"), F.sum(loans).alias("total_loans")))
     return top_k(out, ["titles", "class"], k)
@@ -105,7 +119,7 @@ def smallest_classes(df, dewey, loans, k: int = 10) -> DataFrame:
 
 def top_series(view, series, title_loans, k: int = 5) -> DataFrame:
     """Loans per series at copy grain: a title's loans count once per copy."""
-    out = (view.where(filled(series)).groupBy(series)
+    out = (view.where(present(view, series)).groupBy(series)
            .agg(F.sum(title_loans).alias("total_loans")))
     return top_k(out, [F.col("total_loans").desc(), series], k)
 
@@ -130,17 +144,17 @@ def loan_delta(df, key, date, total) -> DataFrame:
 
 def numbered(df, series, volume) -> DataFrame:
     """Rows with a series and a volume starting with a digit."""
-    return df.where(filled(F.col(series).cast("string"))
-                    & F.col(volume).cast("string").rlike("^[0-9]"))
+    text = isinstance(df.schema[volume].dataType, T.StringType)
+    usable = F.col(volume).rlike("^[0-9]") if text else F.col(volume) >= 0
+    return df.where(present(df, series) & usable)
 
 
 def series_volumes(df, series, volume, loans=None) -> DataFrame:
     """One row per (series, volume label): label, number, loans."""
     total = F.sum(loans) if loans else F.lit(0)
-    return (numbered(df, series, volume)
-            .groupBy(series, F.col(volume).cast("string").alias("volume"))
-            .agg(total.alias("loans"))
-            .withColumn("number", leading_int("volume")))
+    return (numbered(df, series, volume).groupBy(series, volume).agg(total.alias("loans"))
+            .select(series, F.col(volume).cast("string").alias("volume"), "loans",
+                    volume_number(df, volume).alias("number")))
 
 
 def series_gaps(df, series, volume, loans, min_loans=5, k: int | None = None) -> DataFrame:
@@ -180,7 +194,7 @@ def series_gaps_simple(df, series, volume, k: int = 5) -> DataFrame:
     """Row count against highest number, widest gap first."""
     out = (numbered(df, series, volume).groupBy(series)
            .agg(F.count(F.lit(1)).alias("records"),
-                F.max(leading_int(F.col(volume).cast("string"))).alias("highest"))
+                F.max(volume_number(df, volume)).alias("highest"))
            .withColumn("gap", F.col("highest") - F.col("records"))
            .where(F.col("gap") > 0))
     return top_k(out, [F.col("gap").desc(), series], k)
@@ -201,8 +215,8 @@ def missing_volumes(df, series, volume, loans, min_held: int = 2) -> DataFrame:
     Numbers are generated and anti-joined on (series, number), so one long
     series spreads over all tasks.
     """
-    held = (df.withColumn("number", leading_int(F.col(volume).cast("string")))
-            .where(filled(F.col(series).cast("string")) & F.col("number").isNotNull())
+    held = (df.withColumn("number", volume_number(df, volume))
+            .where(present(df, series) & F.col("number").isNotNull())
             .groupBy(series, "number").agg(F.sum(loans).alias("_loans")))
     known = (held.groupBy(series)
              .agg(F.count(F.lit(1)).alias("volumes_held"), F.max("number").alias("highest"),
@@ -217,8 +231,8 @@ def missing_volumes(df, series, volume, loans, min_held: int = 2) -> DataFrame:
 def next_volumes(df, offers, series, volume, loans, ahead: int = 6, min_held: int = 3) -> DataFrame:
     """highest+1 .. highest+ahead of well-lent series, up to the first volume
     not on offer.  A series has at most ``ahead`` rows when cut."""
-    held = (df.withColumn("number", leading_int(F.col(volume).cast("string")))
-            .where(filled(F.col(series).cast("string")) & F.col("number").isNotNull())
+    held = (df.withColumn("number", volume_number(df, volume))
+            .where(present(df, series) & F.col("number").isNotNull())
             .groupBy(series, "number").agg(F.sum(loans).alias("_loans")))
     known = (held.groupBy(series)
              .agg(F.count(F.lit(1)).alias("volumes_held"), F.max("number").alias("highest"),
@@ -226,7 +240,7 @@ def next_volumes(df, offers, series, volume, loans, ahead: int = 6, min_held: in
              .where((F.col("volumes_held") >= min_held) & (F.col("total_loans") > 0)))
     steps = known.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(ahead))))
     steps = steps.withColumn("number", F.col("highest") + F.col("step"))
-    on_offer = (offers.select(series, leading_int(F.col(volume).cast("string")).alias("number"))
+    on_offer = (offers.select(series, volume_number(offers, volume).alias("number"))
                 .distinct().withColumn("offered", F.lit(True)))
     found = steps.join(on_offer, [series, "number"], "left")
     first_gap = (found.groupBy(series, "highest", "total_loans")
@@ -240,8 +254,8 @@ def next_volumes(df, offers, series, volume, loans, ahead: int = 6, min_held: in
 
 def gap_diagnosis(df, series, volume, suspect: Column) -> DataFrame:
     """Gaps against suspect records: badly catalogued, to check, truly absent."""
-    number = leading_int(F.col(volume).cast("string"))
-    held = (df.where(filled(F.col(series).cast("string")))
+    number = volume_number(df, volume)
+    held = (df.where(present(df, series))
             .groupBy(series, number.alias("number"))
             .agg(F.sum(F.when(suspect, 1).otherwise(0)).alias("_suspect")))
     out = (held.groupBy(series)
