@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from shelfspark.session import scratch, tune
 
@@ -187,3 +189,18 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     new = np.ones(len(s), bool)
     new[1:] = s[1:] > e[:-1]
     return s[new], np.append(e[:-1][new[1:]], e[-1])
+
+
+def append(df: DataFrame, fields: str, make) -> DataFrame:
+    """``df`` with the columns of the DDL string ``fields``, which ``make`` (record batch -> list of
+    Arrow arrays or Python lists) computes; columns of these names that ``df`` has are replaced."""
+    new = T.StructType.fromDDL(fields)
+    kept = [name for name in df.columns if name not in new.names]
+    schema = T.StructType([df.schema[name] for name in kept] + list(new.fields))
+    arrow = [to_arrow_type(f.dataType) for f in new.fields]
+
+    def run(batches):
+        for batch in batches:
+            made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, kind) for x, kind in zip(make(batch), arrow)]
+            yield pa.RecordBatch.from_arrays([batch.column(name) for name in kept] + made, kept + new.names)
+    return df.mapInArrow(run, schema)
