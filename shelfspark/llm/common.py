@@ -148,10 +148,15 @@ class Words:
         up, down = powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(LOWERED[data] * up[:n], out=total[1:])
-        self.hash = mix64((total[self.end] - total[self.start]) * down[self.start])
+        self._total, self._down = total, down
+        self.hash = self.upto(self.end)
         self.at = np.searchsorted(self.start, offsets)        # first word of each document
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.at))
 
+    def upto(self, end: np.ndarray) -> np.ndarray:
+        """Hash of each word's bytes from its start to ``end``."""
+        return mix64((self._total[end] - self._total[self.start]) * self._down[self.start])
+
 
 def _lowered() -> np.ndarray:
     values = _BYTE_VALUES.copy()

@@ -1,4 +1,4 @@
 """Imports every operator of this subpackage, which registers its query."""
 
-from shelfspark.llm import decontamination, pieces  # noqa: F401
+from shelfspark.llm import decontamination, minhash, pieces, suffix_dedup, toxicity  # noqa: F401
 from shelfspark.llm.common import ORACLES, QUERIES  # noqa: F401
