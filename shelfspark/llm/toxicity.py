@@ -5,8 +5,11 @@
    repeated three times or more) become a lattice: each observed character may stand for itself,
    for the letters it resembles, for nothing (separators), or for fewer copies (repeats), at a
    channel cost.  Viterbi search finds the best restoration under channel and language model.
-3. Words and word beginnings of the restored text are the features of a logistic model with
-   non-negative weights and an L1 penalty, learned from labelled rows.
+3. Words and word beginnings of the restored text are the evidence.  Each gets a precision from
+   labelled rows: texts with label 1 that hold it, over all that hold it and ``PRIOR`` more.  Copies
+   would make every rare word of a copied text look like evidence, so of the labelled texts with
+   the same smallest 3-word shingle hash one counts.  A logistic curve over a text's best precision
+   gives the score.
 
 The model is fitted on at most ``SAMPLE`` labelled rows (lowest hash of the id) and at most
 ``FEATURES`` features that speak for label 1; everything else covers all rows.
@@ -26,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import Words, append, blocks, in_part, mix64, query, table, text_bytes
+from shelfspark.llm.common import Stored, Words, append, blocks, in_part, mix64, query, runs, table, text_bytes
 
 SAMPLE = 20_000
 FEATURES = 4096
+PRIOR = 8.0
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 
@@ -37,7 +41,7 @@ THRESHOLD = 0.3
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
               "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h", "€": "e", "£": "l"}
 SEPARATORS = " .-_*/"
-COST_SWAP, COST_AS_IS, COST_DROP, COST_KEEP_GAP, COST_REPEAT = 0.5, 4.0, 0.2, 2.0, 0.5
+COST_SWAP, COST_AS_IS, COST_DROP, COST_KEEP_GAP, COST_REPEAT = 0.5, 8.0, 0.2, 6.0, 0.5
 
 _SYMBOL = "".join(map(re.escape, LOOKALIKES))
 _SINGLE = rf"[a-zA-Z{_SYMBOL}]"
@@ -114,7 +118,7 @@ class Restorer:
                     ways.append((char, COST_REPEAT))
             else:
                 if gaps and char in SEPARATORS:
-                    ways += [("", COST_DROP), (char, COST_KEEP_GAP)]
+                    ways += [("", COST_DROP), (char, COST_KEEP_GAP)] if n == 1 else [("", COST_DROP * 5), (char, COST_DROP)]
                 else:
                     ways.append((char * n, COST_AS_IS if char in LOOKALIKES else 0.0))
                 for letter in LOOKALIKES.get(char, ""):
@@ -194,52 +198,64 @@ def features(data: np.ndarray, offsets: np.ndarray):
     """(document, feature hash) of every word and word beginning."""
     words = Words(data, offsets, LETTER)
     docs, hashes = [words.doc], [words.hash]
-    size = words.end - words.start
     for p in PREFIXES:
-        longer = size > p
+        longer = np.flatnonzero(words.end - words.start > p)
         docs.append(words.doc[longer])
         hashes.append(mix64(words.upto(np.minimum(words.start + p, words.end))[longer] ^ np.uint64(p)))
     return np.concatenate(docs), np.concatenate(hashes)
 
 
+def families(column: pa.Array) -> np.ndarray:
+    """Smallest hash of a text's 3-word shingles (of its words, if they are fewer)."""
+    data, offsets = text_bytes(column)
+    out = np.zeros(len(column), np.uint64)
+    for i, j in blocks(offsets):
+        words = Words(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], LETTER)
+        threes, doc = runs(words.hash, 3), words.doc[:max(len(words.doc) - 2, 0)]
+        inside = doc == words.doc[2:]
+        for values, doc in ((words.hash, words.doc), (threes[inside], doc[inside])):
+            first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else doc
+            if len(first):
+                out[doc[first] + i] = np.minimum.reduceat(values, first)
+    return out
+
+
 @dataclass
 class ToxicityModel:
-    """Restorer, sorted feature hashes with weights, intercept."""
+    """Restorer, sorted feature hashes with precisions, coefficients of the logistic curve."""
     restorer: Restorer
     hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    intercept: float = 0.0
-
-    def present(self, column: pa.Array):
-        """(document, feature number), distinct, of the model's features in a text column."""
-        data, offsets = text_bytes(restored(column, self.restorer))
+    precision: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    curve: tuple[float, float] = (0.0, 0.0)
+
+    def evidence(self, column: pa.Array) -> np.ndarray:
+        """Per (restored) text the best precision of its features, 0 without any."""
+        data, offsets = text_bytes(column)
+        out = np.zeros(len(column))
+        if not len(self.hashes):
+            return out
         seen = np.zeros(1 << 16, bool)
         seen[self.hashes >> np.uint64(48)] = True
-        docs, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, j in blocks(offsets):
             doc, value = features(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
             maybe = seen[value >> np.uint64(48)]
             doc, value = doc[maybe], value[maybe]
-            if len(self.hashes):
-                place = np.minimum(np.searchsorted(self.hashes, value), len(self.hashes) - 1)
-                same = self.hashes[place] == value
-                pairs = np.unique(doc[same] * len(self.hashes) + place[same])
-                docs.append(pairs // len(self.hashes) + i)
-                numbers.append(pairs % len(self.hashes))
-        return np.concatenate(docs), np.concatenate(numbers)
+            place = np.minimum(np.searchsorted(self.hashes, value), len(self.hashes) - 1)
+            same = self.hashes[place] == value
+            np.maximum.at(out, doc[same] + i, self.precision[place[same]])
+        return out
 
     def score(self, column: pa.Array) -> np.ndarray:
-        doc, number = self.present(column)
-        margin = self.intercept + np.bincount(doc, self.weights[number], minlength=len(column))
-        return 1 / (1 + np.exp(-margin))
+        a, b = self.curve
+        return 1 / (1 + np.exp(-np.clip(a + b * self.evidence(restored(column, self.restorer)), -30, 30)))
 
 
-def _feature_counts(sample: DataFrame, restorer) -> DataFrame:
+def _feature_counts(sample: DataFrame) -> DataFrame:
     """Texts with label 1 and with label 0 that hold each feature."""
     def count(batches):
         for batch in batches:
             label = np.array(batch.column("label").to_pylist(), np.int64)
-            data, offsets = text_bytes(restored(batch.column("text"), restorer.value))
+            data, offsets = text_bytes(batch.column("text"))
             for i, j in blocks(offsets):
                 doc, value = features(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 order = np.lexsort((doc, value))
@@ -253,35 +269,20 @@ def _feature_counts(sample: DataFrame, restorer) -> DataFrame:
                     every = np.diff(np.append(first, len(value)))
                     yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(ones), pa.array(every - ones)],
                                                      ["feature", "ones", "zeros"])
-    parts = sample.mapInArrow(count, "feature long, ones long, zeros long")
+    parts = sample.select("text", "label").mapInArrow(count, "feature long, ones long, zeros long")
     return parts.groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
 
 
-def _fit(rows: list[tuple[int, list[int]]], width: int, penalty: float = 1.0, rounds: int = 400):
-    """Logistic regression with weights >= 0 and an L1 penalty, by accelerated gradient steps; the
-    last column stands for the intercept."""
-    label = np.array([y for y, _ in rows], float)
-    n = len(rows)
-    doc = np.concatenate([np.repeat(np.arange(n), [len(x) for _, x in rows]), np.arange(n)])
-    number = np.array([f for _, x in rows for f in x] + [width] * n, np.int64)
-    times = lambda w: np.bincount(doc, w[number], minlength=n)             # noqa: E731
-    back = lambda e: np.bincount(number, e[doc], minlength=width + 1)      # noqa: E731
-    probe, largest = np.ones(width + 1), 1.0
-    for _ in range(30):
-        probe = back(times(probe))
-        largest = np.linalg.norm(probe)
-        probe = probe / largest
-    step = 4.0 / (1.1 * largest)
+def _fit(evidence: np.ndarray, label: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Logistic curve, by Newton's method with a slight ridge that keeps it from becoming a step."""
+    x = np.column_stack([np.ones(len(label)), evidence])
     base = np.clip(label.mean(), 1e-3, 1 - 1e-3)
-    cost, least = np.append(np.full(width, penalty), 0.0), np.append(np.zeros(width), -np.inf)
-    weight = np.append(np.zeros(width), np.log(base / (1 - base)))
-    ahead, t = weight, 1.0
+    w, ridge = np.array([np.log(base / (1 - base)), 0.0]), np.array([1e-3, 0.1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-times(ahead)))
-        grown = np.maximum(ahead - step * (back(p - label) + cost), least)
-        t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead, weight, t = grown + (t - 1) / t_next * (grown - weight), grown, t_next
-    return weight[:-1], weight[-1]
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - label) + ridge * w
+        w = w - np.clip(np.linalg.solve((x.T * (p * (1 - p) + 1e-6)) @ x + np.diag(ridge), grad), -4, 4)
+    return float(w[0]), float(w[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text",
@@ -290,29 +291,33 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     the condition ``learn`` on the key holds."""
     spark = docs.sparkSession
     restorer = Restorer(trigram_counts(docs, text))
+    shared = spark.sparkContext.broadcast(restorer)
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     chosen = (chosen if learn is None else chosen.where(learn)).groupBy(key).agg(F.max(label).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64(key), key).limit(sample)
-    rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key).select("text", "label")
-    shared = spark.sparkContext.broadcast(restorer)
-    ratio = F.col("ones") / (F.col("ones") + F.col("zeros") + 5)
-    best = (_feature_counts(rows, shared).where((F.col("ones") >= 3) & (F.col("ones") >= 2 * F.col("zeros")))
-            .orderBy((ratio * F.log1p("ones")).desc(), "feature").limit(FEATURES).collect())
-    hashes = np.sort(np.array([r["feature"] for r in best], np.int64).view(np.uint64))
-    model = ToxicityModel(restorer, hashes)
+    chosen = chosen.orderBy(F.xxhash64(key), key).limit(sample).withColumnRenamed(key, "id")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+
+    def prepare(batch):
+        text = restored(batch.column("text"), shared.value)
+        return [text, pa.array(families(text).view(np.int64))]
+    rows = Stored(append(rows, "text string, family long", prepare), "toxicity-sample")
+    single = rows.read().groupBy("family", "label").agg(F.min(F.struct("id", "text"))["text"].alias("text"))
+    precision = F.col("ones") / (F.col("ones") + F.col("zeros") + PRIOR)
+    best = (_feature_counts(single).withColumn("precision", precision).where((F.col("ones") >= 3) & (F.col("ones") >= 4 * F.col("zeros")))
+            .orderBy(F.col("precision").desc(), "feature").limit(FEATURES).collect())
+    hashes = np.array([r["feature"] for r in best], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    model = ToxicityModel(restorer, hashes[order], np.array([r["precision"] for r in best])[order])
     shared_model = spark.sparkContext.broadcast(model)
 
-    def incidence(batches):
+    def weigh(batches):
         for batch in batches:
-            doc, number = shared_model.value.present(batch.column("text"))
-            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(number))],
-                                             ["label", "held"])
-    held = rows.mapInArrow(incidence, "label int, held array<long>").collect()
+            found = shared_model.value.evidence(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found)], ["label", "best"])
+    held = rows.read().select("text", "label").mapInArrow(weigh, "label int, best double").collect()
+    rows.drop()
     if held:
-        weights, intercept = _fit([(r["label"], r["held"]) for r in held], len(hashes))
-        keep = weights > 0
-        model = ToxicityModel(restorer, hashes[keep], weights[keep], float(intercept))
+        model.curve = _fit(np.array([r["best"] for r in held]), np.array([r["label"] for r in held], float))
     return model
 
 
