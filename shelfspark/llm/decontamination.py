@@ -9,7 +9,8 @@ The benchmark is broadcast in blocks of at most ``block_bytes`` of text, so what
 a fixed bound; each further block costs one more scan, and the hits meet by document.
 
 Cases: null or wordless text has no words and no hits; items without words have no windows;
-repeated documents are each judged; extra columns stay untouched.
+repeated documents are each judged (with several benchmark blocks,
+``contamination`` gives one row for rows that share a key); extra columns stay untouched.
 """
 
 from __future__ import annotations
@@ -166,11 +167,23 @@ def _merge_spans(batches):
         yield batch.set_column(at, "spans", pa.array(out, SPANS))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` in which no benchmark window occurs, columns unchanged."""
-    key = options.get("key", "doc_id")
-    found = contamination(docs, benchmark, **options).where(F.size("items") > 0).select(F.col(key).alias("_hit"))
-    return docs.join(found.distinct(), F.col(key).eqNullSafe(F.col("_hit")), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+                         n: int = 10, block_bytes: int = 1 << 23) -> DataFrame:
+    """Rows of ``docs`` in which no benchmark window occurs, columns unchanged: one pass of the scan
+    behind the other per benchmark block, without a shuffle."""
+    def clean(ngrams):
+        def run(batches):
+            for batch in batches:
+                data, offsets = text_bytes(batch.column(text))
+                keep = np.ones(batch.num_rows, bool)
+                for i, j in blocks(offsets):
+                    found = ngrams.value.scan(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])[2]
+                    keep[[i + doc for doc in found]] = False
+                yield batch.filter(pa.array(keep))
+        return run
+    for held in _item_blocks(benchmark, item, item_text, block_bytes):
+        docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(NgramSet(held, n))), docs.schema)
+    return docs
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

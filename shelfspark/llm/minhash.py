@@ -138,7 +138,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = Stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     kind = edges.schema["a"].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("component", kind)])
-    every = edges.spark.createDataFrame([], schema)
+    every, kept = edges.spark.createDataFrame([], schema), None
     while not edges.read().isEmpty():
         now = edges.read()
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -153,9 +153,10 @@ def components(edges: DataFrame) -> DataFrame:
         b = to.select(F.col("id").alias("b"), F.col("component").alias("y"))
         further = Stored(now.join(a, "a").join(b, "b").where("x <> y")
                          .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        for old in (edges, hook, jumped):
+        for old in (edges, hook, jumped, *([kept] if kept else [])):
             old.drop()
-        edges, every = further, known.read()
+        edges, every, kept = further, known.read(), known
+    edges.drop()
     return every
 
 

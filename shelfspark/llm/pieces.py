@@ -267,7 +267,7 @@ def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
     return b"".join(map(vocabulary.bytes_of.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
-def _shared(df: DataFrame, model: str | None):
+def shared_vocabulary(df: DataFrame, model: str | None):
     return df.sparkSession.sparkContext.broadcast(Vocabulary(model or public_tokenizers.path(MODEL)))
 
 
@@ -280,7 +280,7 @@ def _lists(parts: list[bytes | None]) -> pa.Array:
 
 def encode(docs: DataFrame, text: str = "text", model: str | None = None, shared=None) -> DataFrame:
     """``docs`` with ``tokens``, the piece ids of ``text``."""
-    shared = shared or _shared(docs, model)
+    shared = shared or shared_vocabulary(docs, model)
 
     def make(batch):
         return [_lists(encode_texts(shared.value, batch.column(text).to_pylist()))]
@@ -289,7 +289,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None, shared
 
 def decode(docs: DataFrame, tokens: str = "tokens", model: str | None = None, shared=None) -> DataFrame:
     """``docs`` with ``decoded``, the text that the piece ids in ``tokens`` spell."""
-    shared = shared or _shared(docs, model)
+    shared = shared or shared_vocabulary(docs, model)
 
     def make(batch):
         column = batch.column(tokens)
@@ -301,7 +301,7 @@ def decode(docs: DataFrame, tokens: str = "tokens", model: str | None = None, sh
 def tokenized(docs: DataFrame, model: str | None = None) -> DataFrame:
     """Encodes the texts, decodes the ids again: doc_id, tokens, their number, and whether the
     decoded text equals the original."""
-    shared = _shared(docs, model)
+    shared = shared_vocabulary(docs, model)
     both = decode(encode(docs.select("doc_id", "text"), shared=shared), shared=shared)
     return both.select("doc_id", "tokens", F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"),
                        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"), "decoded")

@@ -15,8 +15,10 @@ occurrence form a run; the bytes they cover are the run's *context*.
    it are sorted: multikey quicksort, eight bytes at a time, to a shallow depth; what still shares
    a prefix then goes into blind tries, which compare a suffix with one leaf only.  Suffixes in the
    same leaf are equal windows.
-4. An anchor with more than ``HOT`` different contexts is not gathered: its windows are counted by
-   a 128-bit digest, with partial counts before the shuffle.
+4. An anchor with more than ``HOT`` different contexts is not gathered.  Its contexts are cut into
+   slices of ``SLICE`` windows by their distance from the anchor.  Slices that occur twice as a
+   whole are settled by counting 128-bit digests; of the others, those whose core (the bytes that
+   all windows of the slice share) occurs twice are taken apart, and their windows counted alike.
 
 Cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; a repeated
 row counts as a copy; rows that share a doc_id must share the text; extra columns are kept by
@@ -41,13 +43,14 @@ LENGTH = 200
 SEED = 40
 SHALLOW = 64        # bytes sorted by multikey quicksort
 HOT = 2000          # different contexts of an anchor that one task may gather
+SLICE = 8           # windows counted together at such an anchor
 CHUNK = 1 << 21     # bytes of contexts sorted together
 _PLACE = np.uint64((1 << 20) - 1)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED):
     """Runs of windows with the same anchor: document, first window start (in the document), further
-    windows, seed hash, context hash."""
+    windows, distance from there to the anchor, seed hash, context hash."""
     found = []
     for i, j in blocks(offsets):
         base = int(offsets[i])
@@ -59,14 +62,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: i
                 piece = data[at:min(stop, at + (1 << 19) + length - 1)]
                 found.append(_anchors(piece, np.array([0, len(piece)]), i, at - base, length, seed))
     if not found:
-        found = [tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.uint64, np.uint64))]
+        found = [_nothing()]
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _nothing():
+    return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+
+
 def _anchors(data, offsets, doc_base, shift, length, seed):
     n, width = len(data), length - seed + 1
     if n < length:
-        return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return _nothing()
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_VALUES[data] * up[:n], out=total[1:])
@@ -82,11 +89,12 @@ def _anchors(data, offsets, doc_base, shift, length, seed):
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:len(place)]
     start = np.flatnonzero(np.arange(length, length + len(place)) <= offsets[1:][doc])
     if not len(start):
-        return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return _nothing()
     new = np.flatnonzero(np.append(True, place[start[1:]] != place[start[:-1]]))
     first, last = start[new], start[np.append(new[1:], len(start)) - 1]
     context = mix64((total[last + length] - total[first]) * down[first] ^ (last - first).astype(np.uint64))
-    return doc[first] + doc_base, first - offsets[:-1][doc[first]] + shift, last - first, hashes[place[first]], context
+    return (doc[first] + doc_base, first - offsets[:-1][doc[first]] + shift, last - first, place[first] - first,
+            hashes[place[first]], context)
 
 
 class BlindTrie:
@@ -175,10 +183,10 @@ def _anchor_rows(length: int, seed: int):
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            doc, start, more, seeds, contexts = anchors(data, offsets, length, seed)
+            doc, start, more, lead, seeds, contexts = anchors(data, offsets, length, seed)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(more.astype(np.int32)),
-                 pa.array(seeds.view(np.int64)), pa.array(contexts.view(np.int64))], ["doc_id", "start", "more", "seed", "context"])
+                [batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(more.astype(np.int32)), pa.array(lead.astype(np.int32)),
+                 pa.array(seeds.view(np.int64)), pa.array(contexts.view(np.int64))], ["doc_id", "start", "more", "lead", "seed", "context"])
     return run
 
 
@@ -197,8 +205,9 @@ def _cut_contexts(length: int):
             for k in range(0, len(bodies), 10_000):
                 some = slice(k, k + 10_000)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(row[some])), pa.array(start[some]), flat.field("seed")[some], flat.field("kinds")[some],
-                     flat.field("single")[some], pa.array(bodies[some], pa.binary())], ["doc_id", "start", "seed", "kinds", "single", "body"])
+                    [batch.column("doc_id").take(pa.array(row[some])), pa.array(start[some]), flat.field("lead")[some], flat.field("seed")[some],
+                     flat.field("kinds")[some], flat.field("single")[some], pa.array(bodies[some], pa.binary())],
+                    ["doc_id", "start", "lead", "seed", "kinds", "single", "body"])
     return run
 
 
@@ -248,46 +257,85 @@ def _sorted_spans(length: int):
     return run
 
 
+def _slices(length: int):
+    """One row per slice of a hot anchor's contexts: digests of the slice and of its core, its bytes."""
+    def run(batches):
+        for batch in batches:
+            index, begin, whole, core, body = [], [], [], [], []
+            for i, (start, lead, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "lead", "body")))):
+                last = len(raw) - length
+                for k in range((lead - last) // SLICE, lead // SLICE + 1):      # windows lie lead, lead - 1, ... before the anchor
+                    first, final = max(0, lead - k * SLICE - SLICE + 1), min(last, lead - k * SLICE)
+                    piece = raw[first:final + length]
+                    inner = raw[lead - k * SLICE:lead - k * SLICE - SLICE + 1 + length]
+                    tag = k.to_bytes(4, "little", signed=True)
+                    index.append(i)
+                    begin.append(start + first)
+                    whole.append(xxhash.xxh3_128_digest(tag + (final - first).to_bytes(4, "little") + piece))
+                    core.append(xxhash.xxh3_128_digest(tag + inner))
+                    body.append(piece)
+            yield pa.RecordBatch.from_arrays(
+                [c.take(pa.array(index, pa.int64())) for c in (batch.column("doc_id"), batch.column("single"))]
+                + [pa.array(begin, pa.int64()), pa.array(whole, pa.binary()), pa.array(core, pa.binary()), pa.array(body, pa.binary())],
+                ["doc_id", "single", "begin", "whole", "core", "body"])
+    return run
+
+
 def _digests(length: int):
-    """One row per window of a hot anchor, with a 128-bit digest."""
+    """One row per window of a slice, with a 128-bit digest."""
     def run(batches):
         for batch in batches:
             data, row, offset, place = _windows(batch, length)
             raw = data.tobytes()
             digest = [xxhash.xxh3_128_digest(raw[a:a + length]) for a in place.tolist()]
             single = batch.column("single").take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(batch.column("start").to_numpy()[row] + offset),
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(batch.column("begin").to_numpy()[row] + offset),
                                               single, pa.array(digest, pa.binary())], ["doc_id", "begin", "single", "digest"])
     return run
 
 
+def _counted_spans(hot: DataFrame, kind: str, length: int) -> tuple[DataFrame, list[Stored]]:
+    """Spans at hot anchors, by counting slices and then windows; and the tables to drop later."""
+    slices = Stored(hot.mapInArrow(_slices(length), f"doc_id {kind}, single boolean, begin long, whole binary, core binary, body binary"), "hot-slices")
+    twice = Stored(slices.read().groupBy("whole").agg(F.count("*").alias("n")).where("n > 1").select("whole"), "hot-whole")
+    settled = (slices.read().where("single").join(twice.read(), "whole")
+               .select("doc_id", "begin", (F.col("begin") + F.octet_length("body")).alias("stop")))
+    shared = Stored(slices.read().groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "hot-cores")
+    # one slice stands for equal ones, which are settled but may hold windows of others
+    apart = slices.read().join(shared.read(), "core").join(twice.read().withColumn("settled", F.lit(True)), "whole", "left")
+    rest = apart.where("settled is null").select("doc_id", "single", "begin", "body")
+    equal = apart.where("settled").dropDuplicates(["whole"]).select("doc_id", F.lit(False).alias("single"), "begin", "body")
+    windows = Stored(rest.unionAll(equal).mapInArrow(_digests(length), f"doc_id {kind}, begin long, single boolean, digest binary"), "hot-windows")
+    again = windows.read().groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    counted = windows.read().where("single").join(again, "digest").select("doc_id", "begin", (F.col("begin") + length).alias("stop"))
+    return settled.unionAll(counted), [slices, twice, shared, windows]
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """(key, begin, stop): byte spans of repeated windows, overlapping ones not yet united."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    filed = Stored(docs.mapInArrow(_anchor_rows(length, seed), f"doc_id {kind}, start long, more int, seed long, context long"), "anchors")
-    often = (filed.read().groupBy("seed").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
-             .where("n > 1").select("seed", (F.col("low") != F.col("high")).alias("mixed")))
-    again = Stored(filed.read().join(often, "seed"), "repeated-anchors")
+    filed = Stored(docs.mapInArrow(_anchor_rows(length, seed), f"doc_id {kind}, start long, more int, lead int, seed long, context long"), "anchors")
+    often = Stored(filed.read().groupBy("seed").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
+                   .where("n > 1").select("seed", (F.col("low") != F.col("high")).alias("mixed")), "repeated-seeds")
+    again = Stored(filed.read().join(often.read(), "seed"), "repeated-anchors")     # a plain join, so that a hot seed can be split
     filed.drop()
+    often.drop()
     kinds = Stored(again.read().groupBy("seed", "context", "mixed")
-                   .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "more")).alias("one")), "contexts")
+                   .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "more", "lead")).alias("one")), "contexts")
     whole = (again.read().join(kinds.read().where("n > 1").select("seed", "context"), ["seed", "context"])
              .select("doc_id", F.col("start").alias("begin"), (F.col("start") + F.col("more") + length).alias("stop")))
     per = kinds.read().where("mixed").groupBy("seed").agg(F.count("*").alias("kinds"))
     wanted = (kinds.read().where("mixed").join(per, "seed")
-              .select("one.doc_id", F.struct("one.start", "one.more", "seed", "kinds", (F.col("n") == 1).alias("single")).alias("wanted"))
+              .select("one.doc_id", F.struct("one.start", "one.more", "one.lead", "seed", "kinds", (F.col("n") == 1).alias("single")).alias("wanted"))
               .groupBy("doc_id").agg(F.collect_list("wanted").alias("wanted")))
     bodies = Stored(docs.dropDuplicates(["doc_id"]).join(wanted, "doc_id")
-                    .mapInArrow(_cut_contexts(length), f"doc_id {kind}, start long, seed long, kinds long, single boolean, body binary"), "context-bytes")
+                    .mapInArrow(_cut_contexts(length), f"doc_id {kind}, start long, lead int, seed long, kinds long, single boolean, body binary"), "context-bytes")
     spans = f"doc_id {kind}, begin long, stop long"
     ordered = (bodies.read().where(F.col("kinds") <= hot).repartition("seed").sortWithinPartitions("seed").mapInArrow(_sorted_spans(length), spans))
-    windows = Stored(bodies.read().where(F.col("kinds") > hot)
-                     .mapInArrow(_digests(length), f"doc_id {kind}, begin long, single boolean, digest binary"), "hot-windows")
-    twice = windows.read().groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    counted = windows.read().where("single").join(twice, "digest").select("doc_id", "begin", (F.col("begin") + length).alias("stop"))
+    counted, held = _counted_spans(bodies.read().where(F.col("kinds") > hot), kind, length)
     found = Stored(whole.unionAll(ordered).unionAll(counted), "spans")
-    for old in (again, kinds, bodies, windows):
+    for old in (again, kinds, bodies, *held):
         old.drop()
     return found.read().withColumnRenamed("doc_id", key)
 
