@@ -469,8 +469,7 @@ def weeding_class(dewey, category, audience, age, loans, last_loan_year, year: i
     """struct(class, rule) of the first weeding rule a copy falls under, else NULL."""
     category, audience = text_or_empty(category), text_or_empty(audience)
     idle = F.lit(year) - col(last_loan_year)
-    never = (col(loans) == 0) & col(last_loan_year).isNull()
-    rule = weeding_rule(dewey)
+    never = (F.coalesce(col(loans), F.lit(0)) == 0) & col(last_loan_year).isNull()
     documentary = (category == "Documentaire") | (
         filled(dewey) & ~category.isin("BD", "Manga", "Album"))
 
@@ -479,7 +478,7 @@ def weeding_class(dewey, category, audience, age, loans, last_loan_year, year: i
                         (F.lit(label) if isinstance(label, str) else label).alias("rule"))
 
     comic, youth = category.isin(*V.COMIC_CATEGORIES), category.isin(*V.YOUTH_CATEGORIES)
-    return (
+    return let(weeding_rule(dewey), lambda rule: (
         F.when(documentary & filled(dewey) & (col(age) >= rule["age"])
                & (never | (idle >= rule["idle"])), hit("documentary", rule["label"]))
         .when(comic & never & (col(age) >= 10),
@@ -487,7 +486,7 @@ def weeding_class(dewey, category, audience, age, loans, last_loan_year, year: i
         .when(comic & (idle >= 10), hit("comic_idle", "BD/manga : sans prêt depuis 10 ans"))
         .when(~comic & youth & (idle >= 5), hit("youth_idle", "Jeunesse : sans prêt depuis 5 ans"))
         .when(~comic & ~youth & (audience == "Adulte") & ~documentary & (idle >= 5),
-              hit("adult_idle", "Roman adulte : sans prêt depuis 5 ans (classiques à conserver !)")))
+              hit("adult_idle", "Roman adulte : sans prêt depuis 5 ans (classiques à conserver !)"))))
 
 
 def film_anomalies(shelfmark, publisher, creators, audience) -> Column:

@@ -50,7 +50,7 @@ def strip_chars(c, chars: str) -> Column:
 
 # Blocks whose compatibility decomposition the folding covers.
 _BLOCKS = ((0x00A0, 0x024F), (0x1E00, 0x1EFF), (0x2000, 0x206F), (0x2070, 0x209F),
-           (0x2100, 0x218F), (0x2460, 0x24FF), (0xFB00, 0xFB06), (0xFF01, 0xFF5E))
+           (0x2100, 0x218F), (0x2460, 0x24FF), (0x3200, 0x33FF), (0xFB00, 0xFB06), (0xFF01, 0xFF5E))
 _MARKS = "".join(chr(c) for c in range(0x0300, 0x0370))
 
 
@@ -68,7 +68,7 @@ def _decompositions() -> tuple[str, str, tuple[tuple[str, str], ...]]:
             if len(plain) == 1:
                 source.append(char)
                 target.append(plain)
-            elif plain.isascii() and plain.strip():
+            elif plain.strip():
                 longer.append((char, plain))
     return "".join(source), "".join(target), tuple(longer)
 
@@ -77,15 +77,14 @@ def strip_accents(c) -> Column:
     """Compatibility-decompose and drop the combining marks.
 
     Pure ASCII values skip the translation.  Characters expanding to several
-    letters (ligatures, the ellipsis) are rare and handled behind a test.
+    (ligatures, fractions, roman numerals, units) are looked up one by one in the
+    few texts that hold any.
     """
     source, target, longer = _decompositions()
     plain = F.translate(col(c), source + _MARKS, target)
-    expanded = plain
-    for char, letters in longer:
-        if char in "…ﬀﬁﬂﬃﬄﬅﬆĲĳŉǆǉǌ½¼¾™№℠":
-            expanded = F.replace(expanded, F.lit(char), F.lit(letters))
-    rare = "[…ﬀﬁﬂﬃﬄﬅﬆĲĳŉǆǉǌ½¼¾™№℠]"
+    wide = F.create_map(*[F.lit(x) for pair in longer for x in pair])
+    expanded = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.try_element_at(wide, x), x)), "")
+    rare = "[" + "".join(f"\\x{{{ord(char):x}}}" for char, _ in longer) + "]"
     return (F.when(~col(c).rlike("[^\\x00-\\x7F]"), col(c))
             .when(col(c).rlike(rare), expanded)
             .otherwise(plain))

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.operators.keyed import exact_rank
 from shelfspark.functions.text import blank, col, filled, fold_text, has_ean, text_or_empty
 
 
@@ -96,19 +97,36 @@ def guarded_query(spark: SparkSession, sql: str, cap: int = 500) -> tuple[DataFr
 
 # --- orders ---------------------------------------------------------------------------
 
+def boolean_first(first: Column, *then) -> list:
+    """Rows for which ``first`` holds, then the others."""
+    return [first.cast("int").desc(), *then]
+
+
+def by_shelf(shelfmark, *then) -> list:
+    """By shelfmark, blanks last, then the given columns."""
+    return [F.coalesce(F.when(filled(shelfmark), F.col(shelfmark)), F.lit("zzz")), *then]
+
+
+def by_confidence(confidence, *then) -> list:
+    c = col(confidence)
+    return [F.when(c == "élevée", 0).when(c == "moyenne", 1).when(c == "faible", 2).otherwise(3), *then]
+
+
 def sort_boolean_first(df, first: Column, *then) -> DataFrame:
-    return df.orderBy(first.cast("int").desc(), *then)
+    return df.orderBy(*boolean_first(first, *then))
 
 
 def shelf_order(df, shelfmark, *then) -> DataFrame:
-    """By shelfmark, blanks last, then the given columns."""
-    return df.orderBy(F.coalesce(F.when(filled(shelfmark), F.col(shelfmark)), F.lit("zzz")), *then)
+    return df.orderBy(*by_shelf(shelfmark, *then))
 
 
 def confidence_order(df, confidence, *then) -> DataFrame:
-    c = col(confidence)
-    rank = (F.when(c == "élevée", 0).when(c == "moyenne", 1).when(c == "faible", 2).otherwise(3))
-    return df.orderBy(rank, *then)
+    return df.orderBy(*by_confidence(confidence, *then))
+
+
+def placed(df, order) -> DataFrame:
+    """Every row with its ``place`` in the order, numbered over range partitions."""
+    return exact_rank(df, [], order, "place")
 
 
 def page(df, n: int, offset: int, *unique_key) -> DataFrame:

@@ -174,20 +174,19 @@ def series_gap_volumes(df, series, volume, loans, min_loans=5) -> DataFrame:
     return series_volumes(df, series, volume).select(series, "volume").join(gaps, series, "left_semi")
 
 
-def listed_volumes(df, series, volume, loans, min_loans=5, longest: int = 500) -> DataFrame:
-    """``series_gaps`` with the volume labels in one text.
+def listed_volumes(df, series, volume, loans, min_loans=5, numbers: int = 500) -> DataFrame:
+    """``series_gaps`` with the volume labels as texts, complete however long a series is.
 
-    A text is written for series of at most ``longest`` volumes; every longer
-    one keeps its figures here and its volumes in ``series_gap_volumes``.
+    A text lists the volumes of ``numbers`` consecutive numbers; ``part`` counts
+    these stretches from 0, and a series has a row for each that holds a volume.
     """
     held = series_volumes(df, series, volume, loans)
     gaps = series_gaps(df, series, volume, loans, min_loans)
-    short = gaps.where(F.col("volumes_held") <= longest).select(series)
-    texts = (held.join(short, series, "left_semi").groupBy(series)
+    texts = (held.withColumn("part", F.floor(F.col("number") / numbers)).groupBy(series, "part")
              .agg(F.array_join(F.transform(
                  F.array_sort(F.collect_list(F.struct("number", "volume"))),
                  lambda v: v["volume"]), ",").alias("volumes")))
-    return gaps.join(texts, series, "left")
+    return gaps.join(texts, series)
 
 
 def series_gaps_simple(df, series, volume, k: int = 5) -> DataFrame:

@@ -9,7 +9,6 @@ from shelfspark.session import materialise
 
 HOT_KEYS = 256          # most frequent keys joined by broadcast in attach_by_key
 SPREAD = 64             # slices a hot group is cut into before its final pass
-SMALL_ROWS = 100_000    # rows a frame may have to be broadcast
 
 asc_nf = "asc_nulls_first"
 
@@ -23,21 +22,6 @@ def row_salt(columns, slices: int = SPREAD) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(slices)).cast("int")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly row work on an input of few splits.
-
-    An input with at least as many splits as cores, as any large one has, is
-    left alone; only a small one is redistributed."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def bounded_broadcast(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint only if the frame is counted to hold at most ``limit`` rows;
-    beyond that Spark's own shuffle join is left to work."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def top_per_key(df: DataFrame, keys, order, n, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each key in the given total order.
 
@@ -68,7 +52,15 @@ def last_per_key(df: DataFrame, keys, order) -> DataFrame:
 
 
 def first_with_ignored(df: DataFrame, keys, order) -> DataFrame:
-    """First row per key plus the number of later rows ignored."""
+    """First row per key plus the number of later rows ignored.
+
+    Orders given as column names need one aggregation; other orders a window and
+    a join with the counts."""
+    if all(isinstance(o, str) for o in order):
+        rest = [c for c in df.columns if c not in {*keys, *order}]
+        row = F.min(F.struct(*order, *rest)).alias("_row")
+        out = df.groupBy(*keys).agg(row, (F.count(F.lit(1)) - 1).alias("ignored"))
+        return out.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns], "ignored")
     counts = df.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("ignored"))
     return first_per_key(df, keys, order).join(counts, keys)
 
@@ -96,17 +88,15 @@ def attach_by_key(df: DataFrame, per_key: DataFrame, keys, weight: str) -> DataF
 
 def modal_values(df: DataFrame, group, value: str, weight: Column | None = None) -> DataFrame:
     """Most frequent value of each group (ties: smallest value) with the number
-    of rows and of distinct values.  Two partial aggregations, no group is
+    of rows and of distinct values.  Two aggregations, no join, no group is
     gathered."""
     group = [group] if isinstance(group, str) else list(group)
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     forms = df.groupBy(*group, value).agg(n.alias("_n"))
     # the smallest value among those with the highest count
-    best = forms.groupBy(*group).agg(F.max("_n").alias("_top"), F.sum("_n").alias("group_rows"),
+    first = F.min(F.struct((-F.col("_n")).alias("n"), F.col(value).isNull().alias("none"), F.col(value).alias("value")))
+    return forms.groupBy(*group).agg(first["value"].alias("modal"), F.sum("_n").alias("group_rows"),
                                      F.count(F.lit(1)).alias("group_values"))
-    return (forms.join(best, group).where(F.col("_n") == F.col("_top"))
-            .groupBy(*group).agg(F.min(value).alias("modal"), F.max("group_rows").alias("group_rows"),
-                                 F.max("group_values").alias("group_values")))
 
 
 def exact_rank(df: DataFrame, keys, order, name: str = "rank") -> DataFrame:

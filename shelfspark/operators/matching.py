@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.text import (
     col, filled, fold_text, jaccard_of, leading_int, overlap_of, title_author_key, tokens,
 )
-from shelfspark.operators.keyed import attach_by_key, bounded_broadcast, first_per_key, spread, top_per_key
+from shelfspark.operators.keyed import attach_by_key, first_per_key, top_per_key
 from shelfspark.session import materialise
 
 
@@ -37,10 +37,10 @@ def _by_title(candidates, title, holdings, held_title, how):
     # Texts can be long: the folded form travels as its 256-bit digest.  The
     # empty form is treated in the key set, so no text is folded twice.
     nothing = candidates.sparkSession.range(1).select(F.sha2(F.lit(""), 256).alias("_t"))
-    held = spread(holdings).select(F.sha2(fold_text(held_title), 256).alias("_t")).distinct()
+    held = holdings.select(F.sha2(fold_text(held_title), 256).alias("_t")).distinct()
     held = (held.unionByName(nothing) if how == "left_anti"
             else held.where(F.col("_t") != F.sha2(F.lit(""), 256)))
-    return (spread(candidates).withColumn("_t", F.sha2(fold_text(title), 256))
+    return (candidates.withColumn("_t", F.sha2(fold_text(title), 256))
             .join(held, "_t", how).drop("_t"))
 
 
@@ -91,15 +91,14 @@ def order_reconciliation(orders: DataFrame, deliveries: DataFrame, key, ordered,
 
 
 def dictionary_lookup(df: DataFrame, column, table: DataFrame, code, label) -> DataFrame:
-    """Exact code -> label; the table is broadcast only while it is small."""
-    small = bounded_broadcast(table.select(F.col(code).alias(column), F.col(label).alias("label")))
-    return df.join(small, column, "left")
+    """Exact code -> label; Spark picks the join from measured sizes."""
+    return df.join(table.select(F.col(code).alias(column), F.col(label).alias("label")), column, "left")
 
 
 def update_by_mapping(df: DataFrame, column, mapping: DataFrame, old, new) -> DataFrame:
     """Apply an approved value mapping; ``changed`` tells the rows it touched."""
-    table = bounded_broadcast(mapping.where(F.col(old) != F.col(new))
-                              .select(F.col(old).alias(column), F.col(new).alias("_new")).distinct())
+    table = (mapping.where(F.col(old) != F.col(new))
+             .select(F.col(old).alias(column), F.col(new).alias("_new")).distinct())
     return (df.join(table, column, "left").withColumn("changed", F.col("_new").isNotNull())
             .withColumn(column, F.coalesce("_new", column)).drop("_new"))
 
@@ -129,7 +128,7 @@ def regretted_withdrawals(withdrawn: DataFrame, requests: DataFrame, isbn, title
 def _token_sets(df: DataFrame, key, text, punct) -> DataFrame:
     """Key, words and digest of the word set of each text that has any."""
     words = F.sort_array(tokens(text, punct))
-    sets = spread(df.select(F.col(key).alias("_id"), text)).select("_id", words.alias("words"))
+    sets = df.select(F.col(key).alias("_id"), text).select("_id", words.alias("words"))
     return (sets.where(F.size("words") > 0)
             .withColumn("set_key", F.sha2(F.array_join("words", " "), 256)))
 

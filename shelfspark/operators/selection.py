@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from shelfspark.functions import rules as R
 from shelfspark.functions import vocab as V
 from shelfspark.functions.text import contains_any
-from shelfspark.operators.keyed import bounded_broadcast, exact_rank, first_per_key, top_per_key
+from shelfspark.operators.keyed import exact_rank, first_per_key, top_per_key
 from shelfspark.session import materialise
 
 
@@ -59,7 +59,7 @@ def rotating_quota(lists: DataFrame, family, order, week: int, quotas: dict[str,
     sizes = (sizes.join(F.broadcast(left_over), family, "left")
              .withColumn("size", F.coalesce("_left", "_q"))
              .withColumn("start", F.pmod(F.lit(week) * F.col("size"), F.col("n"))))
-    twice = (ranked.join(bounded_broadcast(sizes.select(family, "n", "size", "start")), family)
+    twice = (ranked.join(sizes.select(family, "n", "size", "start"), family)
              .withColumn("_turn", F.explode(F.array(F.lit(0), F.lit(1))))
              .withColumn("slot", F.col("place") - 1 + F.col("_turn") * F.col("n") - F.col("start")))
     return (twice.where((F.col("slot") >= 0) & (F.col("slot") < F.col("size")))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.operators.keyed import bounded_broadcast
-
 
 def known_scans(stock: DataFrame, scans: DataFrame, code) -> DataFrame:
     return stock.join(scans.select(code).distinct(), code, "left_semi")
@@ -14,7 +12,7 @@ def known_scans(stock: DataFrame, scans: DataFrame, code) -> DataFrame:
 
 def stock_missing(stock: DataFrame, scans: DataFrame, code, zone) -> DataFrame:
     """Expected in a zone under way and never scanned."""
-    zones = bounded_broadcast(known_scans(stock, scans, code).select(zone).distinct())
+    zones = known_scans(stock, scans, code).select(zone).distinct()
     return (stock.join(zones, zone, "left_semi")
             .join(scans.select(code), code, "left_anti"))
 

@@ -26,6 +26,9 @@ def weeding_candidates(copies: DataFrame, key, kind, category, audience, dewey,
     age = F.lit(year) - F.regexp_extract(F.col(published).cast("string"), "^(\\d{4})", 1).try_cast("int")
     rule = R.weeding_class(dewey, category, audience, age, loans, last_loan_year, year)
     idle = F.lit(year) - F.col(last_loan_year)
+    # no class takes a copy lent within the shortest idle time of any rule
+    shortest = min(3, *(band[3] for band in V.DEWEY_BANDS))
+    marked = marked.where(F.col(last_loan_year).isNull() | (idle >= shortest))
     double = F.when(F.col("copies").isNotNull() & (idle >= 3), F.struct(
         F.lit(V.WEEDING_CLASSES["duplicate"]).alias("class"),
         F.concat(F.col("copies").cast("string"), F.lit(" exemplaires, celui-ci sans prêt depuis "),

@@ -46,7 +46,7 @@ with g as (
          sum(l_quantity)::bigint as total_loans
   from lineitem group by l_orderkey
   having count(distinct l_linenumber) < max(l_linenumber) and max(l_linenumber) > 1 and sum(l_quantity) >= 5)
-select g.*, v.volumes from g join (
+select g.*, 0::bigint as part, v.volumes from g join (
   select l_orderkey, string_agg(l_linenumber::varchar, ',' order by l_linenumber) as volumes
   from (select distinct l_orderkey, l_linenumber from lineitem) group by l_orderkey) v using (l_orderkey)""")
 def listed_volumes(t):
@@ -589,18 +589,17 @@ def except_keys(t):
 
 
 @query("boolean_first", """
-select o_orderkey, o_orderpriority from orders order by (o_orderpriority = '1-URGENT') desc, o_orderdate desc, o_orderkey limit 50""")
+select o_orderkey, o_orderpriority, row_number() over (order by (o_orderpriority = '1-URGENT') desc, o_orderdate desc, o_orderkey) as place from orders""")
 def boolean_first(t):
-    df = filters.sort_boolean_first(t.orders, F.col("o_orderpriority") == "1-URGENT",
-                                    F.col("o_orderdate").desc(), "o_orderkey")
-    return df.limit(50).select("o_orderkey", "o_orderpriority")
+    order = filters.boolean_first(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderdate").desc(), "o_orderkey")
+    return filters.placed(t.orders, order).select("o_orderkey", "o_orderpriority", "place")
 
 
 @query("shelf_order", """
-select p_partkey from part order by case when p_size = 1 then 'zzz' else p_brand end, p_name, p_partkey limit 100""")
+select p_partkey, row_number() over (order by case when p_size = 1 then 'zzz' else p_brand end, p_name, p_partkey) as place from part""")
 def shelf_order(t):
     df = t.part.withColumn("cote", F.when(F.col("p_size") != 1, F.col("p_brand")))
-    return filters.shelf_order(df, "cote", "p_name", "p_partkey").limit(100).select("p_partkey")
+    return filters.placed(df, filters.by_shelf("cote", "p_name", "p_partkey")).select("p_partkey", "place")
 
 
 @query("page", "select o_orderkey from orders order by o_orderkey limit 300 offset 600")

@@ -13,7 +13,6 @@ from shelfspark.functions import text as X
 from shelfspark.functions import vocab as V
 from shelfspark.functions import volumes as N
 from shelfspark.operators import audit, filters
-from shelfspark.operators.keyed import spread
 from shelfspark.plans.registry import query
 
 
@@ -42,7 +41,7 @@ def sql_pick(values, key):
 select doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'))) as spaced,
        md5(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9 ]', '', 'g'))) as dropped from documents""")
 def fold_text(t):
-    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.md5(X.fold_text("text")).alias("spaced"),
+    return t.documents.select("doc_id", F.md5(X.fold_text("text")).alias("spaced"),
                               F.md5(X.fold_text("text", "drop")).alias("dropped"))
 
 
@@ -323,7 +322,7 @@ from d left join r using (doc_id) group by doc_id"""
 @query("score_genres", genre_sql())
 def score_genres(t):
     head = F.get(F.split("text", "\n"), F.lit(0))
-    return spread(t.documents.select("doc_id", "text")).select("doc_id", R.score_genres(head, F.lit(""), "text", F.lit(""), F.lit("")).alias("genre"))
+    return t.documents.select("doc_id", R.score_genres(head, F.lit(""), "text", F.lit(""), F.lit("")).alias("genre"))
 
 
 GENRE_TEXTS = (("Le dragon de l'école", "magie et guerre", "Fantastique / Vie quotidienne"), ("Alchimie", "enjeu jeune", ""),
@@ -452,10 +451,10 @@ def match_confidence(t):
 
 
 @query("confidence_order", """
-select o_orderkey from orders order by o_orderkey % 4, o_orderkey limit 200""")
+select o_orderkey, row_number() over (order by o_orderkey % 4, o_orderkey) as place from orders""")
 def confidence_order(t):
     df = t.orders.select("o_orderkey", pick(("élevée", "moyenne", "faible", "—"), "o_orderkey").alias("c"))
-    return filters.confidence_order(df, "c", "o_orderkey").limit(200).select("o_orderkey")
+    return filters.placed(df, filters.by_confidence("c", "o_orderkey")).select("o_orderkey", "place")
 
 
 @query("provenance", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfspark.operators import holdings, suggestions
+from shelfspark.operators import filters, holdings, suggestions
 from shelfspark.plans import derive, jobs
 from shelfspark.plans.bind_holdings import OPEN
 from shelfspark.plans.registry import query
@@ -88,13 +88,14 @@ def page_links(t):
 
 
 @query("link_classes", rf"""
-with {LINKS} select case when regexp_matches(link, '/list-\d+/') then 'SELECTIONS' when regexp_matches(link, '/livre/\d{{9,13}}') then 'FICHES'
- when regexp_matches(link, '/(The|the|and)$') then 'RAYONS' when regexp_matches(link, 'listeliv|recherche|search') then 'RECHERCHES' else 'AUTRES' end as link_class,
- count(*) as n from x group by 1""")
+with {LINKS}, y as (select regexp_replace(regexp_replace(link, '/(The|the)$', '/ssh-12'), '/and$', '/rayon') as link from x)
+select case when regexp_matches(link, '/list-\d+/') then 'SELECTIONS' when regexp_matches(link, '/livre/\d{{9,13}}') then 'FICHES'
+ when regexp_matches(link, '/ssh-\d+|/rayon') then 'RAYONS' when regexp_matches(link, 'listeliv|recherche|search') then 'RECHERCHES' else 'AUTRES' end as link_class,
+ count(*) as n from y group by 1""")
 def link_classes(t):
     links = pages.extract_links(t.pages, "page_id", "url", "html")
-    classes = tuple((n, "/(The|the|and)$" if n == "RAYONS" else p) for n, p in pages.LINK_CLASSES)
-    return pages.classify_links(links, classes=classes).groupBy("link_class").agg(F.count(F.lit(1)).alias("n"))
+    shelves = F.regexp_replace(F.regexp_replace("link", "/(The|the)$", "/ssh-12"), "/and$", "/rayon")
+    return pages.classify_links(links.withColumn("link", shelves)).groupBy("link_class").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("page_titles", r"""
@@ -179,7 +180,7 @@ def marcxml(t):
 
 
 @query("volumes_json", """
-select p_partkey, p_name || ' : ' || p_type as title, p_brand || ', B' as author, 'Seuil' as publisher, '2019' as year,
+select p_partkey, p_name || ' : ' || p_type as title, p_brand || ', B, C' as author, 'Seuil' as publisher, '2019' as year,
   case when p_size % 2 = 0 then 'BD' else 'Roman' end as genre, case when p_size % 2 = 0 then 'Jeune' end as audience, 'https://i/t' as image from part""")
 def volumes_json(t):
     info = F.struct(
@@ -249,13 +250,15 @@ def route_inputs(t):
 
 # --- sinks ------------------------------------------------------------------------------------------------
 
-@query("export_query", "select count(*) as rows, count(distinct o_orderkey) as keys from orders where o_orderstatus <> 'P'")
+@query("export_query", """
+select (select count(*) from orders where o_orderstatus <> 'P') as total, (select count(*) from orders where o_orderstatus <> 'P') > 1000 as cut,
+  row_number() over (order by o_orderkey) as place, o_orderkey, o_orderstatus from orders where o_orderstatus <> 'P' order by o_orderkey limit 1000""")
 def export_query(t):
-    """Written as CSV under the export's row limit, then counted."""
+    """The first 1000 orders written as CSV, read back, with what the export reports."""
     path = scratch(t.spark, "export")
-    exports.export_query(t.orders.where(F.col("o_orderstatus") != "P"), path, cap=1_000_000_000)
-    back = t.spark.read.csv(path, header=True, sep=";")
-    return back.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("o_orderkey").alias("keys"))
+    report = exports.export_query(t.orders.where(F.col("o_orderstatus") != "P").select("o_orderkey", "o_orderstatus"), path, "o_orderkey", cap=1000)
+    back = t.spark.read.csv(path, header=True, sep=";").withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+    return filters.placed(back, ["o_orderkey"]).join(F.broadcast(report))
 
 
 @query("export_by_class", "select o_orderpriority, count(*) as n from orders group by 1")
@@ -302,8 +305,9 @@ select strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%H:00') as hour, sum(n)::b
 @query("stream_footfall", HOURLY)
 def stream_footfall(t):
     table = scratch(t.spark, "footfall")
-    finish(t, streams.stream_footfall(event_stream(t), "ts", "n", table, scratch(t.spark, "check")))
-    return t.spark.read.parquet(table).select("day", "hour", "all_entries", "open_entries")
+    events = event_stream(t).withColumn("file", F.lit("2026-01"))
+    finish(t, streams.stream_footfall(events, "ts", "n", table, scratch(t.spark, "check"), "file"))
+    return streams.stored_footfall(t.spark, table)
 
 
 @query("stream_hours", """
@@ -327,7 +331,7 @@ def stream_stocktake(t):
     table = scratch(t.spark, "scans")
     scans = event_stream(t).withColumnRenamed("user_id", "code")
     finish(t, streams.stream_stocktake(scans, "code", F.date_format("ts", "yyyy-MM-dd"), table, scratch(t.spark, "check")))
-    return t.spark.read.parquet(table)
+    return streams.stored_scans(t.spark, table, "code")
 
 
 @query("stream_latest_status", """
@@ -335,7 +339,7 @@ select user_id, event_type as status from (select *, row_number() over (partitio
 def stream_latest_status(t):
     table = scratch(t.spark, "status")
     finish(t, streams.stream_latest_status(event_stream(t), "user_id", "event_type", "ts", "event_id", table, scratch(t.spark, "check")))
-    return t.spark.read.parquet(table).select("user_id", "status")
+    return streams.stored_status(t.spark, table, "user_id").select("user_id", "status")
 
 
 @query("stream_usage_log", "select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by 1")

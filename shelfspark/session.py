@@ -28,12 +28,15 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: the cluster's checkpoint directory.
 
-    Only where the cluster names none (a local test session) is a temporary
-    folder made and recorded in the session.
+    A local session that names none (tests) gets a temporary folder, recorded in
+    the session; on a cluster executors would each write to their own disk, so
+    there the setting is required.
     """
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not (context.master or "").startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="shelfspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

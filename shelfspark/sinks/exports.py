@@ -32,13 +32,15 @@ def export_inventory(df: DataFrame, path: str) -> None:
     labelled(df.orderBy("title", "barcode")).write.mode("overwrite").csv(path, header=True, sep=";")
 
 
-def export_query(df: DataFrame, path: str, cap: int = 100_000, labels=INVENTORY_LABELS) -> None:
-    """Any selection up to the export's row limit; friendly labels if the
-    frame has all the usual columns."""
-    shown = df.limit(cap)
+def export_query(df: DataFrame, path: str, *order, cap: int = 100_000, labels=INVENTORY_LABELS) -> DataFrame:
+    """Any selection up to the export's row limit, the first rows in the given
+    order; friendly labels if the frame has all the usual columns.  Returns one
+    row: ``total`` and whether rows were ``cut``."""
+    shown = df.orderBy(*order).limit(cap) if order else df.limit(cap)
     if {c for c, _ in labels} <= set(df.columns):
         shown = labelled(shown, labels)
     shown.write.mode("overwrite").csv(path, header=True, sep=";")
+    return df.agg(F.count(F.lit(1)).alias("total")).withColumn("cut", F.col("total") > cap)
 
 
 def order_lines(basket: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def read_feed(responses: DataFrame, xml: str, reviews_only: bool = False) -> Dat
 
 
 def short_abstract(c: Column, most: int = 1000) -> Column:
-    """The display form of a long abstract."""
+    """The display form of a long abstract; the records keep it whole."""
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
 
 
@@ -75,8 +75,8 @@ def parse_marcxml(responses: DataFrame, xml: str) -> DataFrame:
                                F.when(name.isNotNull(), F.concat_ws(" ", forename, name))).alias("author"),
                     first("c", "210", "214").alias("publisher"),
                     pub_year(first("d", "210", "214")).alias("year"),
-                    short_abstract(first("a", "330")).alias("abstract"),
-                    none_if_empty(F.array_join(F.slice(subjects, 1, 8), ", ")).alias("keywords"),
+                    first("a", "330").alias("abstract"),
+                    none_if_empty(F.array_join(subjects, ", ")).alias("keywords"),
                     first("a", "676").alias("dewey"),
                     F.when(contains_any(audience, ("jeun", "enfant", "junior", "kid", "young", "child")), "Jeune")
                     .when(contains_any(audience, ("ado", "teen")), "Adolescent")
@@ -95,9 +95,9 @@ def parse_volumes_json(responses: DataFrame, body: str) -> DataFrame:
     return out.select(
         *[c for c in responses.columns if c != body],
         F.concat_ws(" : ", "_v.title", none_if_empty("_v.subtitle")).alias("title"),
-        none_if_empty(F.array_join(F.slice("_v.authors", 1, 2), ", ")).alias("author"),
+        none_if_empty(F.array_join("_v.authors", ", ")).alias("author"),
         F.col("_v.publisher").alias("publisher"), pub_year("_v.publishedDate").alias("year"),
-        short_abstract(F.col("_v.description")).alias("abstract"), F.get(genres, F.lit(0)).alias("genre"),
+        F.col("_v.description").alias("abstract"), F.get(genres, F.lit(0)).alias("genre"),
         F.when(youth, "Jeune").when(F.col("_v.maturityRating") == "MATURE", "Adulte").alias("audience"),
         F.replace(F.replace(image, F.lit("&edge=curl"), F.lit("")), F.lit("http://"), F.lit("https://")).alias("image"))
 
@@ -106,8 +106,8 @@ def parse_bibkeys_json(responses: DataFrame, body: str, isbn: str) -> DataFrame:
     """``{"ISBN:x": {...}}`` responses as full candidates."""
     book = F.try_element_at(F.from_json(F.col(body), BIBKEYS), F.concat(F.lit("ISBN:"), F.col(isbn)))
     out = responses.withColumn("_b", book).where(filled("_b.title"))
-    authors = F.array_join(F.transform(F.slice("_b.authors", 1, 2), lambda a: a["name"]), " / ")
-    subjects = F.array_join(F.transform(F.slice("_b.subjects", 1, 6), lambda s: s["name"]), " ")
+    authors = F.array_join(F.transform("_b.authors", lambda a: a["name"]), " / ")
+    subjects = F.array_join(F.transform("_b.subjects", lambda s: s["name"]), " ")
     nothing = F.lit("")
     out = (out.withColumn("title", F.col("_b.title")).withColumn("author", text_or_empty(authors))
            .withColumn("publisher", text_or_empty(F.get("_b.publishers", F.lit(0))["name"]))

@@ -18,34 +18,41 @@ FIELD_END, SUBFIELD, RECORD_END = "\x1e", "\x1f", "\x1d"
 def read_marc(spark: SparkSession, path) -> DataFrame:
     """Records of .mrc files; Spark splits the files at the record end."""
     lines = spark.read.option("lineSep", RECORD_END).text(path)
-    raw = lines.select(F.monotonically_increasing_id().alias("record_id"),
-                       F.col("_metadata.file_name").alias("file_name"), F.col("value"))
+    raw = lines.select(file_order().alias("record_id"), F.col("_metadata.file_name").alias("file_name"), F.col("value"))
     return parse_marc(raw, "value")
 
 
+def file_order() -> Column:
+    """Text that sorts rows by file, block of the file, and place in the block.
+
+    Splits are packed into tasks by size, so the running number of a row alone
+    follows neither files nor blocks; within a block it does."""
+    return F.concat_ws("#", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 18, "0"),
+                       F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+
+
 def parse_marc(df: DataFrame, raw: str) -> DataFrame:
     """Adds ``fields``: array<struct<tag, sub: array<struct<code, val>>>> in
     directory order.  Filler between records is skipped; a record whose leader
     has no readable length and base address is dropped."""
     text = F.regexp_replace(F.col(raw), "^[\\n\\r ]+", "")
     df = df.withColumn("_raw", text).where(F.col("_raw").rlike("^[0-9]{5}.{7}[0-9]{5}"))
-    parts = F.split("_raw", FIELD_END)
-    entries = F.regexp_extract_all(F.substring(F.get(parts, F.lit(0)), 25, 1 << 30),
-                                   F.lit("(...\\d{9})"), 1)
-    # fields lie in the order of their start address; the directory gives the tags
-    stored = F.sort_array(F.transform(entries, lambda e, i: F.struct(
-        F.substring(e, 8, 5).alias("start"), i.alias("pos"), F.substring(e, 1, 3).alias("tag"))))
-    contents = F.slice(parts, F.lit(2), F.size(parts))
-    named = F.transform(stored, lambda s, i: F.struct(
-        s["pos"].alias("pos"), s["tag"].alias("tag"),
-        _subfields(F.get(contents, i)).alias("sub")))
-    ordered = F.transform(F.sort_array(named), lambda f: F.struct(f["tag"].alias("tag"), f["sub"].alias("sub")))
-    return df.withColumn("fields", ordered).drop("_raw", *([raw] if raw == "value" else []))
+    df = df.withColumn("_bytes", F.col("_raw").cast("binary")).withColumn("_base", F.substring("_raw", 13, 5).try_cast("int"))
+    directory = F.substring("_bytes", F.lit(25), F.col("_base") - 25).cast("string")
+    entries = F.regexp_extract_all(directory, F.lit("(...\\d{9})"), 1)
+
+    # the directory gives tag, length (terminator included) and start of each field, in bytes
+    def field(entry):
+        start = F.col("_base") + F.substring(entry, 8, 5).cast("int")
+        content = F.substring(F.col("_bytes"), start + 1, F.substring(entry, 4, 4).cast("int"))
+        content = F.regexp_replace(content.cast("string"), FIELD_END + "$", "")
+        return F.struct(F.substring(entry, 1, 3).alias("tag"), _subfields(content).alias("sub"))
+    return df.withColumn("fields", F.transform(entries, field)).drop("_raw", "_bytes", "_base", *([raw] if raw == "value" else []))
 
 
 def _subfields(content: Column) -> Column:
-    pieces = F.filter(F.slice(F.split(F.coalesce(content, F.lit("")), SUBFIELD), 2, 1 << 20),
-                      lambda p: p != "")
+    pieces = F.split(F.coalesce(content, F.lit("")), SUBFIELD)
+    pieces = F.filter(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: p != "")
     return F.transform(pieces, lambda p: F.struct(
         F.substring(p, 1, 1).alias("code"), F.substring(p, 2, 1 << 30).alias("val")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,13 +16,14 @@ from shelfspark.functions.volumes import extract_series, extract_volume
 def unescape_html(c) -> Column:
     """Named and numeric character references decoded."""
     c = col(c)
-    names = F.create_map(*[F.lit(x) for n, p in name2codepoint.items() for x in (n, chr(p))])
+    common = F.create_map(*[F.lit(x) for n, p in name2codepoint.items() for x in (n, chr(p))])
+    rare = F.create_map(*[F.lit(x) for n, p in html5.items() if n.endswith(";") and n[:-1] not in name2codepoint for x in (n[:-1], p)])
 
     def decode(piece):
         name = F.regexp_extract(piece, "^(#?\\w+);", 1)
-        decimal = F.regexp_extract(piece, "^#(\\d{1,6});", 1).try_cast("int")
-        hexa = F.conv(none_if_empty(F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]{1,5});", 1)), 16, 10).try_cast("int")
-        char = F.coalesce(F.try_element_at(names, name), _char(decimal), _char(hexa))
+        decimal = F.regexp_extract(piece, "^#(\\d{1,7});", 1).try_cast("int")
+        hexa = F.conv(none_if_empty(F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]{1,6});", 1)), 16, 10).try_cast("int")
+        char = F.coalesce(F.try_element_at(common, name), F.try_element_at(rare, name), _char(decimal), _char(hexa))
         tail = F.substring(piece, F.length(name) + 2, F.length(piece))
         return F.when((name != "") & char.isNotNull(), F.concat(char, tail)).otherwise(
             F.concat(F.lit("&"), piece))
@@ -41,8 +42,14 @@ def _char(code: Column) -> Column:
         F.hex((F.lit(0xE0) + F.shiftright(code, 12)).cast("bigint")),
         F.hex((F.lit(0x80) + F.shiftright(code, 6).bitwiseAND(63)).cast("bigint")),
         F.hex((F.lit(0x80) + code.bitwiseAND(63)).cast("bigint"))))
+    four = F.unhex(F.concat(
+        F.hex((F.lit(0xF0) + F.shiftright(code, 18)).cast("bigint")),
+        F.hex((F.lit(0x80) + F.shiftright(code, 12).bitwiseAND(63)).cast("bigint")),
+        F.hex((F.lit(0x80) + F.shiftright(code, 6).bitwiseAND(63)).cast("bigint")),
+        F.hex((F.lit(0x80) + code.bitwiseAND(63)).cast("bigint"))))
     return F.coalesce(low, F.when(code.between(128, 2047), F.decode(two, "UTF-8")),
-                      F.when(code.between(2048, 65535), F.decode(three, "UTF-8")))
+                      F.when(code.between(2048, 0xFFFF) & ~code.between(0xD800, 0xDFFF), F.decode(three, "UTF-8")),
+                      F.when(code.between(0x10000, 0x10FFFF), F.decode(four, "UTF-8")))
 
 
 def plain_text(c) -> Column:
@@ -57,21 +64,35 @@ def absolute_url(href: Column, base: Column) -> Column:
     root = F.regexp_extract(base, "^(https?://[^/?#]+)", 1)
     folder = F.regexp_extract(base, "^(https?://[^/?#]+(?:/[^?#]*/)?)", 1)
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    return (F.when(bare.rlike("^(?i)https?://"), bare)
+    return _without_dots(
+            F.when(bare.rlike("^(?i)https?://"), bare)
             .when(bare.startswith("//"), F.concat(F.regexp_extract(base, "^(https?:)", 1), bare))
             .when(bare.startswith("/"), F.concat(root, bare))
             .when(bare.startswith("?"), F.concat(F.regexp_extract(base, "^([^?#]*)", 1), bare))
             .otherwise(F.concat(folder, bare)))
 
 
+def _without_dots(url: Column) -> Column:
+    """``.`` and ``..`` steps of the path resolved; the query part is left alone."""
+    root = F.regexp_extract(url, "^(https?://[^/?#]+)", 1)
+    path = F.regexp_extract(url, "^https?://[^/?#]+([^?#]*)", 1)
+    steps = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "/\\.{1,2}$", "$0/"), "/")
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda done, step: (
+        F.when(step == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(step == ".", done).otherwise(F.concat(done, F.array(step)))))
+    rest = F.substring(url, F.length(root) + F.length(path) + 1, F.length(url))
+    return F.when(path.rlike("/\\.{1,2}(/|$)"), F.concat(root, F.lit("/"), F.array_join(walked, "/"), rest)).otherwise(url)
+
+
 def extract_links(pages: DataFrame, key, url, html, label_length: int = 70) -> DataFrame:
     """Distinct (page, absolute address, label) of the anchors; mail, script and
     in-page links are left out."""
     # one regular expression pass gives both parts of every anchor
-    anchors = F.regexp_extract_all(F.col(html), F.lit('(?is)<a\\s[^>]*?href="[^"]*"[^>]*>.*?</a>'), 0)
+    anchors = F.regexp_extract_all(F.col(html), F.lit("(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*(?:\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)[^>]*>.*?</a>"), 0)
     rows = pages.select(key, F.col(url).alias("_base"), F.explode(anchors).alias("_a"))
-    href = F.trim(F.regexp_extract("_a", '(?is)href="([^"]*)"', 1))
-    label = F.substring(plain_text(F.regexp_extract("_a", "(?is)^<a\\s[^>]*>(.*)</a>$", 1)), 1, label_length)
+    href = F.regexp_extract("_a", "(?is)^<a\\s(?:[^>]*?\\s)?href\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)", 1)
+    href = F.trim(F.regexp_replace(href, "^[\"']|[\"']$", ""))
+    label = F.substring(plain_text(F.regexp_extract("_a", "(?is)^<a\\s(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(.*)</a>$", 1)), 1, label_length)
     usable = (F.col("_h") != "") & ~F.lower("_h").rlike("^(mailto:|javascript:|#)")
     return (rows.withColumn("_h", href).where(usable)
             .select(key, absolute_url(F.col("_h"), F.col("_base")).alias("link"), label.alias("label")).distinct())
@@ -154,7 +175,7 @@ def _labelled(html: Column, words) -> Column:
     """Value following a label in the page, tags between them skipped."""
     names = "|".join(words)
     return none_if_empty(F.trim(F.regexp_extract(
-        html, f"(?isU)(?:{names})[^<:]{{0,40}}(?::\\s*|\\s*(?:</?[^>]+>\\s*)+:?\\s*(?:<[^>]+>\\s*)*)([^<]+)", 1)))
+        html, f"(?isU)(?:{names})[^<:]*(?::\\s*|\\s*(?:</?[^>]+>\\s*)+:?\\s*(?:<[^>]+>\\s*)*)([^<]+)", 1)))
 
 
 def _marked(html: Column, prop: str) -> Column:
@@ -177,7 +198,7 @@ def parse_candidate_page(pages: DataFrame, html, source, labels=None) -> DataFra
         if name != "title":
             found = [_marked(h, props[name])] if name in props else []
             raw = raw.withColumn(f"_{name}", unescape_html(F.coalesce(*found, _labelled(h, words))))
-    described = F.substring(F.coalesce(_marked(h, "description"), F.lit("")), 1, 400)
+    described = F.coalesce(_marked(h, "description"), F.lit(""))
     nothing = F.lit("")
     out = (raw.where(filled("title")).withColumn("abstract", unescape_html(described))
            .withColumn("author", text_or_empty("_author")).withColumn("illustrator", text_or_empty("_illustrator"))

@@ -19,6 +19,14 @@ def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 
+def _increment(table: str, of):
+    """Batch writer: what a batch adds goes to a folder of its own, so a batch run
+    again replaces itself and nothing stored before is read or rewritten."""
+    def store(batch: DataFrame, number: int):
+        of(batch).write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch={number}")
+    return store
+
+
 # --- visitor counters ---------------------------------------------------------------------
 
 def hourly_windows(stream: DataFrame, ts, entries, lateness: str = "7 days") -> DataFrame:
@@ -29,14 +37,24 @@ def hourly_windows(stream: DataFrame, ts, entries, lateness: str = "7 days") ->
                  F.sum(F.when(footfall.is_open(F.col(ts)), F.col(entries))).alias("open_entries")))
 
 
-def stream_footfall(stream: DataFrame, ts, entries, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Replace mode: a slot sent again replaces the stored total.  The table is
-    partitioned by month, so a weekly file rewrites one or two months."""
-    def store(batch: DataFrame, _):
-        hours = footfall.hourly(batch, ts, entries).withColumn("month", F.substring("day", 1, 7))
-        upsert(batch.sparkSession, table, hours, ["day", "hour"], ["all_entries", "open_entries"],
-               partition="month")
-    return _start(stream.writeStream.foreachBatch(store), checkpoint, once)
+def stream_footfall(stream: DataFrame, ts, entries, table: str, checkpoint: str, file, once: bool = True) -> StreamingQuery:
+    """Replace mode: a slot sent again in a later ``file`` replaces the earlier total.
+
+    Each batch adds the sums per slot and file of its own rows, however the files
+    are cut into batches; ``stored_footfall`` reads the table."""
+    def increments(batch: DataFrame) -> DataFrame:
+        seen = batch.where(F.col(entries) > 0)
+        return (seen.groupBy(F.date_format(ts, "yyyy-MM-dd").alias("day"), F.date_format(ts, "HH:00").alias("hour"), F.col(file).alias("file"))
+                .agg(F.sum(entries).alias("all_entries"), F.sum(F.when(footfall.is_open(F.col(ts)), F.col(entries))).alias("open_entries")))
+    return _start(stream.writeStream.foreachBatch(_increment(table, increments)), checkpoint, once)
+
+
+def stored_footfall(spark: SparkSession, table: str) -> DataFrame:
+    """Totals per slot: those of the last file (in the order of ``file``) that has it."""
+    per_file = spark.read.parquet(table).groupBy("day", "hour", "file").agg(
+        F.sum("all_entries").alias("all_entries"), F.sum("open_entries").alias("open_entries"))
+    last = F.max(F.struct("file", "all_entries", "open_entries"))
+    return per_file.groupBy("day", "hour").agg(last.alias("_l")).select("day", "hour", "_l.all_entries", "_l.open_entries")
 
 
 # --- stock-take -----------------------------------------------------------------------------
@@ -48,21 +66,27 @@ def scan_counts(stream: DataFrame, code, day: Column) -> DataFrame:
 
 def stream_stocktake(stream: DataFrame, code, day: Column, table: str, checkpoint: str,
                      once: bool = True) -> StreamingQuery:
-    def store(batch: DataFrame, _):
-        upsert(batch.sparkSession, table, batch, [code, "day"], ["scans"])
-    return _start(scan_counts(stream, code, day).writeStream.outputMode("update").foreachBatch(store),
-                  checkpoint, once)
+    """Each batch adds its own counts; ``stored_scans`` reads the table."""
+    return _start(stream.writeStream.foreachBatch(_increment(table, lambda batch: scan_counts(batch, code, day))), checkpoint, once)
+
+
+def stored_scans(spark: SparkSession, table: str, code) -> DataFrame:
+    return spark.read.parquet(table).groupBy(code, "day").agg(F.sum("scans").alias("scans"))
 
 
 # --- status of suggestions ---------------------------------------------------------------------
 
 def stream_latest_status(stream: DataFrame, key, action, at, tie, table: str, checkpoint: str,
                          once: bool = True) -> StreamingQuery:
-    """Keeps the last action per key in a table."""
-    def store(batch: DataFrame, _):
-        upsert(batch.sparkSession, table, batch, key, ["status", "since"])
-    latest = suggestions.latest_status(stream, key, action, at, tie)
-    return _start(latest.writeStream.outputMode("update").foreachBatch(store), checkpoint, once)
+    """Each batch adds the last action per key of its own rows; ``stored_status`` reads the table."""
+    def latest(batch: DataFrame) -> DataFrame:
+        last = F.max(F.struct(F.col(at).alias("since"), F.col(tie).alias("tie"), F.col(action).alias("status")))
+        return batch.groupBy(key).agg(last.alias("last"))
+    return _start(stream.writeStream.foreachBatch(_increment(table, latest)), checkpoint, once)
+
+
+def stored_status(spark: SparkSession, table: str, key) -> DataFrame:
+    return spark.read.parquet(table).groupBy(key).agg(F.max("last").alias("last")).select(key, "last.status", "last.since")
 
 
 # --- logs, repeats, work queues --------------------------------------------------------------------

@@ -56,7 +56,7 @@ def compare(spark, con, folder, name, build, sql):
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     spent = time.time() - start
     if sql is None:
-        return True, f"{len(got[1])} rows, {spent:.1f}s (no SQL)"
+        return False, f"{len(got[1])} rows, {spent:.1f}s, but nothing to compare with"
     start = time.time()
     cursor = con.execute(sql)
     columns = [c[0] for c in cursor.description]
