@@ -8,8 +8,9 @@ coordinates a pair of similarity 0.75 misses every band with probability below 6
 Equal shingle sets are one *set* from the start (smallest id stands for all).  In each band bucket
 all sets are compared with the smallest and the largest one only; verified links give components.
 Where a bucket then still holds sets of different components, its sets outside the bucket's most
-common component are compared with the rest of the bucket, in blocks, by signature and size first,
-so that no link between different components is lost.  Links are verified on the full shingle sets.
+common component are compared with all others of the bucket, in blocks of bounded size, so that no
+link between different components is lost; a block gives links only, one for each two components it
+joins, never its pairs.  Links are verified on the full shingle sets.
 Components come from star contraction: every round writes a table, so lineage stays short and lost
 executors cost no more than a round.
 
@@ -21,7 +22,6 @@ columns are ignored by ``near_duplicates`` and kept by ``without_near_duplicates
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +32,9 @@ from shelfspark.llm.common import Stored, Words, blocks, mix64, query, runs, tab
 WIDTH = 5
 BANDS, ROWS = 32, 4
 KIND = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
-SLACK = 0.2         # a signature agreement this far below the threshold (five deviations) rules a pair out
-PART = 512          # sets of a bucket that one block of the second comparison holds
+PART = 1024         # sets that one side of a block of the second comparison holds
+WEIGHT = 1 << 19    # and their shingles
+COLUMNS = 4096      # shingles counted together in a block
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH):
@@ -102,7 +103,7 @@ def _sketch(key: str, text: str, width: int, size: int):
 
 
 def _sets(text: str, width: int):
-    """Shingle hashes of the chosen documents."""
+    """Shingle hashes of the chosen documents, sorted."""
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(text))
@@ -110,9 +111,9 @@ def _sets(text: str, width: int):
                 docs, hashes = shingles(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], width)
                 ends = np.searchsorted(docs, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("set_id").slice(i, j - i), batch.column("signature").slice(i, j - i),
+                    [batch.column("set_id").slice(i, j - i),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))],
-                    ["set_id", "signature", "hashes"])
+                    ["set_id", "hashes"])
     return run
 
 
@@ -126,7 +127,8 @@ def _banded(bands: int, rows: int):
                 keys = mix64(keys ^ grid[:, r::rows][:, :bands].astype(np.uint64)) + np.uint64(r + 1)
             keys = mix64(keys ^ np.arange(bands, dtype=np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("set_id").to_numpy(), bands)),
-                                              pa.array(keys.ravel().view(np.int64))], ["set_id", "bucket"])
+                                              pa.array(np.repeat(batch.column("n_shingles").to_numpy(), bands)),
+                                              pa.array(keys.ravel().view(np.int64))], ["set_id", "n_shingles", "bucket"])
     return run
 
 
@@ -170,44 +172,110 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     return joined.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _cross_pairs(size: int, percent: int):
-    """Pairs of one block: outsiders against members of other components, by signature agreement."""
-    least = (percent / 100 - SLACK) * size
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        out, rest = group[group["outside"]], group[~group["outside"]]
-        if not len(out) or not len(rest):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        x = np.frombuffer(b"".join(out["signature"]), np.uint32).reshape(len(out), size)
-        y = np.frombuffer(b"".join(rest["signature"]), np.uint32).reshape(len(rest), size)
-        same = np.zeros((len(out), len(rest)), np.int16)
-        for k in range(size):
-            same += x[:, k, None] == y[None, :, k]
-        same[out["component"].to_numpy()[:, None] == rest["component"].to_numpy()[None, :]] = 0
-        i, j = np.nonzero(same >= least)
-        p, q = out["set_id"].to_numpy()[i], rest["set_id"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+def cross_links(outside: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Rows (i, j) of one block whose sets reach the similarity: outsiders against members of other
+    components.  Of links that join the same components one is enough, and kept."""
+    out, rest = np.flatnonzero(outside), np.flatnonzero(~outside)
+    size = np.array([len(x) for x in sets])
+    if not len(out) or not len(rest):
+        return []
+    common = np.zeros((len(out), len(rest)), np.float32)
+    if common.size <= 8:
+        for i, a in enumerate(out):
+            for j, b in enumerate(rest):
+                if 100 * min(size[a], size[b]) >= percent * max(size[a], size[b]) and component[a] != component[b]:
+                    common[i, j] = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+    else:       # counts of shared shingles as products of 0/1 matrices, some columns at a time
+        _, number = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        mine, theirs = np.zeros(number.max() + 1, bool), np.zeros(number.max() + 1, bool)
+        mine[number[outside[row]]] = True
+        theirs[number[~outside[row]]] = True
+        place = np.cumsum(mine & theirs) - 1
+        keep = (mine & theirs)[number]
+        row, column = row[keep], place[number[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        spot = np.empty(len(sets), np.int64)
+        spot[out], spot[rest] = np.arange(len(out)), np.arange(len(rest))
+        for first in range(0, int(place[-1]) + 1, COLUMNS):
+            some = slice(*np.searchsorted(column, [first, first + COLUMNS]))
+            x, y = np.zeros((len(out), COLUMNS), np.float32), np.zeros((len(rest), COLUMNS), np.float32)
+            own = outside[row[some]]
+            x[spot[row[some][own]], column[some][own] - first] = 1
+            y[spot[row[some][~own]], column[some][~own] - first] = 1
+            common += x @ y.T
+    union = size[out][:, None] + size[rest][None, :] - common
+    linked = (100 * common >= percent * union) & (component[out][:, None] != component[rest][None, :])
+    up: dict[int, int] = {}
+
+    def root(c):
+        while up.get(c, c) != c:
+            c = up[c]
+        return c
+    links = []
+    for i, j in zip(*np.nonzero(linked)):
+        p, q = root(int(component[out[i]])), root(int(component[rest[j]]))
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            links.append((int(out[i]), int(rest[j])))
+    return links
+
+
+def _linked(percent: int):
+    """Links of blocks whose rows arrive together, sorted by block."""
+    def settle(held):
+        block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ends, values = np.asarray(block.column("hashes").offsets), np.asarray(block.column("hashes").values)
+        ids = block.column("set_id").to_numpy()
+        links = cross_links(block.column("outside").to_numpy(zero_copy_only=False), block.column("component").to_numpy(),
+                            [values[a:b] for a, b in zip(ends[:-1], ends[1:])], percent)
+        return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in links]
+
+    def run(batches):
+        held, key, links = [], None, []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "part", "out_part")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1), batch.num_rows]
+            for first, last in zip(cuts[:-1], cuts[1:]):
+                own = tuple(keys[:, first]) if last > first else key
+                if own != key and held:
+                    links += settle(held)
+                    held = []
+                key = own
+                held.append(batch.slice(first, last - first))
+            yield _pairs(links)
+            links = []
+        if held:
+            yield _pairs(settle(held))
     return run
 
 
-def _second_pairs(members: DataFrame, sets: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs of different components that still share a bucket."""
+def _pairs(links: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+
+def _second_links(members: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links between different components that still share a bucket."""
     labelled = (members.join(known.withColumnRenamed("id", "set_id"), "set_id", "left")
                 .withColumn("component", F.coalesce("component", "set_id")))
-    per = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = (per.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("common"),
-                                       F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n")
-             .select("bucket", "common", F.ceil(F.col("n") / PART).alias("parts"), F.ceil((F.col("n") - F.col("most")) / PART).alias("out_parts")))
-    rows = (labelled.join(mixed, "bucket").join(sets.select("set_id", "signature"), "set_id")
-            .withColumn("spot", F.abs(F.xxhash64("set_id"))))
+    per = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    most = F.max(F.struct("n", "component", "weight"))
+    parts = lambda n, weight: F.ceil(F.greatest(n / PART, weight / WEIGHT, F.lit(1)))      # noqa: E731
+    mixed = (per.groupBy("bucket").agg(most.alias("most"), F.sum("n").alias("n"), F.sum("weight").alias("weight")).where("most.n < n")
+             .select("bucket", F.col("most.component").alias("common"), parts(F.col("n"), F.col("weight")).alias("parts"),
+                     parts(F.col("n") - F.col("most.n"), F.col("weight") - F.col("most.weight")).alias("out_parts")))
+    rows = labelled.join(mixed, "bucket").join(sets, "set_id").withColumn("spot", F.abs(F.xxhash64("set_id")))
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)     # noqa: E731
-    out = (rows.where("component <> common").withColumn("out_part", F.col("spot") % F.col("out_parts"))
-           .withColumn("part", F.explode(numbers(F.col("parts")))).withColumn("outside", F.lit(True)))
-    rest = (rows.withColumn("part", F.col("spot") % F.col("parts"))
-            .withColumn("out_part", F.explode(numbers(F.col("out_parts")))).withColumn("outside", F.lit(False)))
-    kept = ["bucket", "part", "out_part", "outside", "set_id", "component", "signature"]
-    return (out.select(kept).unionAll(rest.select(kept)).groupBy("bucket", "part", "out_part")
-            .applyInPandas(_cross_pairs(size, percent), "a long, b long").distinct())
+    outsider = F.col("component") != F.col("common")
+    as_out = F.when(outsider, F.transform(numbers(F.col("parts")), lambda p: F.struct(
+        p.alias("part"), (F.col("spot") % F.col("out_parts")).alias("out_part"), F.lit(True).alias("outside"))))
+    as_rest = F.transform(numbers(F.col("out_parts")), lambda p: F.struct(
+        (F.col("spot") % F.col("parts")).alias("part"), p.alias("out_part"), F.lit(False).alias("outside")))
+    blocks = rows.withColumn("at", F.explode(F.concat(F.coalesce(as_out, F.array()), as_rest)))
+    return (blocks.select("bucket", "at.part", "at.out_part", "at.outside", "set_id", "component", "hashes")
+            .repartition("bucket", "part", "out_part").sortWithinPartitions("bucket", "part", "out_part")
+            .mapInArrow(_linked(percent), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = 75,
@@ -221,20 +289,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     of_set = keyed.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("set_id"))
     distinct = Stored(of_set.join(sketched.read().select(F.col("doc_id").alias("set_id"), "signature").where("signature is not null"), "set_id")
                       .dropDuplicates(["set_id"]), "distinct-sets")
-    banded = Stored(distinct.read().select("set_id", "signature").mapInArrow(_banded(bands, rows), "set_id long, bucket long"), "bands")
+    banded = Stored(distinct.read().select("set_id", "n_shingles", "signature")
+                    .mapInArrow(_banded(bands, rows), "set_id long, n_shingles long, bucket long"), "bands")
     shared = banded.read().groupBy("bucket").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high")
     members = Stored(banded.read().join(shared, "bucket"), "buckets")
     banded.drop()
     chosen = members.read().select("set_id").distinct()
-    chosen = chosen.join(distinct.read().select("set_id", "signature"), "set_id")
-    sets = Stored(docs.join(chosen, docs["doc_id"] == chosen["set_id"]).select("set_id", "text", "signature").dropDuplicates(["set_id"])
-                  .mapInArrow(_sets("text", width), "set_id long, signature binary, hashes array<long>"), "shingle-sets")
+    sets = Stored(docs.join(chosen, docs["doc_id"] == chosen["set_id"]).select("set_id", "text").dropDuplicates(["set_id"])
+                  .mapInArrow(_sets("text", width), "set_id long, hashes array<long>"), "shingle-sets")
     first = (members.read().select(F.explode(F.array("low", "high")).alias("a"), F.col("set_id").alias("b")).where("a <> b")
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = Stored(verified(first, sets.read(), percent), "links")
     known = components(links.read())
-    second = Stored(_second_pairs(members.read().select("set_id", "bucket"), sets.read(), known, size, percent), "second-pairs")
-    found = components(links.read().unionAll(verified(second.read(), sets.read(), percent)))
+    second = Stored(_second_links(members.read().select("set_id", "bucket", "n_shingles"), sets.read(), known, percent), "second-links")
+    found = components(links.read().unionAll(second.read()))
     result = Stored(keyed.join(distinct.read().select("set_a", "set_b", "set_id"), ["set_a", "set_b"], "left")
                     .join(found.withColumnRenamed("id", "set_id"), "set_id", "left")
                     .select(F.col("doc_id").alias(key), "n_shingles",
