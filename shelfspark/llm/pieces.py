@@ -267,7 +267,7 @@ def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
     return b"".join(map(vocabulary.bytes_of.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
-def shared_vocabulary(df: DataFrame, model: str | None):
+def shared_vocabulary(df: DataFrame, model: str | None = None):
     return df.sparkSession.sparkContext.broadcast(Vocabulary(model or public_tokenizers.path(MODEL)))
 
 
