@@ -6,8 +6,9 @@ is the sum of the index vectors of the tokens beside its occurrences, over all d
 sums, added up per task and then per slot, so the table has a fixed size whatever the corpus.
 Rows are scaled to unit length.
 
-A document is pooled to the mean of its tokens' vectors, the mean of their squares, and the share of
-each token class.  A network with one hidden layer (numpy, Adam) is fitted on at most ``SAMPLE``
+A document is pooled to the mean of its tokens' vectors, the mean of their squares, the share of
+each token class, the shares of tokens equal to the last and to the last but one (a word repeated
+without end), and the share of distinct tokens.  A network with one hidden layer (numpy, Adam) is fitted on at most ``SAMPLE``
 labelled rows (lowest hash of the id); a third of them is held back to choose the number of rounds
 and the temperature by which the outputs are divided, so that scores are probabilities.
 
@@ -90,9 +91,10 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def pool(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Per text: mean vector, mean of squares, share of each token shape, log of the token count."""
+    """Per text: mean vector, mean of squares, share of each token shape, of repeats and of distinct
+    tokens, log of the token count."""
     data, offsets = text_bytes(column)
-    out = np.zeros((len(column), 2 * SIZE + SHAPES + 1), np.float32)
+    out = np.zeros((len(column), 2 * SIZE + SHAPES + 4), np.float32)
     for i, j in blocks(offsets):
         doc, slot, shape = tokens(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
         if not len(doc):
@@ -105,6 +107,10 @@ def pool(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
         out[rows, SIZE:2 * SIZE] = np.add.reduceat(seen * seen, first) / size[:, None]
         shares = np.bincount(doc * SHAPES + shape, minlength=(j - i) * SHAPES).reshape(-1, SHAPES)[doc[first]]
         out[rows, 2 * SIZE:2 * SIZE + SHAPES] = shares / size[:, None]
+        for lag, place in ((1, -4), (2, -3)):
+            again = (slot[lag:] == slot[:-lag]) & (doc[lag:] == doc[:-lag])
+            out[rows, place] = np.bincount(doc[lag:][again], minlength=j - i)[doc[first]] / size
+        out[rows, -2] = np.bincount(np.unique(doc * SLOTS + slot) // SLOTS, minlength=j - i)[doc[first]] / size
         out[rows, -1] = np.log1p(size)
     return out
 
