@@ -361,10 +361,18 @@ def budget_select(t):
     return selection.budget_select(df, "p_brand", "price", ["p_type", "p_partkey"], 10000.0).select("p_partkey", "p_brand")
 
 
-@query("budget_select_keys")
+@query("budget_select_keys", """
+with recursive c as (select p_partkey, p_brand, p_name, p_size::varchar as size, round(p_retailprice * 100)::bigint as cents,
+    row_number() over (partition by p_brand order by p_type, p_partkey) as n from part),
+ walk as (select p_brand, 0::bigint as n, 1200000::bigint as money, null::bigint as p_partkey, []::varchar[] as names, []::varchar[] as sizes from c group by 1
+   union all select p_brand, n, case when fits then money - cents else money end, case when fits then p_partkey end,
+     case when fits then list_append(names, p_name) else names end, case when fits then list_append(sizes, size) else sizes end
+   from (select c.p_brand, c.n, w.money, c.cents, c.p_partkey, c.p_name, c.size, w.names, w.sizes,
+       c.cents <= w.money and not list_contains(w.names, c.p_name) and not list_contains(w.sizes, c.size) as fits
+     from walk w join c on c.p_brand = w.p_brand and c.n = w.n + 1))
+select p_partkey, p_brand from walk where p_partkey is not null""")
 def budget_select_keys(t):
-    """One title and one size per brand at most: no SQL form (a taken item
-    changes what follows); compared with a plain loop in the tests."""
+    """One title and one size per brand at most."""
     df = t.part.select("p_partkey", "p_brand", "p_type", "p_name", F.col("p_size").cast("string").alias("size"), "p_retailprice")
     return selection.budget_select(df, "p_brand", "p_retailprice", ["p_type", "p_partkey"], 12000.0,
                                    keys=("p_name", "size")).select("p_partkey", "p_brand")
