@@ -78,6 +78,13 @@ def title_lookup(df, term: str, title, series, key) -> DataFrame:
     return found.withColumn("state", F.when(has_ean(key), "found").otherwise("found without EAN"))
 
 
+def title_answer(df, term: str, title, series, key) -> DataFrame:
+    """One row: the term, how it is held (found, found without EAN, absent), and the rows found."""
+    best = F.max(F.when(F.col("state") == "found", 2).otherwise(1))
+    return title_lookup(df, term, title, series, key).agg(best.alias("_b"), F.count(F.lit(1)).alias("rows")).select(
+        F.lit(term).alias("term"), F.when(F.col("_b") == 2, "found").when(F.col("_b") == 1, "found without EAN").otherwise("absent").alias("state"), "rows")
+
+
 FORBIDDEN = ("insert", "update", "delete", "drop", "alter", "create", "replace", "attach", "pragma")
 
 

@@ -107,3 +107,16 @@ def date_formats(df: DataFrame, date) -> DataFrame:
     shape = (F.when(c.rlike("^\\d{4}-\\d{2}-\\d{2}$"), "yyyy-mm-dd")
              .when(c.rlike("^\\d{2}/\\d{2}/\\d{4}$"), "dd/mm/yyyy").otherwise("other"))
     return df.groupBy(shape.alias("format")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def counter_issues(rows: DataFrame, ts, value, days: int = 5) -> dict[str, DataFrame]:
+    """What to look at in a counter export: readings given twice, the busiest days, and entries by
+    hour outside the opening hours."""
+    seen = rows.where(F.col(value) > 0)
+    per_day = seen.groupBy(F.date_format(ts, "yyyy-MM-dd").alias("day")).agg(F.sum(value).alias("entries"))
+    return {
+        "duplicates": rows.groupBy(ts).agg(F.count(F.lit(1)).alias("readings")).where("readings > 1"),
+        "top_days": per_day.orderBy(F.col("entries").desc(), "day").limit(days),
+        "off_hours": (seen.where(~is_open(F.col(ts))).groupBy(F.date_format(ts, "HH:00").alias("hour"))
+                      .agg(F.sum(value).alias("entries"), F.count(F.lit(1)).alias("readings"))),
+    }

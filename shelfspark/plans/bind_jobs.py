@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfspark.operators import filters, footfall
 from shelfspark.plans import jobs
 from shelfspark.plans.bind_holdings import E_SQL, OPEN, counters
 from shelfspark.plans.registry import query
@@ -178,3 +179,71 @@ select '978' || p_partkey as identifier, 'cote_absente' as anomaly from part whe
 union all select '978' || p_partkey, 'cote_non_conforme' from part where p_size % 4 = 0 and p_size % 6 <> 0 and p_size % 16 <> 4""")
 def quality_audit_films(t):
     return audited(t)["films"].select("identifier", "anomaly")
+
+
+# --- counter profile, look-ups, segments --------------------------------------------------------------
+
+def issues(t, name):
+    rows = counters(t).select(F.date_trunc("minute", "ts").alias("ts"), "n")
+    return footfall.counter_issues(rows, "ts", "n")[name]
+
+
+MINUTES = "e as (select date_trunc('minute', ts) as ts, round(value * 100)::bigint as n from events)"
+
+
+@query("counter_duplicates", f"with {MINUTES} select ts, count(*) as readings from e group by 1 having count(*) > 1")
+def counter_duplicates(t):
+    return issues(t, "duplicates")
+
+
+@query("counter_top_days", f"""
+with {MINUTES} select strftime(ts, '%Y-%m-%d') as day, sum(n)::bigint as entries from e where n > 0 group by 1 order by entries desc, day limit 5""")
+def counter_top_days(t):
+    return issues(t, "top_days")
+
+
+@query("counter_off_hours", f"""
+with {MINUTES} select strftime(ts, '%H:00') as hour, sum(n)::bigint as entries, count(*) as readings from e where n > 0 and not {OPEN} group by 1""")
+def counter_off_hours(t):
+    return issues(t, "off_hours")
+
+
+@query("title_answers", """
+with k as (select p_partkey, p_name, p_size % 3 = 0 or p_name like 'blue%' as bare from part),
+ a as (select unnest(['Blue Anvil', 'RÉD', 'zzz']) as term, unnest(['blue anvil', 'red', 'zzz']) as folded)
+select term, case when count(p_partkey) = 0 then 'absent' when bool_or(not bare) then 'found' else 'found without EAN' end as state, count(p_partkey) as rows
+from a left join k on contains(lower(p_name), folded) group by term""")
+def title_answers(t):
+    bare = (F.col("p_size") % 3 == 0) | F.col("p_name").startswith("blue")
+    df = t.part.withColumn("code", F.when(bare, F.concat(F.lit("CB:"), "p_partkey")).otherwise(F.col("p_partkey").cast("string")))
+    df = df.withColumn("none", F.lit(None).cast("string"))
+    first, *others = [filters.title_answer(df, term, "p_name", "none", "code") for term in ("Blue Anvil", "RÉD", "zzz")]
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
+@query("all_segments", """
+with k as (select p_partkey, case p_size % 4 when 0 then 'BD' when 1 then 'Manga' when 2 then 'BD' else 'Album' end as category,
+  case p_size % 3 when 0 then 'bdj 1' when 1 then 'COM 2' else 'R RG' end as mark, case when p_size % 2 = 0 then 'Adulte' else 'Jeunesse' end as audience, p_size from part)
+select p_partkey, 'bd_jeunesse' as segment from k where category = 'BD' and p_size % 3 = 0
+union all select p_partkey, 'bd_adulte' from k where category = 'BD' and p_size % 3 <> 0
+union all select p_partkey, 'comics' from k where category = 'BD' and p_size % 3 = 1
+union all select p_partkey, 'roman_graphique' from k where category = 'BD' and p_size % 3 = 2
+union all select p_partkey, 'manga_jeunesse' from k where category = 'Manga' and audience = 'Jeunesse'
+union all select p_partkey, 'manga_adulte' from k where category = 'Manga' and audience = 'Adulte'""")
+def all_segments(t):
+    size = F.col("p_size")
+    df = t.part.select(
+        "p_partkey", F.get(F.array(*[F.lit(c) for c in ("BD", "Manga", "BD", "Album")]), size % 4).alias("category"),
+        F.get(F.array(*[F.lit(c) for c in ("bdj 1", "COM 2", "R RG")]), size % 3).alias("mark"), F.when(size % 2 == 0, "Adulte").otherwise("Jeunesse").alias("audience"))
+    names = F.array_compact(F.array(*[F.when(test, name) for name, test in filters.segments("category", "mark", "audience").items()]))
+    return df.select("p_partkey", F.explode(names).alias("segment"))
+
+
+@query("guarded_rows", """
+select o_orderkey from orders order by o_totalprice desc, o_orderkey limit 500""")
+def guarded_rows(t):
+    """The rows that a guarded statement with an order shows."""
+    t.orders.createOrReplaceTempView("shelfspark_orders")
+    return filters.guarded_query(t.spark, "select o_orderkey from shelfspark_orders order by o_totalprice desc, o_orderkey")[0]
