@@ -22,7 +22,9 @@ from shelfspark.session import scratch, tune
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-BATCH_ROWS = 2000       # rows of an Arrow batch: bounds what a Python worker holds at once
+pa.set_memory_pool(pa.system_memory_pool())     # so that freed memory can be handed back, see release()
+
+BATCH_ROWS = 1000       # rows of an Arrow batch: bounds what a Python worker holds at once
 BLOCK_BYTES = 1 << 19   # bytes of text that numpy works on at once
 
 
@@ -71,8 +73,15 @@ class Stored:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Hands freed memory back to the system: Python workers live on between stages, and several
+    share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
+    release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -196,9 +205,10 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[new], np.append(e[:-1][new[1:]], e[-1])
 
 
-def append(df: DataFrame, fields: str, make) -> DataFrame:
+def append(df: DataFrame, fields: str, make, after=None) -> DataFrame:
     """``df`` with the columns of the DDL string ``fields``, which ``make`` (record batch -> list of
-    Arrow arrays or Python lists) computes; columns of these names that ``df`` has are replaced."""
+    Arrow arrays or Python lists) computes; columns of these names that ``df`` has are replaced.
+    ``after`` is called at the end of a partition, to forget what the worker has remembered."""
     new = T.StructType.fromDDL(fields)
     kept = [name for name in df.columns if name not in new.names]
     schema = T.StructType([df.schema[name] for name in kept] + list(new.fields))
@@ -208,4 +218,7 @@ def append(df: DataFrame, fields: str, make) -> DataFrame:
         for batch in batches:
             made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, kind) for x, kind in zip(make(batch), arrow)]
             yield pa.RecordBatch.from_arrays([batch.column(name) for name in kept] + made, kept + new.names)
+        if after:
+            after()
+        release()
     return df.mapInArrow(run, schema)

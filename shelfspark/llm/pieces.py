@@ -38,7 +38,7 @@ MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 PENALTY = 10.0
 LONGEST = 64        # bytes of a unit searched together with others; longer units go one by one
-MEMORY = 400_000    # units a worker remembers
+MEMORY = 250_000    # units a worker remembers
 UNIT = re.compile(r" +[^ \n\t]*|[\n\t]|[^ \n\t]+")
 
 
@@ -263,6 +263,10 @@ def encode_texts(vocabulary: Vocabulary, texts: list[str | None]) -> list[bytes
     return out
 
 
+def forget() -> None:
+    _MEMORY.clear()
+
+
 def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
     return b"".join(map(vocabulary.bytes_of.__getitem__, ids))[1:].decode("utf-8", "replace")
 
@@ -284,7 +288,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None, shared
 
     def make(batch):
         return [_lists(encode_texts(shared.value, batch.column(text).to_pylist()))]
-    return append(docs, "tokens array<int>", make)
+    return append(docs, "tokens array<int>", make, forget)
 
 
 def decode(docs: DataFrame, tokens: str = "tokens", model: str | None = None, shared=None) -> DataFrame:

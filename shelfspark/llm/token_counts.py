@@ -27,11 +27,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import Stored, query, scratch, table
+from shelfspark.llm.common import Stored, query, release, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
-MEMORY = 400_000        # pre-tokens that a worker remembers
+MEMORY = 250_000        # pre-tokens that a worker remembers
 PLAIN = regex.compile(r"[^\x00-\x7f -ɏ‐-‧€]")
 CACHE = "tokenizer string, content binary, n_tokens long"
 
@@ -149,6 +149,9 @@ def _counted(counter):
                 texts = [unpacker.decompress(p).decode() for p in packed[k:k + 200]]
                 yield pa.RecordBatch.from_arrays([pa.array([one.digest(t) for t in texts], pa.binary()), pa.array(one.counts(texts), pa.int64())],
                                                  ["content", "n_tokens"])
+        if counter.value._ready:
+            counter.value.memory.clear()
+        release()
     return run
 
 
