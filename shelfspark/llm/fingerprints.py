@@ -2,7 +2,7 @@
 
 A document is a weighted set: its words, lower-cased, each weighing the characters it covers.  For
 sample k every word gets r and c from Gamma(2, 1) and beta from the uniform distribution, all fixed
-by hashes of (word, k); with weight w it takes ``t = floor(ln w / r + beta)`` and the value
+by a hash of (word, k); with weight w it takes ``t = floor(ln w / r + beta)`` and the value
 ``ln a = ln c - r (t - beta) - r``.  The word with the least value is the sample, and two documents
 share sample k with a probability equal to their generalised Jaccard similarity, the sum of smaller
 over the sum of larger weights.  A fingerprint is the 16-bit digest of (word, t) of each sample;
@@ -27,32 +27,52 @@ SAMPLES = 32
 RANGES_PER_PARTITION = 4
 
 
-def _samples(word: Column, log_weight: Column, samples: int) -> list[Column]:
-    """Per sample a long that orders like ln a and carries the sample's digest in its low 16 bits."""
-    def part(z, shift, bits):       # uniform in (0, 1)
+def _samples(word: Column, log_weights: list[Column], samples: int) -> list[Column]:
+    """Per sample and weight the least value: a long that orders like ln a and carries the sample's
+    digest in its low 16 bits.  One hash of (word, k) gives r, c, beta and the word's part of the
+    digest; a word without weight takes no part."""
+    def uniform(z, shift, bits):
         return (F.shiftrightunsigned(z, shift).bitwiseAND(F.lit((1 << bits) - 1)) + 0.5) / float(1 << bits)
     out = []
     for k in range(samples):
-        x, y = F.xxhash64(word, F.lit(2 * k)), F.xxhash64(word, F.lit(2 * k + 1))
-        r = -F.ln(part(x, 0, 31) * part(x, 31, 31))
-        log_c = F.ln(-F.ln(part(y, 0, 24) * part(y, 24, 24)))
-        beta = part(y, 48, 16)
-        t = F.floor(log_weight / r + beta)
-        log_a = log_c - r * (t - beta) - r
-        digest = F.xxhash64(word, t, F.lit(k)).bitwiseAND(F.lit(0xFFFF))
-        out.append(F.min(F.shiftleft(F.floor(log_a * float(1 << 24)), 16).bitwiseOR(digest)).alias(f"s{k}"))
+        z = F.xxhash64(word, F.lit(k))
+        r = -F.ln(uniform(z, 0, 14) * uniform(z, 14, 14))
+        log_c = F.ln(-F.ln(uniform(z, 28, 12) * uniform(z, 40, 12)))
+        beta = uniform(z, 52, 12)
+        for side, log_weight in enumerate(log_weights):
+            t = F.floor(log_weight / r + beta)
+            log_a = log_c - r * (t - beta + 1)
+            digest = F.xxhash64(z, t).bitwiseAND(F.lit(0xFFFF))
+            out.append(F.min(F.shiftleft(F.floor(log_a * float(1 << 24)), 16).bitwiseOR(digest)).alias(f"s{side}_{k}"))
     return out
 
 
-def signed(rows: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """``keys`` (which identify the rows) and ``codes``, the samples' digests.  If ``rows`` are dealt
-    by some of the keys already, nothing is shuffled."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " ")
-    weighed = (rows.select(*keys, F.explode(words).alias("word"))
-               .select(*keys, F.xxhash64("word").alias("word"), F.greatest(F.length("word"), F.lit(1)).cast("long").alias("weight"))
-               .groupBy(*keys, "word").agg(F.sum("weight").alias("weight")).withColumn("weight", F.ln("weight")))
-    found = weighed.groupBy(*keys).agg(*_samples(F.col("word"), F.col("weight"), samples))
-    return found.select(*keys, F.array(*[F.col(f"s{k}").bitwiseAND(F.lit(0xFFFF)).cast("int") for k in range(samples)]).alias("codes"))
+def _plain(text: str) -> Column:
+    """White space as blanks."""
+    return F.translate(text, "\t\n\x0b\x0c\r", "     ")
+
+
+def signed(pieces: DataFrame, keys: list[str], sides: int, samples: int = SAMPLES) -> DataFrame:
+    """``keys`` and ``codes0``, ``codes1``, ...: the samples' digests of ``sides`` texts per key, given
+    by rows (keys, sides: array<int> of 0 and 1, piece: string, marker: boolean): a piece belongs
+    to the texts that have 1.  A marker row stands for one empty word.  If the rows are dealt by
+    some of the keys already, nothing is shuffled."""
+    words = (pieces.select(*keys, "sides", "marker", F.explode(F.split(F.lower(_plain("piece")), " ")).alias("word"))
+             .where("word <> '' or marker"))
+    length = F.greatest(F.length("word"), F.lit(1)).cast("long")
+    weights = [F.sum(F.col("sides")[i] * length).alias(f"w{i}") for i in range(sides)]
+    weighed = words.select(*keys, "sides", F.xxhash64("word").alias("hash"), "word").groupBy(*keys, "hash").agg(*weights)
+    weighed = weighed.select(*keys, "hash", *[F.when(F.col(f"w{i}") > 0, F.ln(f"w{i}")).alias(f"w{i}") for i in range(sides)])
+    found = weighed.groupBy(*keys).agg(*_samples(F.col("hash"), [F.col(f"w{i}") for i in range(sides)], samples))
+    return found.select(*keys, *[F.array(*[F.col(f"s{i}_{k}").bitwiseAND(F.lit(0xFFFF)).cast("int") for k in range(samples)]).alias(f"codes{i}")
+                                 for i in range(sides)])
+
+
+def sign(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
+    """key and ``codes0``, the fingerprint of ``text``; ``key`` identifies the rows."""
+    whole = F.coalesce(text, F.lit(""))
+    pieces = docs.select(key, F.array(F.lit(1)).alias("sides"), whole.alias("piece")).withColumn("marker", F.trim(_plain("piece")) == "")
+    return signed(pieces, [key], 1, samples)
 
 
 def likeness(a: str, b: str) -> Column:
@@ -91,22 +111,29 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = Window.partitionBy("range").orderBy("last", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
-    n = F.length("text")
-    third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next", F.lit(1), third))
+    third = F.floor(F.length("text") / 3).cast("int")
     rows = (in_ranges(docs, ranges).withColumn("next", F.lead("text").over(order)).withColumn("place", F.row_number().over(order))
-            .select("range", "place", "last", "doc_id", "text", F.when(~F.col("last"), edited).alias("edited")))
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))
-    texts = rows.select("range", "place", F.explode(sides).alias("x")).select("range", "place", "x.side", "x.text").where("text is not null")
-    codes = signed(texts, ["range", "place", "side"], samples=samples)
-    pairs = codes.groupBy("range", "place").agg(F.max(F.when(F.col("side") == 0, F.col("codes"))).alias("own"),
-                                                F.max(F.when(F.col("side") == 1, F.col("codes"))).alias("other"))
+            .select("range", "place", "last", "doc_id", "text", F.substring("text", F.lit(1), F.length("text") - third).alias("head"),
+                    F.when(~F.col("last"), F.substring("next", F.lit(1), third)).alias("tail")))
+    # up to its last blank the head is shared by both texts, word for word
+    back = F.locate(" ", F.reverse(_plain("head")))
+    cut = F.when(back > 0, F.length("head") - back + 1).otherwise(0)
+    piece = lambda own, other, text, marker=False: F.struct(      # noqa: E731
+        F.array(F.lit(own) if isinstance(own, int) else own, F.lit(other) if isinstance(other, int) else other).alias("sides"), text.alias("piece"), F.lit(marker).alias("marker"))
+    rest = F.substring("head", cut + 1, F.length("head"))
+    blank = [(F.trim(_plain("text")) == "").cast("int"), F.when(F.col("last"), 0).otherwise((F.trim(_plain("head")) == "").cast("int") * (F.trim(_plain("tail")) == "").cast("int"))]
+    pieces = F.concat(
+        F.when(F.col("last"), F.array(piece(1, 0, F.col("text")))).otherwise(F.array(
+            piece(1, 1, F.substring("head", F.lit(1), cut)), piece(1, 0, F.substring("text", cut + 1, F.length("text"))), piece(0, 1, F.concat(rest, "tail")))),
+        F.when((blank[0] + blank[1]) > 0, F.array(piece(blank[0], blank[1], F.lit(""), True))).otherwise(F.array()))
+    codes = signed(rows.select("range", "place", F.explode(pieces).alias("x")).select("range", "place", "x.*"), ["range", "place"], 2, samples)
+    pairs = codes.select("range", "place", F.col("codes0").alias("own"), F.col("codes1").alias("other"))
     pairs = pairs.withColumn("following", F.lead("own").over(Window.partitionBy("range").orderBy("place")))
-    compared = pairs.where("other is not null").select(
+    compared = pairs.select(
         "range", "place", as_text("own").alias("fingerprint"), as_text("other").alias("edited_fingerprint"),
         likeness("own", "other").alias("near_edited"), likeness("own", "following").alias("near_next"))
     facts = rows.where("not last").select("range", "place", F.col("doc_id").alias(key), F.length("text").cast("long").alias("n_chars"),
-                                          F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"))
+                                          F.sha2(F.encode(F.concat("head", "tail"), "utf-8"), 256).alias("edited_sha256"))
     return facts.join(compared, ["range", "place"]).drop("range", "place")
 
 

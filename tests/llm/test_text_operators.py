@@ -221,14 +221,25 @@ def test_near_duplicates(ready):
     assert minhash.near_duplicates(df.where("false")).count() == 0
 
 
-def test_second_comparison_finds_links_between_components():
-    """Two members of a bucket that both miss its smallest and largest set."""
-    size = 8
-    same = np.arange(size, dtype=np.uint32).tobytes()
-    import pandas as pd
-    group = pd.DataFrame({"outside": [True, False, False, True], "set_id": [3, 4, 9, 9], "component": [3, 4, 9, 9], "signature": [same, same, b"\0" * 4 * size, b"\0" * 4 * size]})
-    pairs = minhash._cross_pairs(size, 75)(group)
-    assert list(zip(pairs["a"], pairs["b"])) == [(3, 4)]
+@pytest.mark.parametrize("n", [3, 40])
+def test_second_comparison_finds_links_between_components(n):
+    """Outsiders against all others, by the full sets; one link for two components."""
+    random.seed(n)
+    sets = [np.array(sorted(random.sample(range(12), random.randrange(8, 12)))) for _ in range(n)]
+    outside = np.array([i % 3 == 0 for i in range(n)])
+    component = np.array([i if i % 3 == 0 else 1000 + i % 2 for i in range(n)])
+    links = minhash.cross_links(outside, component, sets, 75)
+    joined = {c: c for c in component.tolist()}
+
+    def merge(pairs):
+        for i, j in pairs:
+            x, y = joined[component[i]], joined[component[j]]
+            joined.update({c: min(x, y) for c, v in joined.items() if v in (x, y)})
+        return dict(joined)
+    got = merge(links)
+    near = lambda a, b: 100 * len(set(a) & set(b)) >= 75 * len(set(a) | set(b))      # noqa: E731
+    assert all(outside[i] and not outside[j] and near(sets[i], sets[j]) for i, j in links) and len(links) < len(set(component.tolist()))
+    assert merge([(i, j) for i in range(n) for j in range(n) if outside[i] and not outside[j] and near(sets[i], sets[j])]) == got
 
 
 def test_circulant_signatures_estimate_similarity():
@@ -357,7 +368,7 @@ def test_fingerprints_estimate_generalised_jaccard(ready):
     random.seed(1)
     vocab = [f"term{i}" for i in range(60)]
     rows = [(i, " ".join(random.choices(vocab[i % 3 * 10:], k=200))) for i in range(12)]
-    codes = {r["doc_id"]: r["codes"] for r in fingerprints.signed(ready.createDataFrame(rows, DOCS), ["doc_id"], samples=64).collect()}
+    codes = {r["doc_id"]: r["codes0"] for r in fingerprints.sign(ready.createDataFrame(rows, DOCS), samples=64).collect()}
     error = []
     for i in range(12):
         for j in range(i):
