@@ -134,7 +134,7 @@ def _item_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-                  item_text: str = "text", n: int = 10, block_bytes: int = 1 << 23) -> DataFrame:
+                  item_text: str = "text", n: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
     """Per row of ``docs``: key, ``n_words``, hit ``spans`` (first and last-plus-one word; begin and
     stop byte) and the ``items`` whose windows occur."""
     spark, parts = docs.sparkSession, []
@@ -168,7 +168,7 @@ def _merge_spans(batches):
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-                         n: int = 10, block_bytes: int = 1 << 23) -> DataFrame:
+                         n: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
     """Rows of ``docs`` in which no benchmark window occurs, columns unchanged: one pass of the scan
     behind the other per benchmark block, without a shuffle."""
     def clean(ngrams):
