@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
 
 import pyarrow as pa
 import public_tokenizers
@@ -32,7 +33,7 @@ from shelfspark.llm.common import Stored, query, release, scratch, table
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 MEMORY = 250_000        # pre-tokens that a worker remembers
-PLAIN = regex.compile(r"[^\x00-\x7f -ɏ‐-‧€]")
+OTHER = regex.compile(r"[^\x00-\x1b\x20-\u024f\u2010-\u2027\u20ac]")     # beyond Latin letters and signs
 CACHE = "tokenizer string, content binary, n_tokens long"
 
 
@@ -64,52 +65,66 @@ class Counter:
                                                                      "truncation": None, "padding": None}))
             bare.no_truncation()
             bare.no_padding()
-            self.bare, self.pattern = bare, _word_pattern(parts)
+            self.bare, self.pattern, self.usual = bare, _word_pattern(parts), _usual_steps(parts)
+            if self.plain_special:
+                self.whole = None       # its vocabulary is not needed twice
             self.memory: dict[str, int] = {}
             self._ready = True
         return self
 
-    def content(self, text: str) -> list[str]:
-        """Normalised segments between special strings; the bare text where specials need context."""
+    def content(self, text: str) -> list[tuple[bool, str]]:
+        """Normalised segments between special strings, and whether each is plain; the bare text
+        where specials need context."""
         if not self.plain_special:
-            return [text]
-        segments = self.special.split(text) if self.special else [text]
-        return [self.normalizer.normalize_str(s) if self.normalizer and s else s for s in segments]
-
-    def digest(self, text: str) -> bytes:
+            return [(False, text)]
+        return [self.normal(s) for s in (self.special.split(text) if self.special else [text])]
+
+    def normal(self, segment: str) -> tuple[bool, str]:
+        """What the tokenizer makes of a segment.  For plain text under the usual steps (NFC, white
+        space, lower case) Python does the same, but for blanks at the ends, which no token holds."""
+        if self.usual and not OTHER.search(segment):
+            return True, " ".join(unicodedata.normalize("NFC", segment).lower().split())
+        return False, self.normalizer.normalize_str(segment) if self.normalizer and segment else segment
+
+    @staticmethod
+    def digest(content: list[tuple[bool, str]]) -> bytes:
         made = hashlib.blake2b(digest_size=16)
-        for segment in self.content(text):
+        for _, segment in content:
             raw = segment.encode("utf-8", "surrogatepass")
             made.update(len(raw).to_bytes(8, "little") + raw)
         return made.digest()
 
-    def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of each text, special strings one each."""
+    def counts(self, contents: list[list[tuple[bool, str]]]) -> list[int]:
+        """Tokens of each content, special strings one each."""
         if not self.plain_special:
-            return [len(e) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        segments = [self.content(text) for text in texts]
-        out = [len(s) - 1 for s in segments]
+            return [len(e) for e in self.whole.encode_batch_fast([c[0][1] for c in contents], add_special_tokens=False)]
+        out = [len(c) - 1 for c in contents]
         if len(self.memory) > MEMORY:
             self.memory.clear()
         words: list[tuple[int, list[str]]] = []
-        whole: list[tuple[int, str]] = []
-        for i, parts in enumerate(segments):
-            for part in filter(None, parts):
-                if self.pattern is not None and not PLAIN.search(part):
+        for i, parts in enumerate(contents):
+            for plain, part in parts:
+                if plain and self.pattern is not None:
                     words.append((i, self.pattern.findall(part)))
-                else:
-                    whole.append((i, part))
+                elif part:
+                    out[i] += len(self.bare.encode(part, add_special_tokens=False))
         missing = sorted({w for _, found in words for w in found} - self.memory.keys())
         for k in range(0, len(missing), 5000):
             some = missing[k:k + 5000]
             self.memory.update(zip(some, (len(e) for e in self.bare.encode_batch_fast(some, add_special_tokens=False))))
         for i, found in words:
             out[i] += sum(map(self.memory.__getitem__, found))
-        for i, part in whole:
-            out[i] += len(self.bare.encode(part, add_special_tokens=False))
         return out
 
 
+def _usual_steps(parts: dict) -> bool:
+    """The normaliser composes, turns runs of white space into one blank, and lowers the case; the
+    splitter drops blanks."""
+    steps = (parts.get("normalizer") or {}).get("normalizers") or []
+    return (_word_pattern(parts) is not None and [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"]
+            and steps[1].get("pattern") == {"Regex": "\\s+"} and steps[1].get("content") == " ")
+
+
 def _word_pattern(parts: dict):
     """The pre-tokens as a pattern, where the file splits by one pattern and keeps only matches."""
     steps = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or []
@@ -126,7 +141,7 @@ def _digests(counter):
             one = counter.value.ready()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()),
-                                              pa.array([one.digest(t) for t in texts], pa.binary())], ["doc_id", "n_bytes", "content"])
+                                              pa.array([one.digest(one.content(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "content"])
     return run
 
 
@@ -146,8 +161,8 @@ def _counted(counter):
             one = counter.value.ready()
             packed = batch.column("packed").to_pylist()
             for k in range(0, len(packed), 200):
-                texts = [unpacker.decompress(p).decode() for p in packed[k:k + 200]]
-                yield pa.RecordBatch.from_arrays([pa.array([one.digest(t) for t in texts], pa.binary()), pa.array(one.counts(texts), pa.int64())],
+                contents = [one.content(unpacker.decompress(p).decode()) for p in packed[k:k + 200]]
+                yield pa.RecordBatch.from_arrays([pa.array([one.digest(c) for c in contents], pa.binary()), pa.array(one.counts(contents), pa.int64())],
                                                  ["content", "n_tokens"])
         if counter.value._ready:
             counter.value.memory.clear()
