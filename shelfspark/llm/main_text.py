@@ -3,9 +3,14 @@
 A page is read once into text nodes with their root-to-leaf tag path (tags with first class or id).
 Per path the text length and the punctuation are added up and divided by its nodes; both ratios are
 smoothed along the page and multiplied.  Paths whose mean reaches ``LEVEL`` standard deviations of
-the page are content.  Short nodes beside content (headings, one-word paragraphs, emphasised parts)
-belong to it: what lies in the same container as content is kept too.  Elements that are never main
-text by their tag or by a word of their class or id are left out before counting.
+the page are content.  Short nodes beside content (headings, one-word paragraphs, table cells,
+captions, definitions) belong to it: all that lies in the lowest element around the content is kept,
+or in the article or main around that element, however little of the text a part holds.  Where
+articles and mains hold most of the content, that is their lowest common element, and of the rest of
+the page the containers of content are kept.  Content only by its neighbours along the page counts
+with at least one punctuation mark a node, and does not widen that element.  If nothing below the body holds all content, containers
+of nothing but links before and behind the content are left out.  Elements that are never main text
+by their tag or by a word of their class or id are left out before counting.
 
 Cases: null or empty html, and pages without content, give an empty text; unclosed elements, cut-off
 tags and pages cut off in the middle are read to the end; repeated rows are read alike; extra
@@ -46,10 +51,11 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 def text_nodes(page: str):
-    """(path, container, text) of each text node that may be main text, in page order; None marks
-    the end of a block."""
+    """(path, container, text, in a link) of each text node that may be main text, in page order,
+    None for the end of a block; and (parent, tag) of each element by number, in page order, 0 being
+    the page itself."""
     stack: list[list] = []      # tag, label, left out, number
-    out, at, number = [], 0, 0
+    out, at, tree = [], 0, [(0, "")]
     hidden = 0
 
     def pop_to(size: int):
@@ -64,7 +70,7 @@ def text_nodes(page: str):
         depth = len(stack) - 1
         while depth >= 0 and (stack[depth][0] in INLINE or stack[depth][0] in {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre"}):
             depth -= 1
-        out.append((path, stack[depth][3] if depth >= 0 else -1, piece))
+        out.append((path, stack[depth][3] if depth >= 0 else 0, piece, any(e[0] == "a" for e in stack)))
 
     for m in TOKEN.finditer(page):
         if m.start() < at:
@@ -114,38 +120,42 @@ def text_nodes(page: str):
             continue
         if (m[3] or "").rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
-        number += 1
         label = tag + "".join("." + x.split()[0].lower() for x in names[:1] if x.split())
-        stack.append([tag, label, left_out, number])
+        tree.append((stack[-1][3] if stack else 0, tag))
+        stack.append([tag, label, left_out, len(tree) - 1])
         hidden += left_out
     text(page[at:])
-    return out
+    return out, tree
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, blocks joined by one space."""
-    nodes, length, marks, count = text_nodes(page or ""), defaultdict(int), defaultdict(int), defaultdict(int)
+    (nodes, tree), length, marks, count = text_nodes(page or ""), defaultdict(int), defaultdict(int), defaultdict(int)
     full = []
     for node in nodes:
         if node is not None:
             words = markup.unescape(node[2])
             bare = words.strip()
             if bare:
-                full.append(node[:2])
+                full.append((node[0], node[1], len(bare), node[3]))
                 length[node[0]] += len(bare)
                 marks[node[0]] += len(PUNCTUATION.findall(bare))
                 count[node[0]] += 1
     if not full:
         return ""
-    ratio = _smooth(np.array([length[p] / count[p] for p, _ in full], float))
-    sign = _smooth(np.array([1 + marks[p] / count[p] for p, _ in full], float))
+    ratio = _smooth(np.array([length[x[0]] / count[x[0]] for x in full], float))
+    sign = _smooth(np.array([1 + marks[x[0]] / count[x[0]] for x in full], float))
     fused = ratio * sign
     per: dict[str, list[float]] = defaultdict(list)
-    for (path, _), value in zip(full, fused):
-        per[path].append(float(value))
+    for x, value in zip(full, fused):
+        per[x[0]].append(float(value))
     limit = LEVEL * float(fused.std())
     content = {path for path, values in per.items() if sum(values) / len(values) >= limit}
-    homes = _homes(full, length, content)
+    # long by themselves, not only by their neighbours along the page
+    own = {path for path in content if length[path] / count[path] * (1 + marks[path] / count[path]) >= limit}
+    homes = _homes(full, tree, own or content)
+    # sentences that are content by their neighbours are kept where they stand, and stretch nothing
+    homes |= {x[1] for x in full if x[0] in content and marks[x[0]] >= count[x[0]]}
     kept = []
     for node in nodes:
         if node is None:
@@ -161,17 +171,50 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(wide, KERNEL, mode="valid")
 
 
-def _homes(full: list, length: dict, content: set) -> set:
-    """Containers of content: those that hold at least a tenth of the content of the fullest."""
-    weight: dict[int, float] = defaultdict(float)
-    share = defaultdict(int)
-    for path, _ in full:
-        share[path] += 1
-    for path, home in full:
+def _homes(full: list, tree: list, content: set) -> set:
+    """Containers whose text is kept, given the paths of content."""
+    weight: dict[int, int] = defaultdict(int)
+    for path, home, size, _ in full:
         if path in content:
-            weight[home] += length[path] / share[path]
-    most = max(weight.values(), default=0.0)
-    return {home for home, value in weight.items() if value >= 0.1 * most}
+            weight[home] += size
+    if not weight:
+        return set()
+    named = [False] * len(tree)         # in an article or main
+    for k in range(1, len(tree)):
+        named[k] = named[tree[k][0]] or tree[k][1] in ("article", "main")
+    told = [home for home in weight if named[home]]
+    if 2 * sum(weight[home] for home in told) <= sum(weight.values()):
+        told = list(weight)
+    root = _around(tree, min(told), max(told))
+    k = root
+    while k and tree[k][1] not in ("article", "main"):
+        k = tree[k][0]
+    root = k or root
+    inside = [False] * len(tree)
+    for k in range(len(tree)):
+        inside[k] = k == root or k > 0 and inside[tree[k][0]]
+    kept = {x[1] for x in full if inside[x[1]]}
+    if tree[root][1] in ("", "html", "body"):
+        kept -= _linked_edges(full, weight)
+    return kept | set(weight)
+
+
+def _around(tree: list, first: int, last: int) -> int:
+    """The lowest element around two; numbers follow the page, so that of the lowest and the highest
+    of a set is that of the set."""
+    while first != last:
+        if first > last:
+            first = tree[first][0]
+        else:
+            last = tree[last][0]
+    return first
+
+
+def _linked_edges(full: list, weight: dict) -> set:
+    """Containers before the first and behind the last content that hold nothing but links."""
+    at = [k for k, x in enumerate(full) if x[1] in weight]
+    edges = full[:at[0]] + full[at[-1] + 1:]
+    return {x[1] for x in edges} - {x[1] for x in full if not x[3]}
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -160,6 +160,29 @@ def test_main_text(page):
     assert main_text.main_text(page.format("".join(f"<p>{p}" for p in BODY))) == WANT
 
 
+SENTENCES = [f"Paragraph {k} of a long story, with a clause, goes on until it ends here." for k in range(11)]
+LAST = "The last paragraph of the story, in a section of its own, goes on to the end."
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div class=top><a href=x>Home</a> <a href=y>About</a></div><article>{}</article><div class=end><a href=z>Imprint</a></div>",
+    "<body><div class=top><a href=x>Home</a> <a href=y>About</a></div><main><div>{}</div></main><div class=end>Made by us</div>",
+    "<body><div class=top><a href=x>Home</a> <a href=y>About</a></div><div id=story>{}</div><div class=end>Made by us</div>",
+    "<body><div class=top><a href=x>Home</a> <a href=y>About</a></div>{}<div class=end><a href=z>Imprint</a></div>",
+])
+def test_small_parts_of_an_article_stay(page):
+    first = "<section>" + "".join(f"<p>{x}</p>" for x in SENTENCES) + "</section>"
+    table = "<table><tr><td>Cell</td><td>12</td></tr></table><dl><dt>Term</dt><dd>Meaning</dd></dl><figure><figcaption>Caption</figcaption></figure>"
+    want = " ".join([*SENTENCES, "Cell 12 Term Meaning Caption", LAST])
+    assert main_text.main_text(page.format(f"{first}{table}<section><p>{LAST}</p></section>")) == want
+
+
+def test_content_beside_an_article_stays():
+    first = "".join(f"<p>{x}</p>" for x in SENTENCES)
+    page = f"<body><div class=top>Home</div><article><div>{first}</div></article><div class=more><p>{LAST}</p></div>"
+    assert main_text.main_text(page) == " ".join([*SENTENCES, LAST])
+
+
 def test_main_text_of_awkward_pages(ready):
     pages = [(1, None), (2, ""), (3, "<"), (4, "<p>cut off in a ta<g"), (5, "no tags at all, only text"), (6, "<script>x"), (7, "<p>" * 300 + "deep, text."),
              (8, "<p>&lt;b&gt; &#128512; &nbsp;x &bogus;</p>"), (9, "<div><p>a, b.</p>" * 3000)]
