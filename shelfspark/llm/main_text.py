@@ -8,9 +8,12 @@ captions, definitions) belong to it: all that lies in the lowest element around
 or in the article or main around that element, however little of the text a part holds.  Where
 articles and mains hold most of the content, that is their lowest common element, and of the rest of
 the page the containers of content are kept.  Content only by its neighbours along the page counts
-with at least one punctuation mark a node, and does not widen that element.  If nothing below the body holds all content, containers
-of nothing but links before and behind the content are left out.  Elements that are never main text
-by their tag or by a word of their class or id are left out before counting.
+with at least one punctuation mark a node, and does not widen that element.  If nothing below the
+body holds all content, containers of nothing but links before and behind the content are left out.
+
+Elements that are never main text by their tag are left out before counting, and so are forms and
+elements with such a word in their class, id or role, unless they turn out to lie around the main
+text (see ``_left_out``).  Words that say what a layout has or lacks (has-sidebar, no-footer) do not count.
 
 Cases: null or empty html, and pages without content, give an empty text; unclosed elements, cut-off
 tags and pages cut off in the middle are read to the end; repeated rows are read alike; extra
@@ -43,19 +46,23 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"},
           "tbody": {"table"}, "tfoot": {"table"}}
 KEEPS_P = INLINE | {"br", "img", "input", "p"}
-NEVER = set("head nav footer aside form script style noscript template iframe svg math canvas object audio video select button dialog menu textarea title".split())
+NEVER = set("head nav footer aside script style noscript template iframe svg math canvas object audio video select button dialog menu textarea title".split())
 NOT_MAIN = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|menu|nav|navbar|navigation|breadcrumbs?|sidebar|"
                       r"side|aside|foot|footer|masthead|topbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
                       r"search|share|sharing|social|related|recommended|comments?|respond|replies|disqus|widget|toolbar|pagination|pager|legal|copyright)(?:$|[-_\s])", re.I)
+LAYOUT = re.compile(r"(?<![^-_\s])(?:has|no|with|without)[-_]\S*", re.I)
+OTHERS = re.compile(r"(?:^|[-_\s])(?:related|recommended|comments?|respond|replies|disqus)(?:$|[-_\s])", re.I)
+RANK = {"h1": 1, "article": 2, "main": 3}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 def text_nodes(page: str):
-    """(path, container, text, in a link) of each text node that may be main text, in page order,
+    """(path, container, text, in a link, element) of each text node that may be main text, in page order,
     None for the end of a block; and (parent, tag) of each element by number, in page order, 0 being
     the page itself."""
-    stack: list[list] = []      # tag, label, left out, number
+    stack: list[list] = []      # tag, label, never main text, number
     out, at, tree = [], 0, [(0, "")]
+    doubtful: dict[int, bool] = {}      # elements to be left out, unless they hold the main text: others' words
     hidden = 0
 
     def pop_to(size: int):
@@ -70,7 +77,7 @@ def text_nodes(page: str):
         depth = len(stack) - 1
         while depth >= 0 and (stack[depth][0] in INLINE or stack[depth][0] in {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre"}):
             depth -= 1
-        out.append((path, stack[depth][3] if depth >= 0 else 0, piece, any(e[0] == "a" for e in stack)))
+        out.append((path, stack[depth][3] if depth >= 0 else 0, piece, any(e[0] == "a" for e in stack), stack[-1][3] if stack else 0))
 
     for m in TOKEN.finditer(page):
         if m.start() < at:
@@ -113,7 +120,7 @@ def text_nodes(page: str):
                 pop_to(len(stack) - 1)
         names = [a or b or c for _, a, b, c in NAMED.findall(m[3] or "")]
         inside = any(e[0] in ("article", "main") for e in stack)
-        left_out = tag in NEVER or (tag == "header" and not inside) or (tag not in ("html", "body", "article", "main") and any(NOT_MAIN.search(x) for x in names))
+        left_out = tag in NEVER or (tag == "header" and not inside)
         if tag in RAW:
             end = RAW[tag].search(page, at)
             at = end.end() if end else len(page)
@@ -121,13 +128,54 @@ def text_nodes(page: str):
         if (m[3] or "").rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
         label = tag + "".join("." + x.split()[0].lower() for x in names[:1] if x.split())
-        tree.append((stack[-1][3] if stack else 0, tag))
+        tree.append((stack[-1][3] if stack else 0, "" if hidden or left_out else tag))
+        if not hidden and not left_out and tag not in ("html", "body", "article", "main"):
+            words = " ".join(LAYOUT.sub(" ", x) for x in names)
+            if tag == "form" or NOT_MAIN.search(words):
+                doubtful[len(tree) - 1] = bool(OTHERS.search(words))
         stack.append([tag, label, left_out, len(tree) - 1])
         hidden += left_out
     text(page[at:])
+    if doubtful:
+        gone = _left_out(out, tree, doubtful)
+        out = [node for node in out if node is None or not gone[node[4]]]
     return out, tree
 
 
+def _left_out(nodes: list, tree: list, doubtful: dict) -> list:
+    """For each element whether it is left out with a doubtful one.  A doubtful element stays if it
+    holds a main, article or h1 of higher rank than any beside it, or more than half of the page's
+    text, where none of higher rank beside it is a main or article.  Comments and related pages,
+    which often are articles of their own, stay only if no main, article or h1 lies beside them.
+    What lies in other doubtful elements does not count as beside."""
+    n = len(tree)
+    size, best = [0] * n, [RANK.get(tag, 0) for _, tag in tree]
+    for node in nodes:
+        if node is not None:
+            size[node[4]] += len(node[2].strip())
+    over = [0] * n              # innermost doubtful element at or above; 0 for none
+    direct: dict[int, int] = defaultdict(int)       # highest rank of what lies in one, but in no deeper one
+    for k in range(1, n):
+        over[k] = k if k in doubtful else over[tree[k][0]]
+        direct[over[k]] = max(direct[over[k]], best[k])
+    for k in range(n - 1, 0, -1):
+        size[tree[k][0]] += size[k]
+        best[tree[k][0]] = max(best[tree[k][0]], best[k])
+    gone, beside = [False] * n, {0: 0}
+    for k in range(1, n):
+        gone[k] = gone[tree[k][0]]
+        if k in doubtful:
+            above = over[tree[k][0]]
+            beside[k] = rank = max(beside[above], direct[above])
+            most = 2 * size[k] > size[0]
+            if doubtful[k]:
+                stays = rank == 0 and (best[k] > 0 or most)
+            else:
+                stays = best[k] > rank or most and (best[k] >= rank or rank < RANK["article"])
+            gone[k] |= not stays
+    return gone
+
+
 def main_text(page: str | None) -> str:
     """The article of a page, blocks joined by one space."""
     (nodes, tree), length, marks, count = text_nodes(page or ""), defaultdict(int), defaultdict(int), defaultdict(int)

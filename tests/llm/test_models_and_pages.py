@@ -183,6 +183,25 @@ def test_content_beside_an_article_stays():
     assert main_text.main_text(page) == " ".join([*SENTENCES, LAST])
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='content no-sidebar'><article>{}</article></div>",
+    "<div class='has-sidebar'><div>{}</div></div><div class=sidebar><p>Beside it, some words.</p></div>",
+    "<div class='layout with-sidebar'><main>{}</main><div class=sidebar><p>Beside it, some words.</p></div></div>",
+    "<div id='main has-footer'>{}</div><div class=footer>Made by us.</div>",
+    "<div class='layout sidebar-right'><article>{}</article></div><div id=masthead><h1>Our site</h1></div>",
+    "<div class=logo><h1>Our site</h1></div><div class='page sidebar-left'><article>{}</article></div>",
+    "<div class='search-page'><div>{}</div></div><div class=end>Made by us</div>",
+    "<form id=page><div class=menu>Menu</div><article>{}</article><div class=comments><article><p>A reader's comment, with words.</p></article></div></form>",
+    "<form id=page><div>{}</div><div class=share>Share this, please.</div></form>",
+    "<article>{}</article><div class='comments'><article><h1>Comments</h1><p>A reader's comment, with words.</p></article></div>",
+    "<article>{}</article><div class='sidebar'><h1>About us</h1><p>Beside it, some words.</p></div><form><p>Your name, please.</p></form>",
+])
+def test_layouts_named_for_what_lies_beside_them(page):
+    story = "".join(f"<p>{x}</p>" for x in SENTENCES)
+    assert main_text.main_text("<body>" + page.format(story)) == " ".join(SENTENCES)
+    assert main_text.main_text("<body>" + page.format("<h1>Title</h1>" + story)) == " ".join(["Title", *SENTENCES])
+
+
 def test_main_text_of_awkward_pages(ready):
     pages = [(1, None), (2, ""), (3, "<"), (4, "<p>cut off in a ta<g"), (5, "no tags at all, only text"), (6, "<script>x"), (7, "<p>" * 300 + "deep, text."),
              (8, "<p>&lt;b&gt; &#128512; &nbsp;x &bogus;</p>"), (9, "<div><p>a, b.</p>" * 3000)]
