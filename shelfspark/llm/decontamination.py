@@ -6,11 +6,12 @@ are a broadcast set of 64-bit hashes; a scan rolls the same hash over each docum
 the hashes up and confirms each hit on the words themselves.
 
 The benchmark is broadcast in blocks of at most ``block_bytes`` of text, so what is broadcast has
-a fixed bound; each further block costs one more scan, and the hits meet by document.
+a fixed bound; each further block costs one more scan, behind the others, and the hits stay in the
+document's row.
 
 Cases: null or wordless text has no words and no hits; items without words have no windows;
-repeated documents are each judged (with several benchmark blocks,
-``contamination`` gives one row for rows that share a key); extra columns stay untouched.
+repeated documents and rows with a null key are each judged, however many blocks the benchmark has;
+extra columns stay untouched.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm.common import Words, blocks, merged, query, runs, table, text_bytes
+from shelfspark.llm.common import Stored, Words, blocks, merged, query, runs, table, text_bytes
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 KIND = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 FILTER_BITS = 20
+SCANS = 4       # scans behind one another, each in a Python worker of its own, before rows are stored
 
 
 class NgramSet:
@@ -92,7 +94,10 @@ SCANNED = T.StructType([
     T.StructField("items", T.ArrayType(T.StringType()), False)])
 
 
-def _scan(ngrams, text: str):
+def _scan(ngrams, text: str, begins: bool, ends: bool):
+    """Adds the columns of SCANNED, or what a further block finds to them; the last scan drops the text."""
+    added = [field.name for field in SCANNED.fields]
+
     def scan(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(text))
@@ -110,10 +115,12 @@ def _scan(ngrams, text: str):
                                  "stop": int(words.end[at + b - 1] - base)} for a, b in zip(first, last)]
                     spans.append(rows)
                     items.append(sorted(found.get(doc, ())))
+            if not begins:
+                spans = [_united(a + b) if a and b else a or b for a, b in zip(batch.column("spans").to_pylist(), spans)]
+                items = [sorted({*a, *b}) for a, b in zip(batch.column("items").to_pylist(), items)]
             extra = [pa.array(n_words, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))]
-            columns = [(name, batch.column(name)) for name in batch.schema.names if name != text]
-            yield pa.RecordBatch.from_arrays([c for _, c in columns] + extra,
-                                             [name for name, _ in columns] + ["n_words", "spans", "items"])
+            columns = [(name, batch.column(name)) for name in batch.schema.names if name not in added and not (ends and name == text)]
+            yield pa.RecordBatch.from_arrays([c for _, c in columns] + extra, [name for name, _ in columns] + added)
     return scan
 
 
@@ -137,34 +144,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                   item_text: str = "text", n: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
     """Per row of ``docs``: key, ``n_words``, hit ``spans`` (first and last-plus-one word; begin and
     stop byte) and the ``items`` whose windows occur."""
-    spark, parts = docs.sparkSession, []
+    spark, stored = docs.sparkSession, None
     docs = docs.select(key, text)
-    schema = T.StructType([docs.schema[key], *SCANNED.fields])
-    for held in _item_blocks(benchmark, item, item_text, block_bytes):
+    kept = list(docs.schema.fields)
+    held_blocks = _item_blocks(benchmark, item, item_text, block_bytes)
+    held, done = next(held_blocks), 0
+    while held is not None:
+        following = next(held_blocks, None)
+        if done and done % SCANS == 0:
+            before, stored = stored, Stored(docs, "scanned")
+            docs = stored.read()
+            if before:
+                before.drop()
         ngrams = spark.sparkContext.broadcast(NgramSet(held, n))
-        parts.append(docs.mapInArrow(_scan(ngrams, text), schema))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    joined = every.groupBy(key).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-                                    F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return joined.mapInArrow(_merge_spans, schema)
-
-
-def _merge_spans(batches):
+        fields = [docs.schema[key]] if following is None else kept
+        docs = docs.mapInArrow(_scan(ngrams, text, done == 0, following is None), T.StructType([*fields, *SCANNED.fields]))
+        held, done = following, done + 1
+    return docs
+
+
+def _united(spans: list) -> list:
     """Spans of several scans of a document, united."""
-    for batch in batches:
-        out = []
-        for spans in batch.column("spans").to_pylist():
-            s = np.array([x["first"] for x in spans], np.int64)
-            first, last = merged(s, np.array([x["last"] for x in spans], np.int64))
-            begin = {x["first"]: x["begin"] for x in spans}
-            stop = {x["last"]: x["stop"] for x in spans}
-            out.append([{"first": int(a), "last": int(b), "begin": begin[int(a)], "stop": stop[int(b)]} for a, b in zip(first, last)])
-        at = batch.schema.get_field_index("spans")
-        yield batch.set_column(at, "spans", pa.array(out, SPANS))
+    first, last = merged(np.array([x["first"] for x in spans], np.int64), np.array([x["last"] for x in spans], np.int64))
+    begin = {x["first"]: x["begin"] for x in spans}
+    stop = {x["last"]: x["stop"] for x in spans}
+    return [{"first": int(a), "last": int(b), "begin": begin[int(a)], "stop": stop[int(b)]} for a, b in zip(first, last)]
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",

@@ -84,6 +84,16 @@ def test_contamination(ready, block):
     assert cut == {1: "x  y", 2: "", 3: "a b c", 4: "zz  zz", 5: " x "}
 
 
+def test_contamination_of_repeated_and_null_ids_whatever_the_benchmark_size(ready):
+    rows = [(None, "one two three four five six"), (None, "nothing of it here"), (None, None), (7, "zero five six seven eight zero"), (7, "zero five six seven eight zero"),
+            (8, "one two three four nine ten eleven twelve four five six seven x"), (9, "three four five six seven eight")]
+    items = [("a", "one two three four"), ("b", "five six seven eight"), ("c", "three four five six"), ("d", "two three four five"),
+             ("e", "nine ten eleven twelve"), ("f", "four five six seven"), ("g", None)]
+    docs, bench = ready.createDataFrame(rows, DOCS), ready.createDataFrame(items, "item_id string, text string")
+    whole, parts = (sorted(map(repr, decontamination.contamination(docs, bench, n=4, block_bytes=size).collect())) for size in (1 << 20, 1))
+    assert len(whole) == len(rows) and whole == parts
+
+
 def test_contamination_without_rows(ready):
     empty = ready.createDataFrame([], "item_id long, text string")
     docs = ready.createDataFrame([(1, "a b c")], DOCS)
