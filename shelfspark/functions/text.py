@@ -73,20 +73,34 @@ def _decompositions() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(source), "".join(target), tuple(longer)
 
 
+def _class(points) -> str:
+    """A character class of the given code points, written as ranges."""
+    ranges: list[list[int]] = []
+    for point in sorted(points):
+        if ranges and ranges[-1][1] == point - 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges) + "]"
+
+
 def strip_accents(c) -> Column:
     """Compatibility-decompose and drop the combining marks.
 
-    Pure ASCII values skip the translation.  Characters expanding to several
-    (ligatures, fractions, roman numerals, units) are looked up one by one in the
-    few texts that hold any.
+    ASCII values (as many bytes as characters) pass unchanged, others are translated
+    letter by letter.  Characters expanding to several (ligatures, fractions, roman
+    numerals, units) are looked for only where a short class finds anything beyond
+    Latin letters; of those found, each distinct one is replaced once.
     """
     source, target, longer = _decompositions()
     plain = F.translate(col(c), source + _MARKS, target)
+    points = [ord(char) for char, _ in longer]
     wide = F.create_map(*[F.lit(x) for pair in longer for x in pair])
-    expanded = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.try_element_at(wide, x), x)), "")
-    rare = "[" + "".join(f"\\x{{{ord(char):x}}}" for char, _ in longer) + "]"
-    return (F.when(~col(c).rlike("[^\\x00-\\x7F]"), col(c))
-            .when(col(c).rlike(rare), expanded)
+    found = F.array_distinct(F.regexp_extract_all(plain, F.lit(_class(points)), F.lit(0)))
+    expanded = F.aggregate(found, plain, lambda text, x: F.replace(text, x, wide[x]))
+    maybe = _class({p for p in points if p < 0x180} | set(range(0x180, 0x110000)))
+    return (F.when(F.octet_length(col(c)) == F.char_length(col(c)), col(c))
+            .when(col(c).rlike(maybe), expanded)
             .otherwise(plain))
 
 
