@@ -113,33 +113,33 @@ def _flags(words: DataFrame) -> np.ndarray:
     return out
 
 
-def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (keys & np.uint64(BITS - 1)).astype(np.int64), ((keys >> np.uint64(32)) & np.uint64(BITS - 1)).astype(np.int64)
+def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (keys & np.uint64(bits - 1)).astype(np.int64), ((keys >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def _phrase_keys(codes: np.ndarray, m: int) -> np.ndarray:
     return runs(codes.view(np.uint64), m)
 
 
-def _set_bits(m: int):
+def _set_bits(m: int, bits: int):
     def run(batches):
         for batch in batches:
             flat = np.column_stack([batch.column(f"w{i}").to_numpy() for i in range(1, m + 1)]).reshape(-1)
             keys = _phrase_keys(np.ascontiguousarray(flat), m)[::m]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(keys)).astype(np.int32))], ["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(keys, bits)).astype(np.int32))], ["bit"])
     return run
 
 
 def _bits(phrases: DataFrame, m: int) -> np.ndarray:
     """A bit table that knows every given phrase of m words (and lets others through at times)."""
-    found = phrases.mapInArrow(_set_bits(m), "bit int").distinct().toArrow()
+    found = phrases.mapInArrow(_set_bits(m, BITS), "bit int").distinct().toArrow()
     out = np.zeros(BITS, bool)
     out[found.column("bit").to_numpy()] = True
     return np.packbits(out, bitorder="little")
 
 
 def _in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    one, two = _places(keys)
+    one, two = _places(keys, 8 * len(bits))
     return ((bits[one >> 3] >> (one & 7).astype(np.uint8)) & (bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)
 
 
@@ -152,7 +152,7 @@ def _stream(salt: int, frequent):
         known = frequent.value
         for batch in batches:
             for _, _, code, _, _, new in _coded(batch, salt):
-                good = known[code & (SLOTS - 1)]
+                good = known[code & (len(known) - 1)]
                 linked = good[1:] & good[:-1] & ~new[1:]        # word i + 1 continues word i
                 before, after = np.concatenate([[False], linked]), np.concatenate([linked, [False]])
                 kept = np.flatnonzero(before | after)
@@ -174,7 +174,7 @@ def _count_level(m: int, frontier, earlier, shorter):
         codes = np.concatenate([np.concatenate([x, np.zeros(LONGEST, np.int64)]) for x, _ in held])
         own = np.concatenate([np.arange(len(x) + LONGEST) < n for x, n in held])
         size = len(codes) - m + 1
-        near, old = now[codes & (SLOTS - 1)] & (codes != 0), past[codes & (SLOTS - 1)] & (codes != 0)
+        near, old = now[codes & (len(now) - 1)] & (codes != 0), past[codes & (len(now) - 1)] & (codes != 0)
         wanted = own[:size] & (near[:size] | near[m - 1:]) & ~(old[:size] | old[m - 1:])
         for i in range(m):
             wanted &= codes[i:size + i] != 0
@@ -224,7 +224,7 @@ def _grown(stream: Stored, now, past, least: int, known: dict[int, list[Stored]]
         frequent = counted.groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         known[m].append(Stored(frequent, "phrases"))
         if shorter is not None:
-            shorter.unpersist()
+            shorter.destroy()
         shorter = sc.broadcast(_bits(_all(known[m]), m)) if m < LONGEST else None
 
 
@@ -235,24 +235,28 @@ def _all(parts: list[Stored]) -> DataFrame:
     return out
 
 
-def _settled(known, words: DataFrame, facts: DataFrame, least: int) -> DataFrame:
-    """(lang, p, a, k, l, r, n, score) of the surviving phrases whose end words are expanded."""
-    counts, longer, covers = words.where(F.col("f") >= least).select(F.array("code").alias("p"), "f"), None, None
+def _listed(known: dict[int, list[Stored]]) -> DataFrame:
+    """(p, f) of all frequent phrases counted so far."""
+    out = None
     for m, parts in known.items():
-        w = [F.col(f"w{i}") for i in range(1, m + 1)]
-        cuts = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*w[:k]).alias("left"), F.array(*w[k:]).alias("right")) for k in range(1, m)])
-        these = _all(parts).select(F.array(*w).alias("p"), F.col("f").alias("a"), cuts.alias("cuts"))
-        counts = counts.unionAll(these.select("p", "a"))
-        longer = these if longer is None else longer.unionAll(these)
-        if m > 2:   # a phrase that a longer one accounts for entirely is covered by one of a single word more
-            inner = _all(parts).select(F.explode(F.array(F.array(*w[:-1]), F.array(*w[1:]))).alias("p"), F.col("f").alias("a"))
-            covers = inner if covers is None else covers.unionAll(inner)
-    alive = longer.join(covers.distinct(), ["p", "a"], "left_anti")
+        these = _all(parts).select(F.array(*[f"w{i}" for i in range(1, m + 1)]).alias("p"), "f")
+        out = these if out is None else out.unionAll(these)
+    return out
+
+
+def _settled(longer: DataFrame, usual: DataFrame, facts: DataFrame) -> DataFrame:
+    """(lang, p, a, k, l, r, n, score) of the surviving phrases whose end words are expanded."""
+    head, tail = (lambda k: F.filter("p", lambda _, i: i < k)), (lambda k: F.filter("p", lambda _, i: i >= k))
+    counts = usual.select(F.array("code").alias("p"), "f").unionAll(longer)
+    # a phrase that a longer one accounts for entirely is covered by one of a single word more
+    covers = (longer.where(F.size("p") > 2).select(F.explode(F.array(head(F.size("p") - 1), tail(1))).alias("p"), F.col("f").alias("a")).distinct())
+    alive = longer.withColumnRenamed("f", "a").join(covers, ["p", "a"], "left_anti")
     # the language of a phrase is that of its first word
-    tagged = (alive.withColumn("code", F.col("p")[0]).join(words.select("code", "lang"), "code").drop("code")
+    tagged = (alive.withColumn("code", F.col("p")[0]).join(usual.select("code", "lang"), "code").drop("code")
               .join(facts.select("lang", "n", "reach"), "lang"))
     m = F.size("p")
-    asked = tagged.select("lang", "p", "a", "n", "reach", F.explode("cuts").alias("cut")).select("lang", "p", "a", "n", "reach", "cut.*")
+    asked = (tagged.withColumn("k", F.explode(F.sequence(F.lit(1), m - 1)))
+             .select("lang", "p", "a", "n", "reach", "k", head(F.col("k")).alias("left"), tail(F.col("k")).alias("right")))
     scored = (asked.join(counts.select(F.col("p").alias("left"), F.col("f").alias("l")), "left")
               .join(counts.select(F.col("p").alias("right"), F.col("f").alias("r")), "right")
               .withColumn("score", F.expr("(cast(1000 as decimal(4,0)) * cast(a as decimal(17,0)) * cast(n as decimal(17,0)))"
@@ -269,19 +273,20 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     spark = docs.sparkSession
     docs = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     vocab, salt = vocabulary(docs)
-    words = vocab.read()
-    usual = words.where(F.col("f") >= least)
+    frequent = Stored(vocab.read().where(F.col("f") >= least), "frequent")
+    usual = frequent.read()
     # frequent word mass by stretch of frequencies: a few dozen rows a language
     stretch = F.ceil(F.log(F.col("f") / least) / F.log(F.lit(STEP)) - 1e-9).cast("int")
     edge = F.floor(F.lit(least) * F.pow(F.lit(STEP), F.col("stretch")) + 1e-6).cast("long")
     mass = (usual.groupBy("lang", stretch.alias("stretch")).agg(F.sum("f").alias("mass"), F.max("f").alias("top"), F.min("f").alias("low"))
             .withColumn("reached", F.sum("mass").over(Window.partitionBy("lang").orderBy("stretch")) / F.sum("mass").over(Window.partitionBy("lang")))
             .withColumn("edge", F.greatest(edge, "top")).drop("mass"))
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    totals = vocab.read().groupBy("lang").agg(F.sum("f").alias("n"))
     mass = Stored(mass.join(totals, "lang"), "stretches")
+    vocab.drop()
     flags = spark.sparkContext.broadcast(_flags(usual))
     stream = Stored(docs.mapInArrow(_stream(salt, flags), "codes binary, n int"), "streams")
-    flags.unpersist()
+    flags.destroy()
     known: dict[int, list[Stored]] = {m: [] for m in range(2, LONGEST + 1)}
     past, old = np.zeros(SLOTS, bool), []
     floors: DataFrame | None = None
@@ -298,9 +303,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
         shared = [spark.sparkContext.broadcast(x) for x in (now, past)]
         _grown(stream, *shared, least, known)
         for x in shared:
-            x.unpersist()
+            x.destroy()
         past = now
-        settled = Stored(_settled(known, words, facts.read(), least), "collocations")
+        phrases = Stored(_listed(known), "phrases")
+        settled = Stored(_settled(phrases.read(), usual, facts.read()), "collocations")
+        phrases.drop()
         # the score at the last place, where there are as many
         ranked = top_per_key(settled.read().select("lang", "score", "p"), ["lang"], [F.col("score").desc(), "p"], places, rank="place")
         last = ranked.where(F.col("place") == places).select("lang", F.col("score").alias("floor"))
@@ -309,16 +316,16 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
         # the best bound left: that of the rarest frequent word beyond the frontier
         beyond = usual.select("lang", "f").join(facts.read(), "lang").where(F.col("f") > F.col("reach")).groupBy("lang", "n").agg(F.min("f").alias("next"))
         open_ = beyond.join(floors.read(), "lang").where(F.expr("1000 * n div next") >= F.col("floor"))
-        floors_stored, floors = floors, floors.read()
+        floors = floors.read()
         if open_.isEmpty():
             break
         settled.drop()
     best = settled.read().withColumn("tie", F.rank().over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc()))).where(F.col("tie") <= places)
-    spelled = (best.select("lang", "p", F.posexplode("p").alias("at", "code")).join(words.select("code", "word"), "code")
+    spelled = (best.select("lang", "p", F.posexplode("p").alias("at", "code")).join(usual.select("code", "word"), "code")
                .groupBy("lang", "p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase")))
     result = Stored(top_per_key(best.join(spelled, ["lang", "p"]), ["lang"], [F.col("score").desc(), F.col("a").desc(), "phrase"], places, rank="rank")
                     .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"), "best")
-    for stored in [vocab, mass, stream, settled, *old, *itertools.chain(*known.values())]:
+    for stored in [frequent, mass, stream, settled, *old, *itertools.chain(*known.values())]:
         stored.drop()
     return result.read()
 
