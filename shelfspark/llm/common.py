@@ -24,7 +24,8 @@ ORACLES: dict[str, str] = {}
 
 pa.set_memory_pool(pa.system_memory_pool())     # so that freed memory can be handed back, see release()
 
-BATCH_ROWS = 1000       # rows of an Arrow batch: bounds what a Python worker holds at once
+BATCH_ROWS = 1000       # rows and bytes of an Arrow batch: bound what a Python worker holds at once
+BATCH_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 19   # bytes of text that numpy works on at once
 
 
@@ -44,6 +45,7 @@ def query(name: str, sql: str | None = None):
 def prepared(spark: SparkSession) -> SparkSession:
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -60,10 +62,10 @@ class Stored:
     """A table in the shared folder: written at once, read any number of times, dropped by hand
     when nothing reads it any more.  It cuts the lineage and outlives lost executors."""
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, by: list[str] | None = None):
         self.spark, self.schema = df.sparkSession, df.schema
         self.path = scratch(self.spark, label)
-        df.write.parquet(self.path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
