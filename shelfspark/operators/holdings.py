@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,7 +10,7 @@ from shelfspark.functions.rules import dewey_class, period_bucket
 from shelfspark.functions.text import author_first, col, filled, fold_text, leading_int
 from shelfspark.operators.keyed import top_per_key
 
-CHUNK = 1000   # volume numbers generated per row before the second explode
+CHUNK = 1000   # volume numbers looked at, or generated, together
 
 
 def ratio(total, n, digits: int = 1) -> Column:
@@ -134,7 +134,6 @@ def availability(df, keys, status: Column) -> DataFrame:
 def loan_delta(df, key, date, total) -> DataFrame:
     """Loans since the previous snapshot.  The snapshots are first reduced to
     one row per (key, date); a key then has as many rows as there are exports."""
-    from pyspark.sql import Window
     snapshots = df.groupBy(key, date).agg(F.sum(total).alias("total_loans"))
     before = F.lag("total_loans").over(Window.partitionBy(key).orderBy(date))
     return snapshots.withColumn("delta", F.col("total_loans") - before)
@@ -199,32 +198,41 @@ def series_gaps_simple(df, series, volume, k: int = 5) -> DataFrame:
     return top_k(out, [F.col("gap").desc(), series], k)
 
 
-def _numbers_to(df: DataFrame, top: Column, name: str) -> DataFrame:
-    """One row per 1..top, generated in chunks so that no long array is built."""
-    starts = F.explode(F.sequence(F.lit(0), ((top - 1) / CHUNK).cast("int")))
-    chunked = df.withColumn("_chunk", starts)
-    low = F.col("_chunk").cast("bigint") * CHUNK + 1
-    return (chunked.withColumn(name, F.explode(F.sequence(low, F.least(low + CHUNK - 1, top))))
-            .drop("_chunk"))
+def _volumes_known(df, series, volume, loans) -> DataFrame:
+    """(series, number, _loans), numbers NULL where a row has none: its loans count for the series."""
+    return (df.withColumn("number", volume_number(df, volume)).where(present(df, series))
+            .groupBy(series, "number").agg(F.sum(loans).alias("_loans")))
 
 
-def missing_volumes(df, series, volume, loans, min_held: int = 2) -> DataFrame:
-    """{1..highest} minus the volumes held, per series with enough volumes.
+def missing_ranges(df, series, volume, loans, min_held: int = 2) -> DataFrame:
+    """Stretches of numbers between 1 and the highest volume that a series lacks: series, low, high,
+    total_loans (rows without a number included).
+
+    Gaps and islands: the number after each held one tells the gap behind it.  Numbers are first
+    looked at within stretches of 1,000, then the stretches' ends, so neither a long series nor a
+    mistyped volume of two billion is generated or gathered."""
+    held = _volumes_known(df, series, volume, loans)
+    known = (held.groupBy(series).agg(F.count("number").alias("_held"), F.sum("_loans").alias("total_loans"))
+             .where(F.col("_held") >= min_held).drop("_held"))
+    # every series begins at an imagined volume 0
+    numbers = held.where(F.col("number") >= 1).select(series, "number")
+    chunked = numbers.withColumn("_chunk", F.floor(F.col("number") / CHUNK))
+    inner = Window.partitionBy(series, "_chunk").orderBy("number")
+    within = chunked.select(series, "number", F.lead("number").over(inner).alias("next"))
+    ends = chunked.groupBy(series, "_chunk").agg(F.min("number").alias("first"), F.max("number").alias("last"))
+    starts = ends.select(series, F.lit(-1).cast("bigint").alias("_chunk"), F.lit(0).cast("bigint").alias("first"), F.lit(0).cast("bigint").alias("last")).distinct()
+    outer = Window.partitionBy(series).orderBy("_chunk")
+    between = ends.unionByName(starts).select(series, F.col("last").alias("number"), F.lead("first").over(outer).alias("next"))
+    gaps = within.unionByName(between).where(F.col("next") > F.col("number") + 1)
+    return (gaps.join(known, series)
+            .select(series, (F.col("number") + 1).alias("low"), (F.col("next") - 1).alias("high"), "total_loans"))
 
-    Numbers are generated and anti-joined on (series, number), so one long
-    series spreads over all tasks.
-    """
-    held = (df.withColumn("number", volume_number(df, volume))
-            .where(present(df, series) & F.col("number").isNotNull())
-            .groupBy(series, "number").agg(F.sum(loans).alias("_loans")))
-    known = (held.groupBy(series)
-             .agg(F.count(F.lit(1)).alias("volumes_held"), F.max("number").alias("highest"),
-                  F.sum("_loans").alias("total_loans"))
-             .where((F.col("volumes_held") >= min_held)
-                    & (F.col("volumes_held") < F.col("highest"))))
-    wanted = _numbers_to(known, F.col("highest"), "number")
-    return (wanted.join(held.select(series, "number"), [series, "number"], "left_anti")
-            .select(series, F.col("number").alias("missing"), "total_loans"))
+
+def missing_volumes(df, series, volume, loans, min_held: int = 2) -> DataFrame:
+    """The numbers of ``missing_ranges``, one row each, generated in stretches of 1,000."""
+    ranges = missing_ranges(df, series, volume, loans, min_held)
+    parts = ranges.withColumn("_from", F.explode(F.sequence("low", "high", F.lit(CHUNK).cast("bigint"))))
+    return parts.select(series, F.explode(F.sequence("_from", F.least(F.col("_from") + CHUNK - 1, F.col("high")))).alias("missing"), "total_loans")
 
 
 def next_volumes(df, offers, series, volume, loans, ahead: int = 6, min_held: int = 3) -> DataFrame:

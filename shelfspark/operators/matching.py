@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.text import (
     col, filled, fold_text, jaccard_of, leading_int, overlap_of, title_author_key, tokens,
 )
-from shelfspark.operators.keyed import attach_by_key, first_per_key, top_per_key
+from shelfspark.operators.keyed import attach_by_key, top_per_key
 from shelfspark.session import materialise
 
 
@@ -152,26 +152,16 @@ def _prefixes(words: DataFrame, threshold: float) -> DataFrame:
         "side", "set_key", F.col("_w.word").alias("word"), "n", "place")
 
 
-def fuzzy_title_match(left: DataFrame, left_key, left_text, right: DataFrame, right_key, right_text,
-                      threshold: float, method: str = "jaccard") -> DataFrame:
-    """Best right match of each left text reaching the threshold.
+def similar_sets(lefts: DataFrame, rights: DataFrame, threshold: float, method: str = "jaccard") -> DataFrame:
+    """(a, b, score) of the pairs of word sets reaching the threshold.
 
-    ``jaccard``: common over all words; ``overlap``: common over the longer
-    count.  Exact and without comparing all pairs: equal word sets are handled
-    once, and two sets meet only through one of their least frequent words
-    (prefix filtering) and when their sizes allow the score.  Ties go to the
-    smallest right key.
-    """
-    punct, score_of = ("drop", jaccard_of) if method == "jaccard" else ("space", overlap_of)
-    # Folding and splitting whole texts is the costly part and both sides are
-    # read several times below: done once, kept in the shared folder.
-    lefts = materialise(_token_sets(left, left_key, left_text, punct), "words")
-    rights = materialise(_token_sets(right, right_key, right_text, punct), "words")
-    left_sets = lefts.groupBy("set_key").agg(F.first("words").alias("words"))
-    right_sets = rights.groupBy("set_key").agg(F.first("words").alias("words"), F.min("_id").alias("right_id"))
-    copies = lefts.groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"))
+    Both sides: one row per ``set_key`` with its ``words``.  Two sets meet only through one of the
+    words that bring fewest pairs (prefix filtering), and when the words still to come allow the
+    score; the result equals comparing all pairs.  ``jaccard``: common over all words; ``overlap``:
+    common over the longer count."""
+    score_of = jaccard_of if method == "jaccard" else overlap_of
     words = [sets.select(F.lit(side).alias("side"), "set_key", F.size("words").alias("n"), F.explode("words").alias("word"))
-             for side, sets in enumerate((left_sets, right_sets))]
+             for side, sets in enumerate((lefts, rights))]
     found_by = materialise(_prefixes(words[0].unionByName(words[1]), threshold), "prefixes")
     a, b = [found_by.where(F.col("side") == side).select(
         F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"at_{x}"), "word")
@@ -183,12 +173,45 @@ def fuzzy_title_match(left: DataFrame, left_key, left_text, right: DataFrame, ri
     needed = (both * (threshold / (1 + threshold)) if method == "jaccard"
               else F.greatest("n_a", "n_b") * threshold)
     pairs = a.join(b, "word").where(reachable >= needed - 1e-6).select("a", "b").distinct()
-    scored = (pairs.join(left_sets.select(F.col("set_key").alias("a"), F.col("words").alias("wa")), "a")
-              .join(right_sets.select(F.col("set_key").alias("b"), F.col("words").alias("wb"), "right_id"), "b")
-              .select("a", "right_id", score_of(F.col("wa"), F.col("wb")).alias("score"))
-              .where(F.col("score") >= threshold))
-    best = first_per_key(scored, ["a"], [F.col("score").desc(), "right_id"])
-    best = best.withColumnRenamed("a", "set_key").join(copies, "set_key")
+    return (pairs.join(lefts.select(F.col("set_key").alias("a"), F.col("words").alias("wa")), "a")
+            .join(rights.select(F.col("set_key").alias("b"), F.col("words").alias("wb")), "b")
+            .select("a", "b", score_of(F.col("wa"), F.col("wb")).alias("score"))
+            .where(F.col("score") >= threshold))
+
+
+def similar_texts(left: DataFrame, left_text, right: DataFrame, right_text, threshold: float) -> DataFrame:
+    """(left_text, right_text, score) of the distinct texts whose words are similar enough."""
+    sides = [materialise(_token_sets(df.select(F.col(text).alias("text")).distinct(), "text", "text", "drop"), "words")
+             for df, text in ((left, left_text), (right, right_text))]
+    sets = [side.groupBy("set_key").agg(F.first("words").alias("words")) for side in sides]
+    scored = similar_sets(*sets, threshold)
+    return (scored.join(sides[0].select(F.col("_id").alias("left_text"), F.col("set_key").alias("a")), "a")
+            .join(sides[1].select(F.col("_id").alias("right_text"), F.col("set_key").alias("b")), "b")
+            .select("left_text", "right_text", "score"))
+
+
+def fuzzy_title_match(left: DataFrame, left_key, left_text, right: DataFrame, right_key, right_text,
+                      threshold: float, method: str = "jaccard") -> DataFrame:
+    """Best right match of each left text reaching the threshold.
+
+    Exact and without comparing all pairs (see ``similar_sets``); equal word sets are handled once.
+    The best match of a set is a minimum, aggregated before the shuffle.  Ties go to the smallest
+    right key."""
+    punct = "drop" if method == "jaccard" else "space"
+    # Folding and splitting whole texts is the costly part and both sides are
+    # read several times below: done once, kept in the shared folder.
+    lefts = materialise(_token_sets(left, left_key, left_text, punct), "words")
+    rights = materialise(_token_sets(right, right_key, right_text, punct), "words")
+    left_sets = lefts.groupBy("set_key").agg(F.first("words").alias("words"))
+    right_sets = rights.groupBy("set_key").agg(F.first("words").alias("words"))
+    copies = lefts.groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"))
+    scored = similar_sets(left_sets, right_sets, threshold, method)
+    # the smallest key of each right set joins on the set, not on the pairs' words
+    first = rights.groupBy(F.col("set_key").alias("b")).agg(F.min("_id").alias("right_id"))
+    best = (scored.join(first, "b").groupBy(F.col("a").alias("set_key"))
+            .agg(F.min(F.struct((-F.col("score")).alias("loss"), "right_id")).alias("best"))
+            .select("set_key", F.col("best.right_id").alias("right_id"), (-F.col("best.loss")).alias("score")))
+    best = best.join(copies, "set_key")
     return (attach_by_key(lefts.select("_id", "set_key"), best, "set_key", "copies")
             .where(F.col("right_id").isNotNull())
             .select(F.col("_id").alias("left_id"), "right_id", "score"))

@@ -74,63 +74,78 @@ def acceptable(cands: DataFrame, price, origin, title, support) -> DataFrame:
                        & ~R.support_excluded(support))
 
 
+SLACK = 16      # places listed of each price beyond twice those that the money allows
+
+
 def _fold(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     """Greedy pass over one group's shortlist in order (a task-local helper)."""
     pdf = pdf.sort_values("_at").reset_index(drop=True)
     left, floor = int(pdf["_left"].iloc[0]), int(pdf["_floor"].iloc[0])
-    owned, repeated_at = set(), set()
+    owned, filled_slots, steps = set(), set(), set()
     taken, stop = [False] * len(pdf), None
-    listed = zip(pdf["_at"], pdf["_cents"], pdf["_last"], *[pdf[k] for k in keys])
-    for i, (at, cents, last, *values) in enumerate(listed):
+    listed = zip(pdf["_at"], pdf["_cents"], pdf["_last"], pdf["_slot"], pdf["_chain"], pdf["_step"], pdf["_ready"], *[pdf[k] for k in keys])
+    for i, (at, cents, last, slot, chain, step, ready, *values) in enumerate(listed):
         if left <= floor:
             break
         mine = {(n, v) for n, v in enumerate(values) if v is not None}
-        if mine & owned:
-            repeated_at.add(cents)
-        elif cents <= left:
+        if (cents <= left and not mine & owned and slot not in filled_slots
+                and (ready or (chain, step - 1) in steps)):
             taken[i] = True
             left -= int(cents)
             owned |= mine
-        # a price whose shortlist was cut and lost places to repeats is only
-        # known up to its last listed item
-        if last and cents in repeated_at and cents <= left:
+            if slot is not None:
+                filled_slots.add(slot)
+            if chain is not None:
+                steps.add((chain, step))
+        # behind the last listed item of a price more of them may follow
+        if last and cents <= left:
             stop = at
             break
     return pdf.assign(_taken=taken, _stop=pd.Series([stop] * len(pdf), dtype="Int64"), _rest=left)
 
 
-def _shortlist(cands: DataFrame, group: str) -> DataFrame:
-    """The only rows a greedy pass can take: of each price the first
-    floor(money left / price) ones.  Once an item of a price does not fit, no
-    later one of that price does, so this loses nothing; its size depends on
-    the budget and the prices, not on the number of candidates."""
+def _shortlist(cands: DataFrame, group: str, slack: bool) -> DataFrame:
+    """The rows a greedy pass can take before it has to look again: of each price the first
+    floor(money left / price) ones, twice that and some more where items refuse each other.  Once an
+    item of a price does not fit, no later one of that price does, so this loses nothing; its size
+    depends on the budget and the prices, not on the number of candidates."""
     most = F.floor(F.col("_left") / F.col("_cents")).cast("int")
     fits = cands.where(F.col("_cents") <= F.col("_left"))
-    kept = top_per_key(fits.withColumn("_most", most), [group, "_cents"], ["_at"], F.col("_most"), rank="_nth")
+    kept = top_per_key(fits.withColumn("_most", 2 * most + SLACK if slack else most), [group, "_cents"], ["_at"], F.col("_most"), rank="_nth")
     return kept.withColumn("_last", F.col("_nth") == F.col("_most"))
 
 
-def budget_select(cands: DataFrame, group: str, price: str, order, budget: float, keys=(),
-                  stop_share: float = 1.0) -> DataFrame:
+def budget_select(cands: DataFrame, group: str, price: str, order, budget: float, keys=(), stop_share: float = 1.0,
+                  slot: str | None = None, chain: str | None = None, step: str | None = None) -> DataFrame:
     """Greedy choice in order within each group's budget.
 
-    An item is skipped if it does not fit the money left or shares a key with
-    an item taken before; the pass ends once ``stop_share`` of the budget is
-    spent.  Only a shortlist bounded by the budget reaches the per-group fold
-    (see ``_shortlist``).  With keys, repeats may use up the places of a price;
-    the group then continues behind the last certain item in another round, on
-    what the taken items leave."""
+    An item is refused if it does not fit the money left or shares a key with an item taken
+    before; the pass ends once ``stop_share`` of the budget is spent.  ``slot``: of the items of a
+    slot only one is taken.  ``chain`` and ``step`` (1, 2, ...): an item of step n is refused unless
+    one of step n - 1 of its chain was taken, so the first refusal ends the chain; the order must
+    list the steps of a chain one behind the other.  NULL slots and chains bind nothing.
+
+    Only a shortlist bounded by the budget and the prices reaches the per-group fold (see
+    ``_shortlist``).  Where refusals use up the places of a price, the group continues behind the
+    last certain item in another round, on what the taken items leave: without their keys and
+    slots, and without chains whose next step has no item left."""
     cents = F.round(F.col(price) * 100).cast("bigint")
     whole = int(round(budget * 100))
     floor = whole - int(round(whole * stop_share))
     at = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     columns, keys = cands.columns, list(keys)
+    none = F.lit(None).cast("string")
     work = (cands.withColumn("_cents", cents).where(F.col("_cents") > 0).withColumn("_at", at)
-            .withColumn("_left", F.lit(whole).cast("bigint")).withColumn("_floor", F.lit(floor).cast("bigint")))
-    inner = ["_cents", "_left", "_floor", "_last"]
+            .withColumn("_left", F.lit(whole).cast("bigint")).withColumn("_floor", F.lit(floor).cast("bigint"))
+            .withColumn("_slot", F.col(slot).cast("string") if slot else none)
+            .withColumn("_chain", F.col(chain).cast("string") if chain else none)
+            .withColumn("_step", F.coalesce(F.col(step).cast("bigint"), F.lit(1)) if step else F.lit(1).cast("bigint"))
+            .withColumn("_ready", F.col("_chain").isNull() | (F.col("_step") == 1)))
+    inner = ["_cents", "_left", "_floor", "_last", "_slot", "_chain", "_step", "_ready"]
+    refusing = bool(keys or slot or chain)
 
     def folded(rows):
-        listed = _shortlist(rows, group)
+        listed = _shortlist(rows, group, refusing)
         listed = listed.withColumn("_pos", F.row_number().over(Window.partitionBy(group).orderBy("_at")))
         slim = listed.select(group, F.col("_pos").cast("bigint").alias("_at"), *inner, *keys)
         schema = T.StructType([*slim.schema.fields, T.StructField("_taken", T.BooleanType()),
@@ -139,23 +154,26 @@ def budget_select(cands: DataFrame, group: str, price: str, order, budget: float
         verdict = judged.select(group, F.col("_at").alias("_pos"), "_taken", "_stop", "_rest")
         return listed.join(verdict, [group, "_pos"])
 
-    if not keys:
+    if not refusing:
         out = folded(work).where("_taken")
         return out.select(*columns)
-    parts = []
+    parts, inside = [], []
     while True:
         judged = materialise(folded(work), "budget")
-        parts.append(judged.where(F.col("_taken")
-                                  & (F.col("_stop").isNull() | (F.col("_pos") <= F.col("_stop")))).select(*columns))
+        certain = judged.where(F.col("_taken") & (F.col("_stop").isNull() | (F.col("_pos") <= F.col("_stop"))))
+        parts.append(certain.select(*columns))
+        inside.append(certain.select(group, "_slot", "_chain", "_step", *keys))
         open_groups = (judged.where(F.col("_stop").isNotNull() & (F.col("_pos") == F.col("_stop")))
                        .select(group, F.col("_at").alias("_from"), F.col("_rest").alias("_money")))
         if open_groups.isEmpty():
             break
         work = (work.join(open_groups, group).where(F.col("_at") > F.col("_from"))
                 .withColumn("_left", F.col("_money")).drop("_from", "_money"))
-        for k in keys:
+        for k in [*keys, "_slot"]:
             # NULL keys never meet in an equi-join, as wanted
-            work = work.join(parts[-1].select(group, k).distinct(), [group, k], "left_anti")
+            work = work.join(inside[-1].select(group, k).distinct(), [group, k], "left_anti")
+        if chain:
+            work = _open_chains(work, inside, group)
         work = materialise(work, "budget")
     out = parts[0]
     for p in parts[1:]:
@@ -163,6 +181,21 @@ def budget_select(cands: DataFrame, group: str, price: str, order, budget: float
     return out
 
 
+def _open_chains(work: DataFrame, inside: list[DataFrame], group: str) -> DataFrame:
+    """Rows of chains that may go on: the step behind the last one taken still has an item."""
+    taken = inside[0]
+    for part in inside[1:]:
+        taken = taken.unionByName(part)
+    reached = taken.where(F.col("_chain").isNotNull()).groupBy(group, "_chain").agg(F.max("_step").alias("_reached"))
+    ahead = work.where(F.col("_chain").isNotNull()).groupBy(group, "_chain").agg(F.min("_step").alias("_ahead"))
+    state = (ahead.join(reached, [group, "_chain"], "left")
+             .select(group, "_chain", "_ahead", F.coalesce("_reached", F.lit(0)).alias("_reached")))
+    kept = work.join(state, [group, "_chain"], "left")
+    return (kept.where(F.col("_chain").isNull() | (F.col("_ahead") <= F.col("_reached") + 1))
+            .withColumn("_ready", F.col("_chain").isNull() | (F.col("_step") <= F.col("_reached") + 1))
+            .drop("_ahead", "_reached"))
+
+
 def order_phases(phases: list[DataFrame]) -> DataFrame:
     """Candidates of successive phases under one order: phase, then its own."""
     out = None

@@ -400,26 +400,6 @@ def loans_import(t):
     return jobs.loans_import(rows, titles, "2026-08-05")["report"]
 
 
-@query("order_builder")
-def order_builder(t):
-    """Offers made of the parts against a collection of order lines; the basket
-    rules are checked in the tests."""
-    titles = t.lineitem.select(
-        F.concat(F.lit("978"), F.lpad(F.col("l_partkey").cast("string"), 10, "0")).alias("identifier"),
-        F.concat(F.lit("Serie "), (F.col("l_orderkey") % 5000).cast("string")).alias("series"),
-        F.col("l_linenumber").cast("string").alias("volume"), F.col("l_quantity").cast("bigint").alias("loans"),
-        F.concat(F.lit("Titre "), F.col("l_orderkey").cast("string"), F.lit(" "), F.col("l_linenumber").cast("string")).alias("title"),
-        F.concat(F.lit("Auteur "), F.col("l_suppkey").cast("string")).alias("author"))
-    offers = t.orders.select(
-        F.concat(F.lit("979"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("isbn"),
-        F.concat(F.lit("Serie "), (F.col("o_orderkey") % 5000).cast("string")).alias("series"),
-        (1 + F.col("o_orderkey") % 9).cast("string").alias("volume"), F.concat(F.lit("Offre "), F.col("o_orderkey").cast("string")).alias("title"),
-        F.lit("Anonyme").alias("author"), F.lit("Dupuis").alias("publisher"), F.lit("Poche").alias("support"),
-        (5 + F.round(F.col("o_totalprice") / 20000, 2)).alias("price"))
-    wishes = offers.where(F.col("price") < 6).select("isbn", F.lit("m").alias("motive"))
-    return jobs.order_builder(titles, offers, wishes, 10000.0).select("isbn", "series", "volume", "price", "origin", "phase")
-
-
 @query("enrichment")
 def enrichment(t):
     """Order lines as answers of several sources for each order."""

@@ -121,40 +121,6 @@ def acquisition_signals(titles: DataFrame, copies: DataFrame, today_year: int) -
     }
 
 
-def order_builder(titles: DataFrame, offers: DataFrame, wishes: DataFrame, budget: float,
-                  pool: str = "all") -> DataFrame:
-    """Basket within a budget: missing volumes, wishes, then next volumes.
-
-    ``offers``: isbn, title, author, publisher, series, volume, support, price.
-    ``wishes``: isbn, motive.  Offers join on the folded series and number, so
-    no offer is compared with every series."""
-    lent = titles.withColumn("series_key", fold_text("series", "drop"))
-    on_sale = (offers.withColumn("series_key", fold_text("series", "drop"))
-               .withColumn("number", F.regexp_extract(F.col("volume").cast("string"), "^\\s*(\\d+)", 1).try_cast("bigint")))
-    gaps = holdings.missing_volumes(lent, "series_key", "volume", "loans").select(
-        "series_key", F.col("missing").alias("number"), F.col("total_loans").alias("_loans"))
-    first = on_sale.join(gaps, ["series_key", "number"]).withColumn("origin", F.lit("Tome manquant"))
-    second = (on_sale.join(wishes.select("isbn").distinct(), "isbn", "left_semi")
-              .withColumn("origin", F.lit("Suggestion veille")).withColumn("_loans", F.lit(0).cast("bigint")))
-    ahead = holdings.next_volumes(lent, on_sale.drop("volume").withColumn("volume", F.col("number")), "series_key",
-                                  "volume", "loans")
-    fourth = on_sale.join(ahead.select("series_key", F.col("next_volume").alias("number"),
-                                       F.col("total_loans").alias("_loans")), ["series_key", "number"])
-    fourth = fourth.withColumn("origin", F.lit("Tome suivant"))
-    cands = selection.order_phases([first, second, fourth])
-    cands = selection.acceptable(cands, "price", "origin", "title", "support")
-    mine = matching.book_keys("isbn", "series", "volume", "title", "author")
-    theirs = matching.book_keys("identifier", "series", "volume", "title", "author")
-    fresh = matching.already_owned(cands, titles, {k: (mine[k], theirs[k]) for k in mine}).where(~F.col("owned"))
-    fresh = fresh.drop("owned", *mine)
-    for k in mine:
-        fresh = fresh.withColumn(k, mine[k])
-    fresh = fresh.withColumn("pool", F.lit(pool)).withColumn("_rank", -F.col("_loans"))
-    basket = selection.budget_select(fresh, "pool", "price", ["phase", "_rank", "series_key", "number", "isbn"],
-                                     budget, keys=tuple(mine), stop_share=V.STOP_SHARE)
-    return basket.drop("_rank", "_loans", "pool", *mine)
-
-
 def watch_lists(list_pages: DataFrame, product_pages: DataFrame, holdings_codes: DataFrame,
                 stored: DataFrame, site: str, source: str) -> DataFrame:
     """Products of followed lists that are neither held nor suggested, as

@@ -25,4 +25,4 @@ def test_query(spark, con, name):
 def test_queries_and_sql_belong_together():
     """The named ones have tests of their own."""
     assert set(registry.ORACLES) <= set(registry.QUERIES)
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"order_builder", "enrichment"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"enrichment"}
