@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfspark.operators import filters, holdings, suggestions
+from shelfspark.operators.keyed import exact_rank
 from shelfspark.plans import derive, jobs
 from shelfspark.plans.bind_holdings import OPEN
 from shelfspark.plans.registry import query
@@ -31,6 +32,28 @@ def marc_fields(t):
     return marc.marc_fields(parsed(t)).select("record_id", "pos", "tag", F.size("sub").alias("subs"))
 
 
+@query("marc_files", """
+select (case when p_size % 4 <> 0 then '978' || lpad(p_partkey::varchar, 10, '0') else 'CB:A' || p_partkey end) as identifier, p_name as title,
+ case when p_size % 2 = 0 then 'été' else chr(65533) || 't' || chr(65533) end as subtitle, p_brand as author, p_type || '.' as publisher,
+ row_number() over (partition by p_size % 2 order by p_partkey) as place from part""")
+def marc_files(t):
+    """Records in files, half of them in Latin-1: the bytes keep their places, so that what is plain
+    reads the same; places follow the files."""
+    folders = []
+    for charset, rest in (("ISO-8859-1", 1), (None, 0)):
+        made = derive.records(t.part.where(F.col("p_size") % 2 == rest), charset)
+        folders.append(scratch(t.spark, "marc-files"))
+        (made.repartitionByRange("record_id").sortWithinPartitions("record_id").select("value")
+         .write.option("lineSep", marc.RECORD_END).text(folders[-1]))
+    out = None
+    for folder in folders:
+        titles = marc.marc_to_titles(marc.read_marc(t.spark, folder), derive.SITE, derive.SCHEME)
+        ranked = exact_rank(titles.withColumn("all", F.lit(1)), ["all"], ["record_id"], "place")
+        found = ranked.select("identifier", "title", "subtitle", "author", "publisher", F.col("place").cast("bigint").alias("place"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("marc_titles", """
 select p_partkey as record_id, case when p_size % 4 <> 0 then '978' || lpad(p_partkey::varchar, 10, '0') else 'CB:A' || p_partkey end as identifier,
  'LIVRE' as kind, p_name as title, 'été' as subtitle, case when p_size % 5 = 0 then p_name when p_size % 5 = 1 then 'Série' end as series,

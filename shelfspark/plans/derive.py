@@ -46,11 +46,11 @@ def iso2709(fields: list[tuple[str, Column]]) -> Column:
 SITE, SCHEME = "Site A", "Centre d'intérêt"
 
 
-def records(part: DataFrame) -> DataFrame:
-    """One catalogue record per part."""
+def records(part: DataFrame, charset: str | None = None) -> DataFrame:
+    """One catalogue record per part; with ``charset`` its values are bytes of that encoding."""
     size, key = F.col("p_size"), F.col("p_partkey").cast("string")
     code = F.concat(F.lit("978"), F.lpad(key, 10, "0"))
-    raw = iso2709([
+    listed = [
         ("073", F.when(size % 4 != 0, field(sub("a", code)))),
         ("200", field(sub("a", F.col("p_name")), sub("e", "été"), F.when(size % 5 == 0, sub("h", size.cast("string"))))),
         ("700", field(sub("a", F.col("p_brand")), sub("b", "X"), sub("4", "070"))),
@@ -64,7 +64,8 @@ def records(part: DataFrame) -> DataFrame:
         ("995", field(sub("a", SITE), sub("f", F.concat(F.lit("A"), key)), sub("k", F.concat(F.lit("R "), F.col("p_brand"))),
                       sub("l", "Jeune"), sub("w", "Imprimé"), sub("1", "20260805"))),
         ("995", F.when(size > 25, field(sub("a", SITE), sub("f", F.concat(F.lit("C"), key)), sub("w", "Imprimé"), sub("l", "Adulte")))),
-    ])
+    ]
+    raw = iso2709([(tag, F.encode(content, charset).cast("string") if charset else content) for tag, content in listed])
     return part.select(F.col("p_partkey").alias("record_id"), F.concat(F.lit("\n"), raw).alias("value"))
 
 

@@ -15,11 +15,15 @@ from shelfspark.functions.text import choose_identifier, filled, none_if_empty
 FIELD_END, SUBFIELD, RECORD_END = "\x1e", "\x1f", "\x1d"
 
 
-def read_marc(spark: SparkSession, path) -> DataFrame:
-    """Records of .mrc files; Spark splits the files at the record end."""
+def read_marc(spark: SparkSession, path, encoding: str | None = None) -> DataFrame:
+    """Records of .mrc files; Spark splits the files at the record end.
+
+    The text reader hands on the bytes between record ends as they are; they stay bytes until a
+    field has been cut out by the directory, which counts bytes.  ``encoding`` is that of the
+    values; without one they are UTF-8, and bytes that are not become U+FFFD."""
     lines = spark.read.option("lineSep", RECORD_END).text(path)
     raw = lines.select(file_order().alias("record_id"), F.col("_metadata.file_name").alias("file_name"), F.col("value"))
-    return parse_marc(raw, "value")
+    return parse_marc(raw, "value", encoding)
 
 
 def file_order() -> Column:
@@ -31,23 +35,25 @@ def file_order() -> Column:
                        F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
 
 
-def parse_marc(df: DataFrame, raw: str) -> DataFrame:
+def parse_marc(df: DataFrame, raw: str, encoding: str | None = None) -> DataFrame:
     """Adds ``fields``: array<struct<tag, sub: array<struct<code, val>>>> in
     directory order.  Filler between records is skipped; a record whose leader
     has no readable length and base address is dropped."""
-    text = F.regexp_replace(F.col(raw), "^[\\n\\r ]+", "")
-    df = df.withColumn("_raw", text).where(F.col("_raw").rlike("^[0-9]{5}.{7}[0-9]{5}"))
-    df = df.withColumn("_bytes", F.col("_raw").cast("binary")).withColumn("_base", F.substring("_raw", 13, 5).try_cast("int"))
-    directory = F.substring("_bytes", F.lit(25), F.col("_base") - 25).cast("string")
+    # trimming, unlike a regular expression, does not decode
+    df = df.withColumn("_bytes", F.ltrim(F.col(raw), F.lit("\n\r ")).cast("binary"))
+    leader = F.make_valid_utf8(F.substring("_bytes", F.lit(1), F.lit(17)).cast("string"))
+    df = df.where(leader.rlike("^[0-9]{5}.{7}[0-9]{5}$")).withColumn(
+        "_base", F.substring("_bytes", F.lit(13), F.lit(5)).cast("string").try_cast("int"))
+    directory = F.make_valid_utf8(F.substring("_bytes", F.lit(25), F.col("_base") - 25).cast("string"))
     entries = F.regexp_extract_all(directory, F.lit("(...\\d{9})"), 1)
 
     # the directory gives tag, length (terminator included) and start of each field, in bytes
     def field(entry):
         start = F.col("_base") + F.substring(entry, 8, 5).cast("int")
         content = F.substring(F.col("_bytes"), start + 1, F.substring(entry, 4, 4).cast("int"))
-        content = F.regexp_replace(content.cast("string"), FIELD_END + "$", "")
-        return F.struct(F.substring(entry, 1, 3).alias("tag"), _subfields(content).alias("sub"))
-    return df.withColumn("fields", F.transform(entries, field)).drop("_raw", "_bytes", "_base", *([raw] if raw == "value" else []))
+        text = F.decode(content, encoding) if encoding else F.make_valid_utf8(content.cast("string"))
+        return F.struct(F.substring(entry, 1, 3).alias("tag"), _subfields(F.rtrim(text, F.lit(FIELD_END))).alias("sub"))
+    return df.withColumn("fields", F.transform(entries, field)).drop("_bytes", "_base", *([raw] if raw == "value" else []))
 
 
 def _subfields(content: Column) -> Column:
@@ -82,6 +88,27 @@ def first_value(code, *tags) -> Column:
     return F.get(F.filter(_values(code, *tags), lambda v: v != ""), F.lit(0))
 
 
+def with_values(records: DataFrame) -> DataFrame:
+    """Adds ``_last`` and ``_first``: from tag and code to the last value, and to the first that is
+    not empty.  The fields are walked once, not once for every value wanted.  Tag 214 counts as
+    210, which it replaces in newer records, for first values."""
+    flat = F.flatten(F.transform("fields", lambda f: F.transform(f["sub"], lambda s: F.struct(
+        F.concat(f["tag"], s["code"]).alias("key"), s["val"].alias("val")))))
+    given = F.transform(F.filter("_subs", lambda s: s["val"] != ""), lambda s: F.struct(
+        F.when(s["key"].startswith("214"), F.concat(F.lit("210"), F.substring(s["key"], 4, 1))).otherwise(s["key"]).alias("key"), s["val"].alias("val")))
+    return (records.withColumn("_subs", flat)
+            .withColumn("_last", F.map_from_entries("_subs"))       # of equal keys the last one stays
+            .withColumn("_first", F.map_from_entries(F.reverse(given))).drop("_subs"))
+
+
+def last_of(code: str, tag: str) -> Column:
+    return F.try_element_at("_last", F.lit(tag + code))
+
+
+def first_of(code: str, tag: str) -> Column:
+    return F.try_element_at("_first", F.lit(tag + code))
+
+
 def _in_field(field: Column, code: str) -> Column:
     """Last value of a code within one field."""
     hits = F.filter(field["sub"], lambda s: s["code"] == code)
@@ -117,23 +144,23 @@ def marc_to_titles(records: DataFrame, site: str, subject_scheme: str, key="reco
         F.filter(f["sub"], lambda s: s["code"] == "u"), lambda s: s["val"])))
     games = F.transform(_tagged("686"), lambda f: F.struct(
         _in_field(f, "a").alias("code"), _in_field(f, "l").alias("label"), _in_field(f, "2").alias("scheme")))
-    cut = records.select(
+    cut = with_values(records).select(
         key, contributors().alias("people"), local_copies(site).alias("copies"),
         F.filter(F.transform(subject_fields, lambda f: _in_field(f, "l")),
                  lambda s: F.coalesce(s, F.lit("")) != "").alias("subjects"),
         games.alias("games"),
-        last_value("a", "073").alias("ean"), last_value("a", "010").alias("isbn"),
-        last_value("a", "200").alias("main_title"), last_value("h", "200").alias("part"),
-        last_value("i", "200").alias("part_title"), last_value("e", "200").alias("subtitle"),
-        first_value("c", "210", "214").alias("publisher"), first_value("d", "210", "214").alias("published"),
+        last_of("a", "073").alias("ean"), last_of("a", "010").alias("isbn"),
+        last_of("a", "200").alias("main_title"), last_of("h", "200").alias("part"),
+        last_of("i", "200").alias("part_title"), last_of("e", "200").alias("subtitle"),
+        first_of("c", "210").alias("publisher"), first_of("d", "210").alias("published"),
         none_if_empty(F.array_join(_values("a", "330"), " ")).alias("abstract"),
-        first_value("a", "215").alias("physical"), first_value("a", "333").alias("age"),
+        first_of("a", "215").alias("physical"), first_of("a", "333").alias("age"),
         F.get(classed, F.lit(0)).alias("class"),
         none_if_empty(F.array_join(_values("a", "606"), " | ")).alias("keywords"),
         F.try_element_at(image_urls, F.lit(-1)).alias("image"),
-        last_value("t", "461").alias("linked"), last_value("v", "461").alias("linked_volume"),
-        last_value("d", "461").alias("periodical"),
-        last_value("t", "410").alias("in_collection"), last_value("v", "410").alias("in_collection_volume"))
+        last_of("t", "461").alias("linked"), last_of("v", "461").alias("linked_volume"),
+        last_of("d", "461").alias("periodical"),
+        last_of("t", "410").alias("in_collection"), last_of("v", "410").alias("in_collection_volume"))
     series = R.series_by_precedence("main_title", "part", "linked", "linked_volume", "in_collection",
                                     "in_collection_volume", F.coalesce(R.is_comic_subject("subjects"), F.lit(False)))
     audience = _first_of(F.col("copies"), "audience")

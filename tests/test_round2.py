@@ -67,6 +67,24 @@ def test_records_follow_files_and_places(spark, tmp_path):
     assert [int(r["fields"][0]["sub"][0]["val"]) for r in rows] == [0, 1, *range(100, 500)]
 
 
+def test_bytes_of_another_encoding_shift_nothing(spark, tmp_path):
+    """The directory counts bytes; a Latin-1 record read as UTF-8 loses its accents and no letter."""
+    fields = [("200", "1 \x1faL'\xe9t\xe9 \xe0 No\xebl"), ("700", "  \x1faHergenroth\x1fbAnna"), ("073", "  \x1fa9781234567897")]
+    raw = _record(fields).encode("latin-1")
+    entries, body = b"", b""
+    for tag, content in fields:
+        data = content.encode("latin-1") + b"\x1e"
+        entries += f"{tag}{len(data):04d}{len(body):05d}".encode()
+        body += data
+    base = 24 + len(entries) + 1
+    raw = f"{base + len(body) + 1:05d}nam0 22{base:05d}   450 ".encode() + entries + b"\x1e" + body + b"\x1d"
+    (tmp_path / "one.mrc").write_bytes(b"\n\n" + raw + raw + b"\n" + b"12345 no leader" + b"\x1d")
+    want = {None: "L'\ufffdt\ufffd \ufffd No\ufffdl", "ISO-8859-1": "L'été à Noël"}
+    for encoding, title in want.items():
+        rows = marc.marc_to_titles(marc.read_marc(spark, str(tmp_path), encoding), "S", "x").collect()
+        assert [(r.title, r.author, r.identifier) for r in rows] == [(title, "Hergenroth", "9781234567897")] * 2
+
+
 def test_never_lent_with_missing_loans(spark):
     got = one(spark, R.weeding_class(F.lit(None).cast("string"), F.lit("BD"), F.lit("Adulte"), F.lit(20), F.lit(None).cast("int"), F.lit(None).cast("int"), 2026))
     assert got is not None and got["class"] == "BD-manga jamais prêtées"
