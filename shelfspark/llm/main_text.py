@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import html as markup
 import re
+from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -56,28 +57,78 @@ RANK = {"h1": 1, "article": 2, "main": 3}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
+BLOCKS_OF_TEXT = INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre"}
+
+
+class Open:
+    """The open elements of a page.  What a text node or a tag asks of them (its path, its container,
+    whether a link is open, which element a tag closes) is known without walking the stack, so that
+    pages with very deep nesting are read in linear time."""
+
+    def __init__(self):
+        # by depth: tag, number, path, container, whether never main text
+        self.tags, self.numbers, self.paths, self.homes, self.never = [], [], [], [], []
+        self.where: dict[str, list[int]] = defaultdict(list)        # depths of each tag
+        self.solid: list[int] = []      # depths of elements that are not inline
+        self.hidden = 0
+        self.known: dict[tuple[int, str], int] = {}     # number of a path by that of its parent and its last label
+
+    def push(self, tag: str, label: str, never: bool, number: int) -> None:
+        depth = len(self.tags)
+        step = (self.paths[-1] if depth else 0, label)
+        self.paths.append(self.known.setdefault(step, len(self.known) + 1))
+        self.homes.append((self.homes[-1] if depth else 0) if tag in BLOCKS_OF_TEXT else number)
+        self.tags.append(tag)
+        self.numbers.append(number)
+        self.never.append(never)
+        self.where[tag].append(depth)
+        if tag not in INLINE:
+            self.solid.append(depth)
+        self.hidden += never
+
+    def pop_to(self, size: int) -> None:
+        while len(self.tags) > size:
+            tag = self.tags.pop()
+            self.where[tag].pop()
+            if tag not in INLINE:
+                self.solid.pop()
+            self.hidden -= self.never.pop()
+            for column in (self.numbers, self.paths, self.homes):
+                column.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the innermost element of its name; inline ones do not reach beyond a block."""
+        if self.where[tag]:
+            depth = self.where[tag][-1]
+            if tag not in INLINE or not self.solid or self.solid[-1] < depth:
+                self.pop_to(depth)
+
+    def close_paragraph(self) -> None:
+        if self.solid and self.tags[self.solid[-1]] == "p":
+            self.pop_to(self.solid[-1])
+
+    def close_siblings(self, tag: str) -> None:
+        """Closes what an element of this name ends, as far as the innermost element that bounds it."""
+        bound = max((self.where[x][-1] for x in BOUNDS[tag] if self.where[x]), default=-1)
+        found = [self.where[x][k] for x in CLOSES[tag] for k in [bisect_right(self.where[x], bound)] if k < len(self.where[x])]
+        if found:
+            self.pop_to(min(found))
+
+
 def text_nodes(page: str):
     """(path, container, text, in a link, element) of each text node that may be main text, in page order,
     None for the end of a block; and (parent, tag) of each element by number, in page order, 0 being
-    the page itself."""
-    stack: list[list] = []      # tag, label, never main text, number
+    the page itself.  Paths are numbers."""
+    stack = Open()
     out, at, tree = [], 0, [(0, "")]
     doubtful: dict[int, bool] = {}      # elements to be left out, unless they hold the main text: others' words
-    hidden = 0
-
-    def pop_to(size: int):
-        nonlocal hidden
-        while len(stack) > size:
-            hidden -= stack.pop()[2]
 
     def text(piece: str):
-        if hidden or not piece:
-            return
-        path = "/".join(e[1] for e in stack)
-        depth = len(stack) - 1
-        while depth >= 0 and (stack[depth][0] in INLINE or stack[depth][0] in {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre"}):
-            depth -= 1
-        out.append((path, stack[depth][3] if depth >= 0 else 0, piece, any(e[0] == "a" for e in stack), stack[-1][3] if stack else 0))
+        if piece and not stack.hidden:
+            if stack.tags:
+                out.append((stack.paths[-1], stack.homes[-1], piece, bool(stack.where["a"]), stack.numbers[-1]))
+            else:
+                out.append((0, 0, piece, False, 0))
 
     for m in TOKEN.finditer(page):
         if m.start() < at:
@@ -93,33 +144,19 @@ def text_nodes(page: str):
         if tag not in INLINE:
             out.append(None)
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            stack.end(tag)
             continue
         if tag in VOID:
             continue
         if tag not in KEEPS_P or tag == "p":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+            stack.close_paragraph()
         if tag in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in BOUNDS[tag]:
-                    break
-                if stack[k][0] in CLOSES[tag]:
-                    pop_to(k)
+            stack.close_siblings(tag)
         if tag == "body":
-            while stack and stack[-1][0] != "html":
-                pop_to(len(stack) - 1)
+            while stack.tags and stack.tags[-1] != "html":
+                stack.pop_to(len(stack.tags) - 1)
         names = [a or b or c for _, a, b, c in NAMED.findall(m[3] or "")]
-        inside = any(e[0] in ("article", "main") for e in stack)
+        inside = bool(stack.where["article"] or stack.where["main"])
         left_out = tag in NEVER or (tag == "header" and not inside)
         if tag in RAW:
             end = RAW[tag].search(page, at)
@@ -128,13 +165,12 @@ def text_nodes(page: str):
         if (m[3] or "").rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
         label = tag + "".join("." + x.split()[0].lower() for x in names[:1] if x.split())
-        tree.append((stack[-1][3] if stack else 0, "" if hidden or left_out else tag))
-        if not hidden and not left_out and tag not in ("html", "body", "article", "main"):
+        tree.append((stack.numbers[-1] if stack.tags else 0, "" if stack.hidden or left_out else tag))
+        if not stack.hidden and not left_out and tag not in ("html", "body", "article", "main"):
             words = " ".join(LAYOUT.sub(" ", x) for x in names)
             if tag == "form" or NOT_MAIN.search(words):
                 doubtful[len(tree) - 1] = bool(OTHERS.search(words))
-        stack.append([tag, label, left_out, len(tree) - 1])
-        hidden += left_out
+        stack.push(tag, label, left_out, len(tree) - 1)
     text(page[at:])
     if doubtful:
         gone = _left_out(out, tree, doubtful)
@@ -194,7 +230,7 @@ def main_text(page: str | None) -> str:
     ratio = _smooth(np.array([length[x[0]] / count[x[0]] for x in full], float))
     sign = _smooth(np.array([1 + marks[x[0]] / count[x[0]] for x in full], float))
     fused = ratio * sign
-    per: dict[str, list[float]] = defaultdict(list)
+    per: dict[int, list[float]] = defaultdict(list)
     for x, value in zip(full, fused):
         per[x[0]].append(float(value))
     limit = LEVEL * float(fused.std())
