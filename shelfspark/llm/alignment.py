@@ -14,8 +14,8 @@ lists pairs in the order of A ids, so the highest count of an A id is known from
 counts then stream past the records of each radix, run by run, and what a run's documents gain goes
 back to the run, where sums and documents meet.
 
-Bounds: a run holds the documents of ``RUN`` bytes of text (or one longer document); a block has at
-most ``BLOCK`` pairs; an A id has at most as many pairs as B has ids, so a radix cannot outgrow the
+Bounds: a run holds the documents of Arrow batches of ``RUN`` bytes of text in all (or one longer
+document); a block has at most ``BLOCK`` pairs; an A id has at most as many pairs as B has ids, so a radix cannot outgrow the
 vocabularies.  A frequent pair is one entry per run, not one per document.
 
 Encoding: neither tokenizer joins across a white-space run that begins with a blank or line end and
@@ -56,7 +56,7 @@ RADIX = 256
 BLOCK = 1 << 16         # pairs of a block of counts
 FAN = 64                # runs merged at once
 SIDE = 64               # runs of a radix that a task takes its counts past
-MEMORY = 100_000        # stretches a worker remembers
+MEMORY = 250_000        # stretches a worker remembers
 STRETCH = re.compile(r"\s+\S*(?:(?![ \n])\s+\S*)*")
 FACTS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
@@ -106,6 +106,11 @@ class Aligner:
                          and not splitter.get("add_prefix_space")
                          and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces))
             self.mark = self.b.piece_to_id("▁")
+            most = max(max(self.bytes_a) + 1, len(pieces))
+            self.size_a, self.size_b = np.zeros(most, np.int64), np.array([len(x) for x in self.bytes_b], np.int64)
+            for i, raw in self.bytes_a.items():
+                self.size_a[i] = len(raw)
+            self.texts = [[b"%d%s" % (i, mark) for i in range(most)] for mark in (b",", b"|", b";")]
             self.forget()
             self._ready = True
         return self
@@ -113,8 +118,9 @@ class Aligner:
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.groups: list[bytes] = []
-        self.facts: list[tuple[int, int, int, int, bool]] = []      # n_a, n_b, n_groups, n_links, differs
-        self.pairs: list[np.ndarray] = []       # rows of (a << 32 | b, times)
+        # n_a, n_b, n_groups, n_links, and whether its bytes differ, of each stretch; its links
+        self.facts: list[np.ndarray] = [np.zeros((0, 5), np.int64)]
+        self.links: list[np.ndarray] = [np.zeros(0, np.int64)]
         self.held = 0
 
     def stretches(self, text: str) -> list[str]:
@@ -126,62 +132,56 @@ class Aligner:
             found[-2:] = [found[-2] + found[-1]]
         return found
 
-    def _encoded_b(self, stretch: str) -> list[int]:
-        """B's ids of a stretch; B puts a space in front of what it is given."""
-        if stretch[0] == " ":
-            return self.b.encode(stretch[1:])
-        ids = self.b.encode(stretch)
-        return ids[1:] if ids[:1] == [self.mark] else [self.b.unk_id()]
+    def _encoded_b(self, stretches: list[str]) -> list[list[int]]:
+        """B's ids of each stretch; B puts a space in front of what it is given."""
+        out = self.b.encode([s[1:] if s[0] == " " else s for s in stretches], num_threads=1)
+        for i, s in enumerate(stretches):
+            if s[0] != " ":
+                out[i] = out[i][1:] if out[i][:1] == [self.mark] else [self.b.unk_id()]
+        return out
 
     def learn(self, new: list[str]) -> None:
         """Encodes and aligns stretches that are not known."""
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
-            listed = [(e.ids, self._encoded_b(s)) for e, s in zip(self.a.encode_batch_fast(some, add_special_tokens=False), some)]
-            for stretch, (a, b) in zip(some, listed):
-                self.number[stretch] = len(self.number)
-                raw = stretch.encode("utf-8", "replace")
-                self.held += len(raw)
-                parts_a, parts_b = [self.bytes_a.get(t, b"") for t in a], [self.bytes_b[t] for t in b]
-                if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-                    self.facts.append((0, 0, 0, 0, True))
-                    self.groups.append(b"")
-                    self.pairs.append(np.zeros((0, 2), np.int64))
-                    continue
-                self._align(a, b, parts_a, parts_b)
-
-    def _align(self, a, b, parts_a, parts_b) -> None:
-        if len(a) == len(b) == 1:
-            self.facts.append((1, 1, 1, 1, False))
-            self.groups.append(b"%d|%d" % (a[0], b[0]))
-            self.pairs.append(np.array([[a[0] << 32 | b[0], 1]], np.int64))
-            return
-        # both ends advance together: every step names the tokens that overlap there
-        links: dict[int, int] = {}
-        groups, mine, theirs = [], [str(a[0])], [str(b[0])]
-        i = j = count = 0
-        end_a, end_b = len(parts_a[0]), len(parts_b[0])
-        while True:
-            pair = a[i] << 32 | b[j]
-            links[pair] = links.get(pair, 0) + 1
-            count += 1
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            if step_a and step_b:
-                groups.append(",".join(mine) + "|" + ",".join(theirs))
-                mine, theirs = [], []
-            if step_a:
-                i += 1
-                if i == len(a):
-                    break
-                end_a += len(parts_a[i])
-                mine.append(str(a[i]))
-            if step_b:
-                j += 1
-                end_b += len(parts_b[j])
-                theirs.append(str(b[j]))
-        self.facts.append((len(a), len(b), len(groups), count, False))
-        self.groups.append(";".join(groups).encode())
-        self.pairs.append(np.array(list(links.items()), np.int64))
+        for i in range(0, len(new), 8192):
+            some = new[i:i + 8192]
+            raws = [s.encode("utf-8", "replace") for s in some]
+            self.number.update(zip(some, range(len(self.number), len(self.number) + len(some))))
+            self.held += sum(map(len, raws))
+            a = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
+            b = self._encoded_b(some)
+            good = np.ones(len(some), bool)
+            for ids, table_ in ((a, self.bytes_a), (b, self.bytes_b)):
+                if b"".join([table_[t] for x in ids for t in x]) != b"".join(raws):
+                    good &= np.array([b"".join([table_[t] for t in x]) == raw for x, raw in zip(ids, raws)])
+            if not good.all():
+                a, b = ([x if ok else [] for x, ok in zip(ids, good)] for ids in (a, b))
+            self._align(a, b, good)
+
+    def _align(self, a: list[list[int]], b: list[list[int]], good: np.ndarray) -> None:
+        """Both tokenizations of many stretches at once, as byte offsets along all of them; where a
+        stretch ends both end, so nothing reaches across."""
+        count_a, count_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
+        flat_a, flat_b = (np.array([t for x in ids for t in x], np.int64) for ids in (a, b))
+        end_a, end_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
+        # between two neighbouring ends of any kind one A and one B token overlap: that is a link
+        ends = np.union1d(end_a, end_b)
+        cuts = np.intersect1d(end_a, end_b, assume_unique=True)
+        link_a, link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        self.links.append(flat_a[link_a] << 32 | flat_b[link_b])
+        owner_a, owner_b = np.repeat(np.arange(len(a)), count_a), np.repeat(np.arange(len(b)), count_b)
+        links = np.bincount(owner_a[link_a], minlength=len(a))
+        groups = np.bincount(owner_a[np.searchsorted(end_a, cuts)], minlength=len(a))
+        self.facts.append(np.stack([count_a, count_b, groups, links, ~good], 1).astype(np.int64))
+        # texts of the groups: every id with what follows it, A ids of a group before its B ids
+        group = np.concatenate([np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)])
+        side = np.repeat([0, 1], [len(end_a), len(end_b)])
+        order = np.lexsort((side, group))
+        last = np.ones(len(order), bool)
+        last[:-1] = (group[order][1:] != group[order][:-1]) | (side[order][1:] != side[order][:-1])
+        follow = np.where(last, side[order] + 1, 0)
+        texts = [self.texts[f][t] for f, t in zip(follow.tolist(), np.concatenate([flat_a, flat_b])[order].tolist())]
+        at = np.concatenate([[0], np.cumsum(count_a + count_b)]).tolist()
+        self.groups += [b"".join(texts[i:j])[:-1] for i, j in zip(at, at[1:])]
 
 
 # --- blobs ---------------------------------------------------------------------------------------
@@ -246,9 +246,9 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
 def _filed(shared, id_type, run_bytes: int, block: int):
     """Runs of the documents of a task: facts, records and counts."""
     def run_of(one: Aligner, ids: list, docs: list[np.ndarray | None], digests: list[str]):
-        facts = np.array(one.facts, np.int64).reshape(-1, 5)
-        sizes = np.array([len(p) for p in one.pairs], np.int64)
-        flat = np.concatenate(one.pairs) if one.pairs else np.zeros((0, 2), np.int64)
+        facts, flat = np.concatenate(one.facts), np.concatenate(one.links)
+        one.facts, one.links = [facts], [flat]
+        sizes = facts[:, 3]
         starts = np.cumsum(sizes) - sizes
         lengths = np.array([0 if d is None else len(d) for d in docs], np.int64)
         doc = np.repeat(np.arange(len(docs)), lengths)
@@ -267,9 +267,9 @@ def _filed(shared, id_type, run_bytes: int, block: int):
         key, times = np.unique(doc * max(len(sizes), 1) + stretch, return_counts=True)
         doc, stretch = key // max(len(sizes), 1), key % max(len(sizes), 1)
         at = _stretched(starts[stretch], sizes[stretch])
-        codes, rank = np.unique(flat[:, 0], return_inverse=True)
+        codes, rank = np.unique(flat, return_inverse=True)
         key = rank.reshape(-1)[at] * len(docs) + np.repeat(doc, sizes[stretch])
-        weight = flat[at, 1] * np.repeat(times, sizes[stretch])
+        weight = np.repeat(times, sizes[stretch])
         order = np.argsort(key, kind="stable")
         key, weight = key[order], weight[order]
         first = np.flatnonzero(np.diff(key, prepend=-1)) if len(key) else np.zeros(0, np.int64)
@@ -291,27 +291,30 @@ def _filed(shared, id_type, run_bytes: int, block: int):
     def run(batches):
         one, ids, docs, digests, size = shared.value.ready(), [], [], [], 0
         for batch in batches:
-            column = batch.column("text")
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), (x.as_py() for x in column)):
+            texts = batch.column("text").to_pylist()
+            split = [one.stretches(text) if text else [] for text in texts]
+            new = {s for stretches in split for s in stretches if s not in one.number}
+            if new:
+                one.learn(sorted(new))
+            facts = np.concatenate(one.facts)
+            one.facts = [facts]
+            for doc_id, text, stretches in zip(batch.column("doc_id").to_pylist(), texts, split):
                 ids.append(doc_id)
-                stretches = one.stretches(text) if text else []
-                new = sorted(set(stretches) - one.number.keys())
-                if new:
-                    one.learn(new)
                 numbers = [one.number[s] for s in stretches]
-                if not numbers or any(one.facts[i][4] for i in set(numbers)):
+                if not numbers or facts[numbers, 4].any():
                     docs.append(None)
                     digests.append("")
                 else:
                     docs.append(np.array(numbers, np.int32))
                     digests.append(hashlib.sha256(b";".join([one.groups[i] for i in numbers])).hexdigest())
                 size += len(text or "")
-                if size >= run_bytes or len(ids) >= BLOCK:
-                    yield run_of(one, ids, docs, digests)
-                    ids, docs, digests, size = [], [], [], 0
-                    if len(one.number) > MEMORY or one.held > run_bytes:
-                        one.forget()
-                    release()
+            del texts, split, new
+            if size >= run_bytes or len(ids) >= BLOCK:
+                yield run_of(one, ids, docs, digests)
+                ids, docs, digests, size = [], [], [], 0
+                if len(one.number) > MEMORY or one.held > run_bytes:
+                    one.forget()
+                release()
         if ids:
             yield run_of(one, ids, docs, digests)
         one.forget()
