@@ -75,6 +75,16 @@ class Stored:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_by_key(df: DataFrame, per_key: DataFrame, keys: list[str], weight: str, hot: int = 256) -> DataFrame:
+    """Inner join to a frame with one row per key, whose ``weight`` counts the rows of ``df`` with that
+    key.  The heaviest ``hot`` keys, a fixed number of rows, are broadcast, so that their rows stay
+    where they are; only the rest is shuffled.  Both frames should be stored tables, as each is read
+    twice."""
+    heavy = F.broadcast(per_key.orderBy(F.col(weight).desc(), *keys).limit(hot))
+    rest = df.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(per_key, keys)
+    return df.join(heavy, keys).unionByName(rest)
+
+
 def release() -> None:
     """Hands freed memory back to the system: Python workers live on between stages, and several
     share an executor's memory with its JVM."""

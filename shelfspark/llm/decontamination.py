@@ -185,7 +185,13 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
                     keep[[i + doc for doc in found]] = False
                 yield batch.filter(pa.array(keep))
         return run
-    for held in _item_blocks(benchmark, item, item_text, block_bytes):
+    stored = None
+    for done, held in enumerate(_item_blocks(benchmark, item, item_text, block_bytes)):
+        if done and done % SCANS == 0:      # no more scans than that are chained in a task
+            before, stored = stored, Stored(docs, "scanned")
+            docs = stored.read()
+            if before:
+                before.drop()
         docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(NgramSet(held, n))), docs.schema)
     return docs
 

@@ -21,8 +21,9 @@ occurrence form a run; the bytes they cover are the run's *context*.
    all windows of the slice share) occurs twice are taken apart, and their windows counted alike.
 
 Cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; a repeated
-row counts as a copy; rows that share a doc_id must share the text; extra columns are kept by
-``without_repeats``, where characters cut in half by a removal go as a whole.
+row counts as a copy; rows with a null or shared doc_id are rows like others (they are numbered
+first); extra columns are kept by ``without_repeats``, where characters cut in half by a removal go
+as a whole.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import Stored, blocks, merged, mix64, powers, query, table, text_bytes
+from shelfspark.llm.common import Stored, blocks, join_by_key, merged, mix64, powers, query, table, text_bytes
 from shelfspark.llm.common import _BYTE_VALUES as BYTE_VALUES
 
 LENGTH = 200
@@ -297,22 +298,26 @@ def _digests(length: int):
 def _counted_spans(hot: DataFrame, kind: str, length: int) -> tuple[DataFrame, list[Stored]]:
     """Spans at hot anchors, by counting slices and then windows; and the tables to drop later."""
     slices = Stored(hot.mapInArrow(_slices(length), f"doc_id {kind}, single boolean, begin long, whole binary, core binary, body binary"), "hot-slices")
-    twice = Stored(slices.read().groupBy("whole").agg(F.count("*").alias("n")).where("n > 1").select("whole"), "hot-whole")
-    settled = (slices.read().where("single").join(twice.read(), "whole")
+    twice = Stored(slices.read().groupBy("whole").agg(F.count("*").alias("n")).where("n > 1"), "hot-whole")
+    shared = Stored(slices.read().groupBy("core").agg(F.count("*").alias("n")).where("n > 1"), "hot-cores")
+    settled = (join_by_key(slices.read().where("single"), twice.read(), ["whole"], "n")
                .select("doc_id", "begin", (F.col("begin") + F.octet_length("body")).alias("stop")))
-    shared = Stored(slices.read().groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "hot-cores")
     # one slice stands for equal ones, which are settled but may hold windows of others
-    apart = slices.read().join(shared.read(), "core").join(twice.read().withColumn("settled", F.lit(True)), "whole", "left")
-    rest = apart.where("settled is null").select("doc_id", "single", "begin", "body")
-    equal = apart.where("settled").dropDuplicates(["whole"]).select("doc_id", F.lit(False).alias("single"), "begin", "body")
-    windows = Stored(rest.unionAll(equal).mapInArrow(_digests(length), f"doc_id {kind}, begin long, single boolean, digest binary"), "hot-windows")
-    again = windows.read().groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    counted = windows.read().where("single").join(again, "digest").select("doc_id", "begin", (F.col("begin") + length).alias("stop"))
-    return settled.unionAll(counted), [slices, twice, shared, windows]
+    equal = join_by_key(slices.read(), twice.read(), ["whole"], "n").drop("n").dropDuplicates(["whole"]).withColumn("single", F.lit(False))
+    heavy = F.broadcast(twice.read().orderBy(F.col("n").desc(), "whole").limit(256).select("whole"))
+    rest = slices.read().join(heavy, "whole", "left_anti").join(twice.read(), "whole", "left_anti")
+    different = Stored(rest.unionByName(equal), "hot-different")
+    apart = join_by_key(different.read(), shared.read(), ["core"], "n").select("doc_id", "single", "begin", "body")
+    windows = Stored(apart.mapInArrow(_digests(length), f"doc_id {kind}, begin long, single boolean, digest binary"), "hot-windows")
+    again = Stored(windows.read().groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "hot-digests")
+    counted = (join_by_key(windows.read().where("single"), again.read(), ["digest"], "n")
+               .select("doc_id", "begin", (F.col("begin") + length).alias("stop")))
+    return settled.unionAll(counted), [slices, twice, shared, different, windows, again]
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED, hot: int = HOT) -> DataFrame:
-    """(key, begin, stop): byte spans of repeated windows, overlapping ones not yet united."""
+    """(key, begin, stop): byte spans of repeated windows, overlapping ones not yet united.  ``key``
+    tells the rows apart (see ``_told_apart``)."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     filed = Stored(docs.mapInArrow(_anchor_rows(length, seed), f"doc_id {kind}, start long, more int, lead int, seed long, context long"), "anchors")
@@ -323,13 +328,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     often.drop()
     kinds = Stored(again.read().groupBy("seed", "context", "mixed")
                    .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "more", "lead")).alias("one")), "contexts")
-    whole = (again.read().join(kinds.read().where("n > 1").select("seed", "context"), ["seed", "context"])
+    whole = (join_by_key(again.read(), kinds.read().where("n > 1").select("seed", "context", "n"), ["seed", "context"], "n")
              .select("doc_id", F.col("start").alias("begin"), (F.col("start") + F.col("more") + length).alias("stop")))
     per = kinds.read().where("mixed").groupBy("seed").agg(F.count("*").alias("kinds"))
     wanted = (kinds.read().where("mixed").join(per, "seed")
               .select("one.doc_id", F.struct("one.start", "one.more", "one.lead", "seed", "kinds", (F.col("n") == 1).alias("single")).alias("wanted"))
               .groupBy("doc_id").agg(F.collect_list("wanted").alias("wanted")))
-    bodies = Stored(docs.dropDuplicates(["doc_id"]).join(wanted, "doc_id")
+    bodies = Stored(docs.join(wanted, "doc_id")
                     .mapInArrow(_cut_contexts(length), f"doc_id {kind}, start long, lead int, seed long, kinds long, single boolean, body binary"), "context-bytes")
     spans = f"doc_id {kind}, begin long, stop long"
     ordered = (bodies.read().where(F.col("kinds") <= hot).repartition("seed").sortWithinPartitions("seed").mapInArrow(_sorted_spans(length), spans))
@@ -376,9 +381,19 @@ def _text(own: bytes, edges: list[int]) -> str:
     return "".join(own[edges[k]:edges[k + 1]].decode("utf-8", "ignore") for k in range(0, len(edges), 2))
 
 
+def _told_apart(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with ``_row``, which no two rows share: the key, or, where keys are null or repeat, a
+    number given to the rows as they are stored."""
+    counted = docs.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNull() | (F.col("n") > 1))
+    if counted.isEmpty():
+        return docs.withColumn("_row", F.col(key))
+    return Stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered").read()
+
+
 def _with_spans(docs: DataFrame, key: str, **options) -> DataFrame:
-    spans = repeated_spans(docs, key=key, **options).groupBy(key).agg(F.collect_list(F.struct("begin", "stop")).alias("_spans"))
-    return docs.join(spans.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left").drop("_key")
+    docs = _told_apart(docs, key)
+    spans = repeated_spans(docs, key="_row", **options).groupBy("_row").agg(F.collect_list(F.struct("begin", "stop")).alias("_spans"))
+    return docs.join(spans, "_row", "left").drop("_row")
 
 
 def removal_report(docs: DataFrame, **options) -> DataFrame:

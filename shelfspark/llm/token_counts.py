@@ -20,6 +20,7 @@ import hashlib
 import json
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -28,10 +29,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import Stored, query, release, scratch, table
+from shelfspark.llm.common import Stored, join_by_key, query, release, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
+SLOTS = 1 << 20         # slots of row keys by which texts to be encoded are told
 MEMORY = 250_000        # pre-tokens that a worker remembers
 OTHER = regex.compile(r"[^\x00-\x1b\x20-\u024f\u2010-\u2027\u20ac]")     # beyond Latin letters and signs
 CACHE = "tokenizer string, content binary, n_tokens long"
@@ -145,12 +147,15 @@ def _digests(counter):
     return run
 
 
-def _packed(batches):
-    """Texts compressed for the shuffle."""
-    packer = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        packed = [packer.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+def _packed(chosen):
+    """Texts of the rows whose slot is chosen, compressed for the shuffle."""
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            batch = batch.filter(pa.array(chosen.value[batch.column("slot").to_numpy()]))
+            packed = [packer.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+    return run
 
 
 def _counted(counter):
@@ -189,16 +194,26 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str | None = None) -> D
     counter = spark.sparkContext.broadcast(one)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = Stored(docs.mapInArrow(_digests(counter), f"doc_id {kind}, n_bytes long, content binary"), "contents")
-    missing = (keyed.read().groupBy("content").agg(F.min("doc_id").alias("one"))
-               .join(_cache(spark, cache, one.version), "content", "left_anti").select("one").distinct())
-    packed = docs.mapInArrow(_packed, f"doc_id {kind}, packed binary")
-    chosen = packed.join(missing, packed["doc_id"].eqNullSafe(missing["one"])).select("packed")
-    (chosen.mapInArrow(_counted(counter), "content binary, n_tokens long").dropDuplicates(["content"])
+    keyed = Stored(docs.mapInArrow(_digests(counter), f"doc_id {kind}, n_bytes long, content binary"), "digests")
+    contents = Stored(keyed.read().groupBy("content").agg(F.min("doc_id").alias("one"), F.count(F.lit(1)).alias("copies")), "contents")
+    missing = Stored(contents.read().join(_cache(spark, cache, one.version), "content", "left_anti").select("one").distinct(), "missing")
+    # Texts move to be encoded only where their slot holds a missing content: a table of a fixed
+    # size tells.  The join is the same at every size, so that what it moves follows the input.
+    slot = F.xxhash64("doc_id").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
+    chosen = np.zeros(SLOTS, bool)
+    chosen[missing.read().select(F.col("one").alias("doc_id")).select(slot).distinct().toArrow().column("slot").to_numpy()] = True
+    packed = docs.select("doc_id", "text", slot).mapInArrow(_packed(spark.sparkContext.broadcast(chosen)), f"doc_id {kind}, packed binary")
+    asked = missing.read().hint("merge")
+    encoded = packed.join(asked, packed["doc_id"].eqNullSafe(asked["one"])).select("packed")
+    (encoded.mapInArrow(_counted(counter), "content binary, n_tokens long").dropDuplicates(["content"])
      .join(_cache(spark, cache, one.version), "content", "left_anti")
      .select(F.lit(one.version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache))
-    counts = _cache(spark, cache, one.version).dropDuplicates(["content"])
-    return keyed.read().join(counts, "content").select("doc_id", "n_bytes", "n_tokens")
+    known = _cache(spark, cache, one.version).dropDuplicates(["content"])
+    counts = Stored(contents.read().select("content", "copies").join(known, "content"), "counts")
+    result = Stored(join_by_key(keyed.read(), counts.read(), ["content"], "copies").select("doc_id", "n_bytes", "n_tokens"), "token-counts")
+    for stored in (keyed, contents, missing, counts):
+        stored.drop()
+    return result.read()
 
 
 @query("op2_token_counts")

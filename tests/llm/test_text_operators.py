@@ -288,6 +288,17 @@ def passages():
     return docs + [(100, None), (101, ""), (102, "a" * 500), (103, "ab" * 200), (104, docs[0][1]), (105, shared[0])]
 
 
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_repeated_bytes_of_rows_without_a_key_of_their_own(ready, hot):
+    """Null and repeated ids, equal and different texts under them: rows are rows."""
+    docs, length = passages(), 40
+    ids = [None if k % 3 == 0 else k % 7 for k, _ in docs]
+    df = ready.createDataFrame([(i, t) for i, (_, t) in zip(ids, docs)], DOCS).repartition(3)
+    got = sorted((tuple(r) for r in suffix_dedup.removal_report(df, length=length, seed=12, hot=hot).collect()), key=str)
+    want = brute_removed(docs, length)
+    assert got == sorted(((i, *want[k]) for i, (k, _) in zip(ids, docs)), key=str)
+
+
 @pytest.mark.parametrize("hot", [2000, 3])
 def test_repeated_bytes(ready, hot):
     docs, length = passages(), 40
