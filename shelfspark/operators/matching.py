@@ -217,24 +217,62 @@ def fuzzy_title_match(left: DataFrame, left_key, left_text, right: DataFrame, ri
             .select(F.col("_id").alias("left_id"), "right_id", "score"))
 
 
+def _rarest_first(words: DataFrame, freq: DataFrame, key: str) -> DataFrame:
+    """Per key its words in ascending (frequency, word); words without a frequency are dropped.
+    ``words``: key, word."""
+    ranked = attach_by_key(words, freq, "word", "freq").where(F.col("freq").isNotNull())
+    return ranked.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("freq", "word"))), lambda x: x["word"]).alias("_order"))
+
+
+def _postings(sets: DataFrame, ordered: DataFrame, k: int) -> DataFrame:
+    """(word, set_key) of the sets that a search by the word has to look at.
+
+    Of the sets that hold the same words from ``word`` on (in the common order, rarest first), those
+    not found by a rarer word share equally much with any probe.  So only the ``k`` with the smallest
+    keys matter, and a word held by every set has ``k`` postings, not one for every set."""
+    listed = (sets.select("set_key", "_m").join(ordered, "set_key")
+              .select("set_key", "_m", "_order", F.posexplode("_order").alias("_at", "word")))
+    tail = F.sha2(F.array_join(F.slice("_order", F.col("_at") + 1, F.size("_order")), " "), 256)
+    return top_per_key(listed.select("word", tail.alias("_tail"), "_m", "set_key"), ["word", "_tail"], ["_m", "set_key"], k).select("word", "set_key")
+
+
 def similar_items(items: DataFrame, key, words: Column, probes: DataFrame, probe_key, k: int,
                   available: Column | None = None) -> DataFrame:
     """For each probe the k items sharing most words with it (ties: smallest key).
 
-    Items with equal word sets are handled as one set holding its k + 1
-    smallest keys, so a group of copies never produces all its pairs."""
+    Items with equal word sets are handled as one set holding its k + 1 smallest keys, so a group of
+    copies never produces all its pairs.  An index of words is read rarest first, its lists cut where
+    nothing behind the cut can win (see ``_postings``).  The first half of a probe's words gives a
+    bound, its (k + 1)-th best score; of the other, commoner words only those are read behind which
+    a set not yet found could still reach it."""
     tagged = items.withColumn("_words", F.sort_array(F.array_distinct(words)))
     pool = tagged if available is None else tagged.where(available)
-    members = top_per_key(pool.select(F.col(key).alias("_id"), F.array_join("_words", " ").alias("set_key"),
-                                      "_words"), ["set_key"], ["_id"], k + 1)
-    sets = members.groupBy("set_key").agg(F.first("_words").alias("_words"))
+    members = materialise(top_per_key(pool.select(F.col(key).alias("_id"), F.array_join("_words", " ").alias("set_key"),
+                                                  "_words"), ["set_key"], ["_id"], k + 1), "members")
+    sets = members.groupBy("set_key").agg(F.first("_words").alias("_words"), F.min("_id").alias("_m"))
+    held = sets.select("set_key", F.explode("_words").alias("word"))
+    freq = materialise(held.groupBy("word").agg(F.count(F.lit(1)).alias("freq")), "words")
+    index = materialise(_postings(sets, _rarest_first(held, freq, "set_key"), k + 1), "postings")
     wanted = tagged.join(probes.select(F.col(probe_key).alias(key)).distinct(), key, "left_semi")
-    p = wanted.select(F.col(key).alias("probe"), F.explode("_words").alias("word"))
-    s = sets.select("set_key", F.explode("_words").alias("word"))
-    overlap = p.join(s, "word").groupBy("probe", "set_key").agg(F.count(F.lit(1)).alias("common"))
+    asked = wanted.select(F.col(key).alias("probe"), F.explode("_words").alias("word"))
+    asked = materialise(_rarest_first(asked, freq, "probe"), "probes")
+    listed = asked.select("probe", F.size("_order").alias("_n"), F.posexplode("_order").alias("_at", "word"))
+    first_half = F.col("_at") < F.col("_n") / 2
+
+    def scored(some: DataFrame) -> DataFrame:
+        pairs = some.join(index, "word").select("probe", "set_key").distinct()
+        shared = F.size(F.array_intersect("_order", "_words"))
+        return (pairs.join(asked.select("probe", "_order"), "probe").join(sets, "set_key")
+                .select("probe", "set_key", "_m", shared.alias("common")))
+    early = materialise(scored(listed.where(first_half)), "scores")
+    best = [F.col("common").desc(), "_m"]
+    bound = (top_per_key(early, ["probe"], best, k + 1, rank="place").where(F.col("place") == k + 1)
+             .select("probe", F.col("common").alias("_bound")))
+    late = (listed.where(~first_half).join(bound, "probe", "left")
+            .where(F.col("_n") - F.col("_at") >= F.coalesce("_bound", F.lit(0))).select("probe", "word"))
+    overlap = early.unionByName(scored(late)).dropDuplicates(["probe", "set_key"])
     # k + 1 best sets suffice: each holds at least one item
-    best_sets = top_per_key(overlap.join(members.groupBy("set_key").agg(F.min("_id").alias("_m")), "set_key"),
-                            ["probe"], [F.col("common").desc(), "_m"], k + 1)
+    best_sets = top_per_key(overlap, ["probe"], best, k + 1)
     ranked = best_sets.join(members.select("set_key", "_id"), "set_key").where(F.col("_id") != F.col("probe"))
     return (top_per_key(ranked, ["probe"], [F.col("common").desc(), "_id"], k, rank="place")
             .select("probe", F.col("_id").alias("similar"), "common", "place"))
