@@ -10,6 +10,7 @@ from shelfspark.functions.text import (
     blank, col, contains_any, director_letters, extract, filled, fold_key, fold_text,
     none_if_empty, series_name, strip_accents, text_or_empty,
 )
+from shelfspark.functions.words import first_rank, listed
 
 
 def lookup(key: Column, table: dict) -> Column:
@@ -24,24 +25,19 @@ def let(value: Column, body) -> Column:
 
 
 def first_contained(text: Column, table) -> Column:
-    """Value of the first key (in table order) the text contains, else NULL.
-
-    The table is one constant array searched in order, so that a long table
-    adds nothing to the generated code."""
+    """Value of the first key (in table order) the text contains, else NULL."""
     items = list(table.items() if isinstance(table, dict) else table)
-    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in items])
-    return let(text, lambda t: F.get(F.filter(entries, lambda e: t.contains(e["key"])), F.lit(0))["value"])
+    return _ranked(text, [(k, i) for i, (k, _) in enumerate(items)], [v for _, v in items])
 
 
 def first_group(text: Column, groups) -> Column:
     """Name of the first (name, words) group with a word in the text, else NULL."""
-    def search(t):
-        chain = None
-        for name, words in groups:
-            test = contains_any(t, words)
-            chain = F.when(test, F.lit(name)) if chain is None else chain.when(test, F.lit(name))
-        return chain
-    return let(text, search)
+    groups = list(groups)
+    return _ranked(text, [(w, i) for i, (_, words) in enumerate(groups) for w in words], [name for name, _ in groups])
+
+
+def _ranked(text: Column, ranked: list, values: list) -> Column:
+    return F.get(F.array(*map(F.lit, values)), first_rank(text, ranked))
 
 
 def folded_table(table: dict) -> list:
@@ -150,40 +146,35 @@ def detect_pegi(kind, audience, text) -> Column:
 
 
 def genre_words_found(c) -> Column:
-    """Distinct genre words present in the text as whole words.
-
-    Plain words are met by intersecting the words of the text with the list;
-    the few expressions (with blanks, hyphens) by a substring search whose hits
-    are then checked for whole words.  The text is cut once, not per genre."""
-    listed = list(dict.fromkeys(w for _, words in V.GENRE_WORDS for w in words))
-    plain = F.array(*[F.lit(w) for w in listed if w.isalnum()])
-    expressions = F.array(*[F.lit(w) for w in listed if not w.isalnum()])
-    edge = "[^\\p{L}\\p{N}_]"
-
-    def search(text):
-        whole = lambda e: F.rlike(text, F.concat(F.lit(f"(^|{edge})\\Q"), e, F.lit(f"\\E({edge}|$)")))
-        return F.array_union(
-            F.array_intersect(F.split(text, edge + "+"), plain),
-            F.filter(expressions, lambda e: text.contains(e) & whole(e)))
-    return let(F.lower(text_or_empty(c)), search)
+    """Distinct genre words present in the text as whole words."""
+    return listed(F.lower(text_or_empty(c)), [w for _, words in V.GENRE_WORDS for w in words], whole=True)
 
 
 def rank_genres(in_title: Column, anywhere: Column) -> Column:
     """3 points per word in the title, 1 per word elsewhere; the two best
     genres, ties in table order, joined by ' / '; NULL when none scores."""
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(-rank).alias("rank"),
-                               F.array(*[F.lit(w) for w in words]).alias("words"))
-                      for rank, (name, words) in enumerate(V.GENRE_WORDS)])
-
-    def ranked(titled, found):
-        scores = F.transform(table, lambda g: F.struct(
-            (F.size(F.array_intersect(titled, g["words"])) * 3
-             + F.size(F.array_except(F.array_intersect(found, g["words"]), titled))).alias("score"),
-            g["rank"].alias("rank"), g["name"].alias("name")))
-        best = F.slice(F.sort_array(F.filter(scores, lambda s: s["score"] > 0), False), 1, 2)
-        return none_if_empty(F.array_join(F.transform(best, lambda s: s["name"]), " / "))
-
-    return let(in_title, lambda titled: let(anywhere, lambda found: ranked(titled, found)))
+    names = F.array(*[F.lit(name) for name, _ in V.GENRE_WORDS])
+    of_word: dict[str, list[int]] = {}
+    for rank, (_, words) in enumerate(V.GENRE_WORDS):
+        for w in dict.fromkeys(words):
+            of_word.setdefault(w, []).append(rank)
+    table = F.create_map(*[x for w, ranks in of_word.items() for x in (F.lit(w), F.array(*map(F.lit, ranks)))])
+
+    def points(words):
+        return F.flatten(F.transform(words, lambda w: table[w]))
+
+    def ranked(titled, others):
+        both = F.concat(titled, titled, titled, others)
+        scores = F.transform(F.array_distinct(both), lambda g: F.struct(
+            F.size(F.filter(both, lambda x: x == g)).alias("score"), (-g).alias("rank")))
+        best = F.slice(F.sort_array(scores, False), 1, 2)
+        return none_if_empty(F.array_join(F.transform(best, lambda s: F.get(names, -s["rank"])), " / "))
+
+    def given(titled, found):
+        return let(points(titled), lambda a: let(points(F.array_except(found, titled)), lambda b: ranked(a, b)))
+    # most texts hold no such word
+    return let(in_title, lambda titled: let(anywhere, lambda found: F.when(
+        F.size(titled) + F.size(found) > 0, given(titled, found))))
 
 
 def score_genres(title, collection, abstract, subjects, kind) -> Column:
