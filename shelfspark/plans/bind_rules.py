@@ -174,23 +174,6 @@ GENRE_WHY = ("« Romance » -> paire « Amour / Romance »", "« Histoire » ->
              "doublon retiré")
 
 
-@query("genre_rule", f"""
-select o_orderkey, {sql_pick(GENRE_OUT, 'o_orderkey')} as value, {sql_pick(GENRE_WHY, 'o_orderkey')} as reason from orders""")
-def genre_rule(t):
-    df = t.orders.select("o_orderkey", R.canonical_genre(pick(GENRE_IN, "o_orderkey")).alias("g"))
-    return df.select("o_orderkey", "g.value", "g.reason")
-
-
-@query("mapping_sheet", f"""
-with g as (select {sql_pick(GENRE_IN, 'o_orderkey')} as current, {sql_pick(GENRE_OUT, 'o_orderkey')} as proposed,
-                  {sql_pick(GENRE_WHY, 'o_orderkey')} as reason from orders)
-select current, count(*) as n, proposed, case when proposed = current then '' else 'OUI' end as changed, reason
-from g where trim(current) <> '' group by current, proposed, reason""")
-def mapping_sheet(t):
-    df = t.orders.select(pick(GENRE_IN, "o_orderkey").alias("genre"))
-    return audit.mapping_sheet(df, "genre", R.canonical_genre)
-
-
 SERIES_CASES = (
     ("Corto Maltese", "3", "series"), ("Les Aventures de Tintin", "7", "series"), ("Ainsi va la vie.", "125", "series"),
     ("Max et Lili", None, "series"), ("Collection Folio", None, "collection"), ("Folio junior", None, "collection"),
@@ -202,52 +185,10 @@ SERIES_CASES = (
     ("Achille Talon", "5", "series"), ("A.N.G.E", None, "series"), ("Thorgal", "22", "series"), (None, "4", "empty"))
 
 
-@query("collection_rule", f"""
-select o_orderkey, {sql_pick([c[2] == 'series' for c in SERIES_CASES], 'o_orderkey')} as ok,
- {sql_pick([V.SERIES_VERDICTS[c[2]] for c in SERIES_CASES], 'o_orderkey')} as reason from orders""")
-def collection_rule(t):
-    verdict = R.series_or_collection(pick([c[0] for c in SERIES_CASES], "o_orderkey"),
-                                     pick([c[1] for c in SERIES_CASES], "o_orderkey"))
-    return t.orders.select("o_orderkey", verdict.alias("v")).select("o_orderkey", "v.ok", "v.reason")
-
-
-# title, volume, series, cleaned title
-TITLE_CASES = (
-    ("Boule & Bill - Tome 46 - Peinture à l'os", "46", "Boule & Bill", "Peinture à l'os"),
-    ("Seuls 8", "8", "Seuls", "Seuls"),
-    ("Naruto T.12", "12", "Naruto", "Naruto"),
-    ("7 - Archibald - Ma maison", "", "", "7 - Archibald - Ma maison"),
-    ("Blue lock27 - Blue Lock T27", "27", "Blue lock", "Blue Lock"),
-    ("Thorgal #5", "5", "Thorgal", "Thorgal"),
-    ("Le Petit Prince", "", "", "Le Petit Prince"),
-    ("One piece vol.9", "9", "", "One piece vol.9"),
-)
-
-
-@query("title_parts", f"""
-select o_orderkey, {sql_pick([c[1] for c in TITLE_CASES], 'o_orderkey')} as volume,
- {sql_pick([c[2] for c in TITLE_CASES], 'o_orderkey')} as series, {sql_pick([c[3] for c in TITLE_CASES], 'o_orderkey')} as cleaned from orders""")
-def title_parts(t):
-    df = t.orders.select("o_orderkey", pick([c[0] for c in TITLE_CASES], "o_orderkey").alias("t"))
-    df = df.withColumn("volume", N.extract_volume(F.lit(""), "t"))
-    df = df.withColumn("series", N.extract_series("t", F.lit(""), F.lit(""), "volume"))
-    return df.select("o_orderkey", "volume", "series", N.clean_title("t", "volume", "series").alias("cleaned"))
-
-
 STRICT_CASES = (("Seuls, tome 8", "Seuls", "8"), ("Seuls 8", None, None), ("Naruto - T.12", "Naruto", "12"),
                 ("Akira vol. 3", "Akira", "3"), ("1,2,3... Nagasaki", None, None), ("Thorgal : tome n° 5", "Thorgal", "5"))
 
 
-@query("strict_series", f"""
-select o_orderkey, coalesce(case when o_orderkey % 5 = 0 then 'Kept' end, {sql_pick([c[1] for c in STRICT_CASES], 'o_orderkey')}) as series,
- case when o_orderkey % 5 = 0 then null else {sql_pick([c[2] for c in STRICT_CASES], 'o_orderkey')} end as volume from orders""")
-def strict_series(t):
-    df = t.orders.select("o_orderkey", pick([c[0] for c in STRICT_CASES], "o_orderkey").alias("t"),
-                         F.when(F.col("o_orderkey") % 5 == 0, "Kept").alias("series"),
-                         F.lit(None).cast("string").alias("volume"))
-    return N.with_strict_series(df, "t", "series", "volume").drop("t")
-
-
 # --- detection ------------------------------------------------------------------------------------------
 
 AUDIENCE_CASES = (
@@ -259,12 +200,6 @@ AUDIENCE_CASES = (
     ("", "x", "", "", "99", "99"))
 
 
-@query("detect_audience", f"select o_orderkey, {sql_pick([c[5] for c in AUDIENCE_CASES], 'o_orderkey')} as audience from orders")
-def detect_audience(t):
-    args = [pick([c[i] for c in AUDIENCE_CASES], "o_orderkey") for i in range(5)]
-    return t.orders.select("o_orderkey", R.detect_audience(*args).alias("audience"))
-
-
 TYPE_CASES = (
     # title, collection, abstract, support, publisher, audience, type
     ("x", "", "", "", "Glénat Manga", "", "Manga"), ("x", "", "", "", "Glénat", "", "BD"), ("x", "Scripto", "", "", "", "", "Roman ado / YA"),
@@ -273,25 +208,10 @@ TYPE_CASES = (
     ("x", "", "", "Texte imprimé", "", "", "Roman jeunesse"), ("x", "", "", "", "", "", ""), ("Atlas du ciel", "", "", "", "", "", "Documentaire"))
 
 
-@query("detect_type", f"select o_orderkey, {sql_pick([c[6] for c in TYPE_CASES], 'o_orderkey')} as type from orders")
-def detect_type(t):
-    title, collection, abstract, support, publisher, audience = [
-        pick([c[i] for c in TYPE_CASES], "o_orderkey") for i in range(6)]
-    return t.orders.select("o_orderkey", R.detect_type(title, collection, abstract, F.lit(""), support, publisher,
-                                                       audience).alias("type"))
-
-
 PEGI_CASES = (("Manga", "Ado (12+)", "", "12"), ("Album", "Ado (12+)", "PEGI 16", ""), ("BD", "", "noté pegi 18", "18"),
               ("Manga", "", "", "12"), ("BD", "8-12 ans", "", "7"), ("BD", "", "", ""), ("Manga", "16 ans", "", "16"))
 
 
-@query("detect_pegi", f"select p_partkey, {sql_pick([c[3] for c in PEGI_CASES], 'p_partkey')} as pegi from part")
-def detect_pegi(t):
-    return t.part.select("p_partkey", R.detect_pegi(*[pick([c[i] for c in PEGI_CASES], "p_partkey") for i in range(3)]).alias("pegi"))
-
-
-
-
 def genre_sql() -> str:
     """Every genre word searched for in the heading (first line) and in the text:
     plain words among the words of the text, expressions by pattern."""
@@ -341,11 +261,6 @@ PUBLISHERS = (("Editions Dupuis.", "Dupuis"), ("Gallimard-Jeunesse", "Gallimard
               ("Delcourt;", "Delcourt"), ("Hachette Roman Poche", "Hachette"), ("Actes Sud", "Actes Sud"))
 
 
-@query("publisher_canonical", f"select p_partkey, {sql_pick([p[1] for p in PUBLISHERS], 'p_partkey')} as publisher from part")
-def publisher_canonical(t):
-    return t.part.select("p_partkey", R.publisher_canonical(pick([p[0] for p in PUBLISHERS], "p_partkey")).alias("publisher"))
-
-
 @query("dictionary_contains", """
 select p_partkey, case when contains(p_name, 'ring') then 'jewel' when contains(p_name, 'red') then 'colour'
   when contains(p_name, 'plate') then 'metal' end as label from part""")
@@ -361,17 +276,6 @@ SUBJECTS = (("Bandes dessinées", "Humour"), ("Romans", "Policier"), ("Histoire"
 SUBJECT_AUDIENCES = ("Jeunesse", "Adulte", "Adulte", "Adulte", "Adolescent", "Adolescent")
 
 
-@query("subject_rules", f"""
-select o_orderkey, {sql_pick(('BD', None, 'Documentaire', None, 'Roman ado / YA', 'Manga'), 'o_orderkey')} as category,
- {sql_pick(('Humour', 'Policier', 'Histoire / Géographie', None, None, 'Policier / Fantastique'), 'o_orderkey')} as genre,
- o_orderkey % 6 in (0, 5) as comic from orders""")
-def subject_rules(t):
-    subjects = F.split(pick(["|".join(s) for s in SUBJECTS], "o_orderkey"), "\\|")
-    df = t.orders.select("o_orderkey", subjects.alias("s"), pick(SUBJECT_AUDIENCES, "o_orderkey").alias("a"))
-    return df.select("o_orderkey", R.derive_category("s", "a").alias("category"), R.derive_genre("s").alias("genre"),
-                     R.is_comic_subject("s").alias("comic"))
-
-
 @query("record_roles", """
 with first as (select l_orderkey, l_linenumber % 3 as role, min(l_linenumber * 100000 + l_suppkey) as k from lineitem group by 1, 2)
 select l_orderkey, max(case when role = 1 then 'S' || (k % 100000) end) as author,
@@ -430,17 +334,6 @@ SUGGESTED = (
     ("Atlas", "", "autre", "Documentaire", "Tout public", "À préciser"))
 
 
-@query("classify_suggestions", f"""
-select o_orderkey, case when o_orderkey % 7 = 0 then 'Fixed' else {sql_pick([c[3] for c in SUGGESTED], 'o_orderkey')} end as category,
- {sql_pick([c[4] for c in SUGGESTED], 'o_orderkey')} as audience, {sql_pick([c[5] for c in SUGGESTED], 'o_orderkey')} as genre from orders""")
-def classify_suggestions(t):
-    from shelfspark.operators.suggestions import classify_suggestions as classify
-    title, motive, source = [pick([c[i] for c in SUGGESTED], "o_orderkey") for i in range(3)]
-    df = t.orders.select("o_orderkey", title.alias("t"), motive.alias("m"), source.alias("s"),
-                         F.when(F.col("o_orderkey") % 7 == 0, "Fixed").otherwise("").alias("category"))
-    return classify(df, "t", "m", "s").drop("t", "m", "s")
-
-
 @query("match_confidence", """
 select l_orderkey, l_linenumber, l_partkey, case when l_quantity / 50 >= 0.8 and (l_discount * 10 >= 0.4 or l_returnflag = 'A') then 'élevée'
   when l_quantity / 50 >= 0.5 then 'moyenne' when l_linestatus = 'F' then 'faible' else '—' end as confidence from lineitem""")
@@ -473,24 +366,10 @@ COMICS = (("BD Kids", "x", True, False), ("Kana", "x", False, True), ("Dupuis",
           ("Inconnu", "Le manga des ados", True, True), ("Inconnu", "Essai", False, False))
 
 
-@query("youth_comics", f"""
-select p_partkey, {sql_pick((True, True, True, False, True, False), 'p_partkey')} as youth,
- {sql_pick([c[3] for c in COMICS], 'p_partkey')} as excluded from part""")
-def youth_comics(t):
-    p, title = pick([c[0] for c in COMICS], "p_partkey"), pick([c[1] for c in COMICS], "p_partkey")
-    return t.part.select("p_partkey", R.youth_comic(p, title).alias("youth"), R.comic_excluded(p, title).alias("excluded"))
-
-
 LISTS = (("Rentrée littéraire 2025", "", True), ("Rentrée 2026", "", False), ("Prix 2024", "", False), ("Pépites 2023", "", True),
          ("Coups de coeur", "", False), ("", "/list-3/rentree-2024/", True))
 
 
-@query("stale_selections", f"select o_orderkey, {sql_pick([c[2] for c in LISTS], 'o_orderkey')} as stale from orders")
-def stale_selections(t):
-    return t.orders.select("o_orderkey", R.stale_selection(pick([c[0] for c in LISTS], "o_orderkey"),
-                                                           pick([c[1] for c in LISTS], "o_orderkey"), 2026).alias("stale"))
-
-
 @query("weeding_rule", """
 with d as (select p_partkey, (p_partkey * 7) % 1000 as n from part)
 select p_partkey, case when n < 100 then 5 when n between 340 and 349 then 3 when n between 320 and 329 then 5
