@@ -244,22 +244,6 @@ def decision_pairs(t):
     return files.decision_pairs(sheet, "a", "b")
 
 
-@query("loans_per_title", """
-select l_orderkey, l_linenumber, l_partkey, case when l_linenumber < 7 then lpad(l_partkey::varchar, 13, '9') end as ean,
-  case when l_returnflag <> 'N' then l_quantity::bigint end as total, strftime(l_shipdate, '%Y-%m-%d') || ' 10:30' as last_loan from lineitem""")
-def loans_per_title(t):
-    code = F.when(F.col("l_linenumber") < 7, F.lpad(F.col("l_partkey").cast("string"), 13, "9")).otherwise("12")
-    rows = t.lineitem.select(
-        "l_orderkey", "l_linenumber", "l_partkey", code.alias(files.TITLE_CODE),
-        F.when(F.col("l_returnflag") != "N", F.col("l_quantity").cast("string")).otherwise("Aucune donnée disponible").alias(files.TITLE_COLUMNS["total"]),
-        F.date_format("l_shipdate", "dd/MM/yyyy 10:30").alias(files.LAST_LOAN),
-        F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey").alias(files.TITLE_COLUMNS["n1"]))
-    from shelfspark.functions.text import fr_datetime, safe_int, valid_ean
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", valid_ean(F.col(f"`{files.TITLE_CODE}`")).alias("ean"),
-                       safe_int(F.col(f"`{files.TITLE_COLUMNS['total']}`")).alias("total"),
-                       fr_datetime(F.col(f"`{files.LAST_LOAN}`")).alias("last_loan"))
-
-
 @query("route_inputs", """
 select 'catalogue' as feed, max('x/Liste - ' || strftime(o_orderdate, '%Y-%m-%d') || '.mrc') as path, count(*) filter (o_orderstatus = 'F') as files,
   max(strftime(o_orderdate, '%Y-%m-%d')) as file_date from orders where o_orderstatus = 'F'

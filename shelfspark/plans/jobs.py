@@ -66,8 +66,8 @@ def loans_import(rows: DataFrame, titles: DataFrame, exported: str) -> dict[str,
 
 
 def copy_loans_import(rows: DataFrame, copies: DataFrame) -> DataFrame:
-    """Loan figures of a per-copy export put on the copies."""
-    new = last_per_key(rows.withColumn("_p", F.monotonically_increasing_id()), ["barcode"], ["_p"]).drop("_p")
+    """Loan figures of a per-copy export put on the copies; of repeated codes the last row counts."""
+    new = last_per_key(rows, ["barcode"], ["pos"]).drop("pos")
     return exports.upserted(copies, new.join(copies.select("barcode"), "barcode", "left_semi"), "barcode",
                             ["loans", "last_loan_year"])
 

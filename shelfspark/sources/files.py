@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,9 +21,19 @@ TITLE_COLUMNS = {
     "functional": "Nombre de prêts fonctionnels",
 }
 LAST_LOAN = "Date de dernier prêt"
+PLACE = "_place"        # where a row stands in its files, see file_order
 COPY_COLUMNS = {"loans": "Nombre de prêts total (ex)", "last_year": "Année du dernier prêt"}
 
 
+def file_order() -> Column:
+    """Text that sorts rows by file, block of the file, and place in the block.
+
+    Splits are packed into tasks by size, so the running number of a row alone
+    follows neither files nor blocks; within a block it does."""
+    return F.concat_ws("#", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 18, "0"),
+                       F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+
+
 def _read_with_header(spark: SparkSession, path: str, sep: str, is_header, first: int = 3):
     """Rows of a delimited file under the header found in its first lines.
 
@@ -37,12 +47,12 @@ def _read_with_header(spark: SparkSession, path: str, sep: str, is_header, first
     else:
         raise ValueError(f"no known header in the first {first} lines of {path}")
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    rows = spark.read.csv(path, schema=schema, sep=sep, mode="PERMISSIVE")
+    rows = spark.read.csv(path, schema=schema, sep=sep, mode="PERMISSIVE").select("*", file_order().alias("_place"))
     heading = F.lit(True)
     for i, n in enumerate(names):
         heading = heading & (F.coalesce(F.trim(F.ltrim(F.replace(f"c{i}", F.lit("\ufeff"), F.lit("")))), F.lit("")) == n)
     rows = rows.where(~heading & ~F.coalesce(F.col("c0").startswith("sep="), F.lit(False)))
-    return rows.toDF(*names), names
+    return rows.toDF(*names, PLACE), names
 
 
 def read_loans(spark: SparkSession, path: str, sep: str = ";") -> tuple[str, DataFrame]:
@@ -64,7 +74,7 @@ def loans_per_copy(rows: DataFrame) -> DataFrame:
             else F.lit(None).cast("bigint"))
     code = F.trim(F.col(q(COPY_CODE)))
     return rows.where(filled(code)).select(code.alias("barcode"), loans.alias("loans"),
-                                           year.cast("string").alias("last_loan_year"))
+                                           year.cast("string").alias("last_loan_year"), F.col(PLACE).alias("pos"))
 
 
 def loans_per_title(rows: DataFrame) -> DataFrame:
@@ -73,7 +83,7 @@ def loans_per_title(rows: DataFrame) -> DataFrame:
                for n, c in TITLE_COLUMNS.items()]
     last = fr_datetime(F.col(q(LAST_LOAN))) if LAST_LOAN in rows.columns else F.lit(None).cast("string")
     return rows.select(F.col(q(TITLE_CODE)).alias("raw_code"), valid_ean(F.col(q(TITLE_CODE))).alias("ean"),
-                       F.monotonically_increasing_id().alias("pos"), *figures, last.alias("last_loan"))
+                       F.col(PLACE).alias("pos"), *figures, last.alias("last_loan"))
 
 
 def read_footfall(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import rules as R
 from shelfspark.functions.text import choose_identifier, filled, none_if_empty
+from shelfspark.sources.files import file_order
 
 FIELD_END, SUBFIELD, RECORD_END = "\x1e", "\x1f", "\x1d"
 
@@ -26,15 +27,6 @@ def read_marc(spark: SparkSession, path, encoding: str | None = None) -> DataFra
     return parse_marc(raw, "value", encoding)
 
 
-def file_order() -> Column:
-    """Text that sorts rows by file, block of the file, and place in the block.
-
-    Splits are packed into tasks by size, so the running number of a row alone
-    follows neither files nor blocks; within a block it does."""
-    return F.concat_ws("#", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 18, "0"),
-                       F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
-
-
 def parse_marc(df: DataFrame, raw: str, encoding: str | None = None) -> DataFrame:
     """Adds ``fields``: array<struct<tag, sub: array<struct<code, val>>>> in
     directory order.  Filler between records is skipped; a record whose leader
