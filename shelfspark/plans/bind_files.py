@@ -55,7 +55,7 @@ def copy_export(t):
         F.when(F.col("l_linenumber") != 3, F.concat(F.lit(" B"), F.col("l_partkey").cast("string"))).otherwise("  ").alias(files.COPY_CODE),
         F.when(F.col("l_returnflag") == "N", "—").otherwise(F.col("l_quantity").cast("string")).alias(files.COPY_COLUMNS["loans"]),
         F.concat(F.year("l_shipdate").cast("string"), F.lit(".0")).alias(files.COPY_COLUMNS["last_year"]))
-    layout, found = files.read_loans(t.spark, written(t, rows, "copy-loans"))
+    layout, found = files.read_loans(t.spark, written(t, rows, "copy-loans"), placed=True)
     assert layout == "copy"
     return found
 

@@ -55,12 +55,14 @@ def _read_with_header(spark: SparkSession, path: str, sep: str, is_header, first
     return rows.toDF(*names, PLACE), names
 
 
-def read_loans(spark: SparkSession, path: str, sep: str = ";") -> tuple[str, DataFrame]:
-    """('copy' | 'title', rows).  The layout is recognised by its code column."""
+def read_loans(spark: SparkSession, path: str, sep: str = ";", placed: bool = False) -> tuple[str, DataFrame]:
+    """('copy' | 'title', rows).  The layout is recognised by its code column.  Rows per title have
+    their place (``pos``), rows per copy with ``placed``."""
     rows, names = _read_with_header(
         spark, path, sep, lambda n: any("barres" in x.lower() or "EAN" in x or "ISBN" in x for x in n))
     if COPY_CODE in names:
-        return "copy", loans_per_copy(rows)
+        found = loans_per_copy(rows)
+        return "copy", found if placed else found.drop("pos")
     if TITLE_CODE in names:
         return "title", loans_per_title(rows)
     raise ValueError(f"unknown loan layout: {names}")

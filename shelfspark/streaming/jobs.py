@@ -19,11 +19,59 @@ def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 
-def _increment(table: str, of):
-    """Batch writer: what a batch adds goes to a folder of its own, so a batch run
-    again replaces itself and nothing stored before is read or rewritten."""
+# --- increments and their rollup ------------------------------------------------------------
+
+EVERY = 50      # batches after which what is stored is folded into one folder
+
+
+def _folder(spark: SparkSession, table: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _stored_parts(spark: SparkSession, table: str) -> tuple[int, list[str], list[str]]:
+    """(last batch that the newest finished rollup holds or -1, folders that count, folders that do not)."""
+    fs, root = _folder(spark, table)
+    found = {"batch": {}, "rollup": {}}
+    for entry in fs.listStatus(root) if fs.exists(root) else ():
+        kind, _, number = entry.getPath().getName().partition("=")
+        if kind in found and number.isdigit():
+            found[kind][int(number)] = f"{table.rstrip('/')}/{kind}={number}"
+    finished = [n for n, path in found["rollup"].items() if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))]
+    last = max(finished, default=-1)
+    counted = ([found["rollup"][last]] if last >= 0 else []) + [path for n, path in sorted(found["batch"].items()) if n > last]
+    return last, counted, [p for kind in found.values() for p in kind.values() if p not in counted]
+
+
+def stored(spark: SparkSession, table: str) -> DataFrame:
+    """What the batches stored, each of them once: the newest rollup and the batches behind it."""
+    _, counted, _ = _stored_parts(spark, table)
+    return spark.read.parquet(*counted or [table])
+
+
+def roll_up(spark: SparkSession, table: str, before: int, fold) -> None:
+    """Folds the batches up to ``before`` into one folder, then removes what it holds.
+
+    The name of a rollup is the last batch in it.  It counts once it is finished, and from then on
+    the batches up to that one do not, so a failure at any point loses and doubles nothing; what it
+    leaves behind goes with the next rollup."""
+    last, counted, _ = _stored_parts(spark, table)
+    held = [path for path in counted if "rollup=" in path or int(path.rpartition("=")[2]) <= before]
+    if before > last and len(held) > 1:
+        fold(spark.read.parquet(*held)).write.mode("overwrite").parquet(f"{table.rstrip('/')}/rollup={before}")
+    fs, _ = _folder(spark, table)
+    for path in _stored_parts(spark, table)[2]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def _increment(table: str, of, fold, every: int = EVERY):
+    """Batch writer: what a batch adds goes to a folder of its own, so a batch run again replaces
+    itself.  Every so often the batches before it are rolled up; the running one never is, so one
+    that runs again is never part of a rollup."""
     def store(batch: DataFrame, number: int):
         of(batch).write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch={number}")
+        if number % every == every - 1:
+            roll_up(batch.sparkSession, table, number - 1, fold)
     return store
 
 
@@ -46,15 +94,17 @@ def stream_footfall(stream: DataFrame, ts, entries, table: str, checkpoint: str,
         seen = batch.where(F.col(entries) > 0)
         return (seen.groupBy(F.date_format(ts, "yyyy-MM-dd").alias("day"), F.date_format(ts, "HH:00").alias("hour"), F.col(file).alias("file"))
                 .agg(F.sum(entries).alias("all_entries"), F.sum(F.when(footfall.is_open(F.col(ts)), F.col(entries))).alias("open_entries")))
-    return _start(stream.writeStream.foreachBatch(_increment(table, increments)), checkpoint, once)
+    return _start(stream.writeStream.foreachBatch(_increment(table, increments, _per_file)), checkpoint, once)
+
+
+def _per_file(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("day", "hour", "file").agg(F.sum("all_entries").alias("all_entries"), F.sum("open_entries").alias("open_entries"))
 
 
 def stored_footfall(spark: SparkSession, table: str) -> DataFrame:
     """Totals per slot: those of the last file (in the order of ``file``) that has it."""
-    per_file = spark.read.parquet(table).groupBy("day", "hour", "file").agg(
-        F.sum("all_entries").alias("all_entries"), F.sum("open_entries").alias("open_entries"))
     last = F.max(F.struct("file", "all_entries", "open_entries"))
-    return per_file.groupBy("day", "hour").agg(last.alias("_l")).select("day", "hour", "_l.all_entries", "_l.open_entries")
+    return _per_file(stored(spark, table)).groupBy("day", "hour").agg(last.alias("_l")).select("day", "hour", "_l.all_entries", "_l.open_entries")
 
 
 # --- stock-take -----------------------------------------------------------------------------
@@ -67,11 +117,15 @@ def scan_counts(stream: DataFrame, code, day: Column) -> DataFrame:
 def stream_stocktake(stream: DataFrame, code, day: Column, table: str, checkpoint: str,
                      once: bool = True) -> StreamingQuery:
     """Each batch adds its own counts; ``stored_scans`` reads the table."""
-    return _start(stream.writeStream.foreachBatch(_increment(table, lambda batch: scan_counts(batch, code, day))), checkpoint, once)
+    return _start(stream.writeStream.foreachBatch(_increment(table, lambda batch: scan_counts(batch, code, day), lambda rows: _per_code(rows, code))), checkpoint, once)
+
+
+def _per_code(rows: DataFrame, code) -> DataFrame:
+    return rows.groupBy(code, "day").agg(F.sum("scans").alias("scans"))
 
 
 def stored_scans(spark: SparkSession, table: str, code) -> DataFrame:
-    return spark.read.parquet(table).groupBy(code, "day").agg(F.sum("scans").alias("scans"))
+    return _per_code(stored(spark, table), code)
 
 
 # --- status of suggestions ---------------------------------------------------------------------
@@ -82,11 +136,15 @@ def stream_latest_status(stream: DataFrame, key, action, at, tie, table: str, ch
     def latest(batch: DataFrame) -> DataFrame:
         last = F.max(F.struct(F.col(at).alias("since"), F.col(tie).alias("tie"), F.col(action).alias("status")))
         return batch.groupBy(key).agg(last.alias("last"))
-    return _start(stream.writeStream.foreachBatch(_increment(table, latest)), checkpoint, once)
+    return _start(stream.writeStream.foreachBatch(_increment(table, latest, lambda rows: _latest(rows, key))), checkpoint, once)
+
+
+def _latest(rows: DataFrame, key) -> DataFrame:
+    return rows.groupBy(key).agg(F.max("last").alias("last"))
 
 
 def stored_status(spark: SparkSession, table: str, key) -> DataFrame:
-    return spark.read.parquet(table).groupBy(key).agg(F.max("last").alias("last")).select(key, "last.status", "last.since")
+    return _latest(stored(spark, table), key).select(key, "last.status", "last.since")
 
 
 # --- logs, repeats, work queues --------------------------------------------------------------------
