@@ -27,6 +27,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -155,7 +156,7 @@ class Vocabulary:
                 who = rows[alone & (char == width_of)]
                 if len(who):
                     self._offer(best, size, piece, who, i, width_of, best[who, i] + self.unknown, np.full(len(who), -1, np.int32))
-        return self._paths(units, lengths, size, piece)
+        return self._paths(flat, lengths, size, piece)
 
     @staticmethod
     def _offer(best, size, piece, rows, i, depth, score, ids):
@@ -163,17 +164,32 @@ class Vocabulary:
         rows = rows[better]
         best[rows, i + depth], size[rows, i + depth], piece[rows, i + depth] = score[better], depth, ids[better]
 
-    def _paths(self, units, lengths, size, piece):
-        out, at, rows = [[] for _ in units], lengths.astype(np.int64), np.flatnonzero(lengths > 0)
+    def _paths(self, flat, lengths, size, piece):
+        """Follows the back pointers of all units at once; a step without a piece gives its bytes."""
+        at, rows, steps = lengths.astype(np.int64), np.flatnonzero(lengths > 0), []
         while len(rows):
-            for row, number, end, length in zip(rows.tolist(), piece[rows, at[rows]].tolist(), at[rows].tolist(), size[rows, at[rows]].tolist()):
-                if number >= 0:
-                    out[row].append(number)
-                else:
-                    out[row].extend(self.fallback[list(units[row][end - length:end][::-1])].tolist())
-            at[rows] -= size[rows, at[rows]]
+            end = at[rows]
+            steps.append((rows, end, size[rows, end].astype(np.int64), piece[rows, end]))
+            at[rows] -= steps[-1][2]
             rows = rows[at[rows] > 0]
-        return [np.array(ids[::-1], np.int32).tobytes() for ids in out]
+        if not steps:
+            return [b""] * len(lengths)
+        row, end, width, number = (np.concatenate(x) for x in zip(*steps))
+        order = np.lexsort((end, row))
+        row, end, width, number = row[order], end[order], width[order], number[order]
+        count = np.where(number >= 0, 1, width)
+        first = np.cumsum(count) - count
+        ids = np.zeros(int(count.sum()), np.int32)
+        ids[first[number >= 0]] = number[number >= 0]
+        spelled = np.flatnonzero(number < 0)
+        if len(spelled):
+            n = count[spelled]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            place = (np.cumsum(lengths) - lengths)[row[spelled]] + end[spelled] - width[spelled]
+            ids[np.repeat(first[spelled], n) + inner] = self.fallback[flat[np.repeat(place, n) + inner]]
+        stops = (4 * np.cumsum(np.bincount(row, weights=count, minlength=len(lengths)).astype(np.int64))).tolist()
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *stops], stops)]
 
     def single(self, unit: bytes) -> bytes:
         """Ids of one long unit."""
@@ -211,8 +227,15 @@ class Vocabulary:
             self._lists = tuple(a.tolist() for a in (self.trie.base, self.trie.check, self.trie.value, self.score))
         return self._lists
 
+    def byte_table(self):
+        """Bytes of all pieces in one array, with the start and the length of each."""
+        if not hasattr(self, "_table"):
+            size = np.array([len(x) for x in self.bytes_of], np.int64)
+            self._table = np.frombuffer(b"".join(self.bytes_of), np.uint8), np.cumsum(size) - size, size
+        return self._table
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_lists"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_lists", "_table")}
 
     def encode_units(self, units: list[str], memory: dict[str, bytes]) -> None:
         """Adds the ids of the given units to ``memory``."""
@@ -271,6 +294,29 @@ def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
     return b"".join(map(vocabulary.bytes_of.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
+def decode_lists(vocabulary: Vocabulary, column: pa.ListArray) -> pa.Array:
+    """The texts that lists of ids spell: bytes gathered for all of them from one table."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    ids = column.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]]
+    table, start, size = vocabulary.byte_table()
+    width = size[ids]
+    ends = np.concatenate([[0], np.cumsum(width)])
+    data = table[np.repeat(start[ids] - ends[:-1], width) + np.arange(int(ends[-1]))]
+    at = ends[offsets - offsets[0]]
+    held = at[1:] > at[:-1]
+    keep = np.ones(len(data), bool)
+    keep[at[:-1][held]] = False         # the leading marker
+    stops = (at - np.concatenate([[0], np.cumsum(held)])).astype(np.int64)
+    buffers = [None, pa.py_buffer(stops), pa.py_buffer(np.ascontiguousarray(data[keep]))]
+    raw = pa.Array.from_buffers(pa.large_binary(), len(column), buffers)
+    gone = column.is_null()
+    try:
+        texts = raw.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:     # ids that are no text
+        texts = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+    return pc.if_else(gone, pa.scalar(None, pa.string()), texts) if column.null_count else texts
+
+
 def shared_vocabulary(df: DataFrame, model: str | None = None):
     return df.sparkSession.sparkContext.broadcast(Vocabulary(model or public_tokenizers.path(MODEL)))
 
@@ -296,9 +342,7 @@ def decode(docs: DataFrame, tokens: str = "tokens", model: str | None = None, sh
     shared = shared or shared_vocabulary(docs, model)
 
     def make(batch):
-        column = batch.column(tokens)
-        return [[None if ids is None else decode_ids(shared.value, ids) for ids in
-                 (x.values.tolist() if x.is_valid else None for x in column)]]
+        return [decode_lists(shared.value, batch.column(tokens))]
     return append(docs, "decoded string", make)
 
 
