@@ -85,6 +85,11 @@ def join_by_key(df: DataFrame, per_key: DataFrame, keys: list[str], weight: str,
     return df.join(heavy, keys).unionByName(rest)
 
 
+def one_per_id(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Of rows that share an id one (the smallest in ``columns``), so that a bound on ids bounds rows."""
+    return rows.groupBy(key).agg(F.min(F.struct(*columns)).alias("_one")).select(key, "_one.*")
+
+
 def release() -> None:
     """Hands freed memory back to the system: Python workers live on between stages, and several
     share an executor's memory with its JVM."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import append, in_part, query, table, text_bytes
+from shelfspark.llm.common import append, in_part, one_per_id, query, table, text_bytes
 
 WINDOW = 192
 WIDTHS = (2, 3, 4, 5)
@@ -168,7 +168,8 @@ def fit(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "
                     names.append(name)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(windows, pa.binary())], ["label", "window"])
     chosen = rows.select(key).orderBy(F.xxhash64(key), key).limit(sample).withColumnRenamed(key, "_id").distinct()
-    held = rows.join(F.broadcast(chosen), F.col(key) == F.col("_id")).select(label, text).mapInArrow(cut, "label string, window binary").collect()
+    learned = one_per_id(rows.join(F.broadcast(chosen), F.col(key) == F.col("_id")), "_id", text, label)
+    held = learned.select(label, text).mapInArrow(cut, "label string, window binary").collect()
     held = sorted((r["label"], bytes(r["window"])) for r in held)
     languages = sorted({name for name, _ in held})
     if not held:

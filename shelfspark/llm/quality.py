@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import LOWERED, Stored, append, blocks, in_part, mix64, powers, query, table, text_bytes
+from shelfspark.llm.common import LOWERED, Stored, append, blocks, in_part, mix64, one_per_id, powers, query, table, text_bytes
 
 SLOTS = 1 << 13
 SIZE = 32
@@ -187,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
     def pooled(batch):
         return [pa.array(list(pool(batch.column("text"), shared.value.vectors).astype(np.float64)), pa.list_(pa.float64()))]
-    rows = append(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id"), "pooled array<double>", pooled)
+    learned = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    rows = append(one_per_id(learned, "id", "text", "label"), "pooled array<double>", pooled)
     stored = Stored(rows.select("id", "label", "pooled"), "quality-sample")
     held = stored.read().orderBy(F.xxhash64("id"), "id", "pooled").collect()
     stored.drop()

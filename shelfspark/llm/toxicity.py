@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import Stored, Words, append, blocks, in_part, mix64, query, runs, table, text_bytes
+from shelfspark.llm.common import Stored, Words, append, blocks, in_part, mix64, one_per_id, query, runs, table, text_bytes
 
 SAMPLE = 20_000
 FEATURES = 4096
@@ -295,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     chosen = (chosen if learn is None else chosen.where(learn)).groupBy(key).agg(F.max(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64(key), key).limit(sample).withColumnRenamed(key, "id")
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    rows = one_per_id(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id"), "id", "text", "label")
 
     def prepare(batch):
         text = restored(batch.column("text"), shared.value)

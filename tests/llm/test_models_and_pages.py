@@ -279,3 +279,17 @@ def test_pipeline_on_rows_with_nulls(ready):
         docs = stage(ready, docs, FOLDER)
         assert stage(ready, docs.where("false"), FOLDER).count() == 0
     assert 1 in {r["doc_id"] for r in docs.collect()}
+
+
+@pytest.mark.parametrize("piece", ["<b>x ", "<font>x ", "<ul><li>x ", "<div>x, y. ", "<p>x</i>", "<table><tr><td>x ", "</zz>x<b>"])
+def test_deep_nesting_is_read_in_linear_time(piece):
+    """200,000 unclosed elements cost about ten times as much as 20,000."""
+    import time
+
+    def spent(n):
+        begin = time.process_time()
+        main_text.main_text(piece * n)
+        return time.process_time() - begin
+    spent(2_000)
+    short, long = spent(20_000), spent(200_000)
+    assert long < 30 * short + 0.5 and long < 15
