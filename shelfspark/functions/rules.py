@@ -147,7 +147,7 @@ def detect_pegi(kind, audience, text) -> Column:
 
 def genre_words_found(c) -> Column:
     """Distinct genre words present in the text as whole words."""
-    return listed(F.lower(text_or_empty(c)), [w for _, words in V.GENRE_WORDS for w in words], whole=True)
+    return listed(F.lower(text_or_empty(c)), [w.strip() for _, words in V.GENRE_WORDS for w in words], whole=True)
 
 
 def rank_genres(in_title: Column, anywhere: Column) -> Column:
@@ -156,7 +156,7 @@ def rank_genres(in_title: Column, anywhere: Column) -> Column:
     names = F.array(*[F.lit(name) for name, _ in V.GENRE_WORDS])
     of_word: dict[str, list[int]] = {}
     for rank, (_, words) in enumerate(V.GENRE_WORDS):
-        for w in dict.fromkeys(words):
+        for w in dict.fromkeys(x.strip() for x in words):
             of_word.setdefault(w, []).append(rank)
     table = F.create_map(*[x for w, ranks in of_word.items() for x in (F.lit(w), F.array(*map(F.lit, ranks)))])
 

@@ -218,7 +218,7 @@ def genre_sql() -> str:
     plain, parts = [], []
     edge = r"[^\p{L}\p{N}_]"
     for i, (g, words) in enumerate(V.GENRE_WORDS):
-        for w in words:
+        for w in map(str.strip, words):
             if w.isalnum():
                 plain.append(f"({i}, {literal(g)}, {literal(w)})")
             else:
