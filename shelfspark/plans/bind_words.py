@@ -12,6 +12,7 @@ from shelfspark.functions import vocab as V
 from shelfspark.functions import volumes as N
 from shelfspark.operators import audit
 from shelfspark.operators.suggestions import classify_suggestions as classify
+from shelfspark.plans import jobs
 from shelfspark.plans.registry import query
 
 
@@ -332,3 +333,28 @@ select p_partkey, case when p_size % 5 = 0 then 'Kept' when p_partkey % 7 not in
 def strict_series(t):
     df = t.part.select("p_partkey", STRICT.spark.alias("t"), F.when(F.col("p_size") % 5 == 0, "Kept").alias("series"), F.lit(None).cast("string").alias("volume"))
     return N.with_strict_series(df, "t", "series", "volume").drop("t")
+
+
+# --- lists followed in a week ----------------------------------------------------------------------
+
+CALLED = nth([w.title() for w in (*V.YOUTH_LIST_WORDS, *V.PRIZE_LIST_WORDS)] + ["Romans", "Polars", "Voyages", "Rentrée littéraire"] * 6, KEY)
+DATED = {"name": CALLED + said(" ") + one_of(KEY, of("year"), said("des libraires"), of("year")), "url": said("https://x/list-") + of(KEY) + one_of("year", said("/rentree-2026"), said("/"), said("/a"))}
+
+
+@query("followed_lists", f"""
+with o as (select o_orderkey, (2020 + o_orderkey // 3 % 8)::int as year from orders),
+ x as (select {DATED['name'].sql} as name, {DATED['url'].sql} as url, o_orderkey as number from o),
+ y as (select *, list_max([y::int for y in regexp_extract_all(name || ' ' || url, '\\b(20\\d{{2}})\\b', 1)]) as newest,
+   case when {holds('lower(name)', V.YOUTH_LIST_WORDS)} then 'youth' when {holds('lower(name)', V.PRIZE_LIST_WORDS)} then 'prize' else 'other' end as family from x),
+ k as (select * from y where not coalesce(newest < case when regexp_matches(lower(name || ' ' || url), 'rentree|rentrée') then 2026 else 2024 end, false)),
+ r as (select *, row_number() over (partition by family order by coalesce(newest, 2026) desc, number desc, name) as place, count(*) over (partition by family) as n from k),
+ q as (select family, n, case family when 'youth' then {V.YOUTH_QUOTA} when 'prize' then {V.PRIZE_QUOTA} end as q from r group by all),
+ z as (select family, n, coalesce(q, greatest({V.LISTS_PER_PASS} - (select coalesce(sum(least(q, 2 * n)), 0) from q where family <> 'other'), 0))::bigint as size from q),
+ s as (select *, (31 * size) % n as start from z),
+ w as (select r.family, (place - 1 + turn * s.n - start)::bigint as slot, name, url from r join s using (family), (values (0), (1)) v(turn)
+   where place - 1 + turn * s.n - start >= 0 and place - 1 + turn * s.n - start < size)
+select row_number() over (order by case family when 'youth' then 0 when 'prize' then 1 else 2 end, slot) as list_rank, family, slot as place, name, url from w""")
+def followed_lists(t):
+    """A list per order, named with every word that decides its family, dated or not."""
+    df = t.orders.withColumn("year", (2020 + F.floor(F.col(KEY) / 3) % 8).cast("int"))
+    return jobs.followed_lists(df.select(DATED["name"].spark.alias("name"), DATED["url"].spark.alias("url")), 2026, 31)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import rules as R
@@ -121,6 +121,22 @@ def acquisition_signals(titles: DataFrame, copies: DataFrame, today_year: int) -
     }
 
 
+def followed_lists(lists: DataFrame, year: int, week: int) -> DataFrame:
+    """The booksellers' lists (name, url) to be read in a week: without stale ones, a window of each
+    family, newest lists first.  ``list_rank`` is their order, ``place`` that within the family."""
+    text = F.concat_ws(" ", "name", "url")
+    dated = F.array_max(F.transform(F.regexp_extract_all(text, F.lit("\\b(20\\d{2})\\b"), 1), lambda y: y.cast("int")))
+    kept = (lists.where(~R.stale_selection("name", "url", year))
+            .withColumn("family", selection.list_family("name")).withColumn("_year", F.coalesce(dated, F.lit(year)))
+            .withColumn("_number", F.coalesce(F.regexp_extract("url", "list-(\\d+)", 1).try_cast("bigint"), F.lit(0))))
+    windows = selection.rotating_quota(kept, "family", [F.col("_year").desc(), F.col("_number").desc(), "name"], week,
+                                       {"youth": V.YOUTH_QUOTA, "prize": V.PRIZE_QUOTA}, V.LISTS_PER_PASS, "other")
+    # youth, prizes, others; at most LISTS_PER_PASS rows are numbered
+    before = F.when(F.col("family") == "youth", 0).when(F.col("family") == "prize", 1).otherwise(2)
+    return (windows.withColumn("list_rank", F.row_number().over(Window.orderBy(before, "slot")))
+            .select("list_rank", "family", F.col("slot").alias("place"), "name", "url"))
+
+
 def watch_lists(list_pages: DataFrame, product_pages: DataFrame, holdings_codes: DataFrame,
                 stored: DataFrame, site: str, source: str) -> DataFrame:
     """Products of followed lists that are neither held nor suggested, as
