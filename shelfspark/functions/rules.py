@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import vocab as V
 from shelfspark.functions.text import (
-    blank, col, contains_any, director_letters, extract, filled, fold_key, fold_text,
+    blank, col, contains_any, director_letters, filled, fold_key, fold_text,
     none_if_empty, series_name, strip_accents, text_or_empty,
 )
 from shelfspark.functions.words import first_rank, listed

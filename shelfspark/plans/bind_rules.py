@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from shelfspark.functions import rules as R
 from shelfspark.functions import text as X
 from shelfspark.functions import vocab as V
-from shelfspark.functions import volumes as N
 from shelfspark.operators import audit, filters
 from shelfspark.plans.registry import query
 

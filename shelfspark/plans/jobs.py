@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import rules as R
 from shelfspark.functions import vocab as V
-from shelfspark.functions.text import filled, fold_text, has_ean, pub_year, shelf_zone, yyyymmdd
+from shelfspark.functions.text import filled, has_ean, pub_year, shelf_zone, yyyymmdd
 from shelfspark.operators import audit, filters, footfall, holdings, matching, merging, selection
 from shelfspark.operators import stocktake, suggestions, weeding
 from shelfspark.operators.keyed import first_per_key, last_per_key

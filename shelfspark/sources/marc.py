@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions import rules as R
-from shelfspark.functions.text import choose_identifier, filled, none_if_empty
+from shelfspark.functions.text import choose_identifier, none_if_empty
 from shelfspark.sources.files import file_order
 
 FIELD_END, SUBFIELD, RECORD_END = "\x1e", "\x1f", "\x1d"
