@@ -180,8 +180,9 @@ t as (select x.*, coalesce(loans, 0) as loans, 'DL ' || (p_size + 1980) as publi
 
 
 def signals(t):
-    copies = marc.marc_to_copies(parsed(t), derive.SITE).withColumn("loans", F.length("barcode") * 3)
-    return jobs.acquisition_signals(catalogue(t), copies, 2026)
+    records = parsed(t)
+    copies = marc.marc_to_copies(records, derive.SITE).withColumn("loans", F.length("barcode") * 3)
+    return jobs.acquisition_signals(catalogue(t, records), copies, 2026)
 
 
 @query("signals_top_creators", f"""with {SIGNALS_SQL}

@@ -14,6 +14,7 @@ from shelfspark.operators import audit
 from shelfspark.operators.suggestions import classify_suggestions as classify
 from shelfspark.plans import jobs
 from shelfspark.plans.registry import query
+from shelfspark.session import spread
 
 
 def literal(v) -> str:
@@ -318,7 +319,7 @@ select p_partkey, case when p_partkey % 7 = 5 then '' else p_size::varchar end a
   case p_partkey % 7 when 0 then 'Le grand ' || p_type when 6 then p_name || ' vol.' || p_size else p_name end as cleaned from part""")
 def title_parts(t):
     """Seven ways to write a volume into a title."""
-    df = t.part.select("p_partkey", TITLE.spark.alias("t")).withColumn("volume", N.extract_volume(F.lit(""), "t"))
+    df = spread(t.part).select("p_partkey", TITLE.spark.alias("t")).withColumn("volume", N.extract_volume(F.lit(""), "t"))
     df = df.withColumn("series", N.extract_series("t", F.lit(""), F.lit(""), "volume"))
     return df.select("p_partkey", "volume", "series", N.clean_title("t", "volume", "series").alias("cleaned"))
 
@@ -331,7 +332,7 @@ STRICT = one_of("p_partkey", NAME + said(", tome ") + SIZE, NAME + said(" ") + S
 select p_partkey, case when p_size % 5 = 0 then 'Kept' when p_partkey % 7 not in (1, 5) then p_name end as series,
   case when p_size % 5 <> 0 and p_partkey % 7 not in (1, 5) then p_size::varchar end as volume from part""")
 def strict_series(t):
-    df = t.part.select("p_partkey", STRICT.spark.alias("t"), F.when(F.col("p_size") % 5 == 0, "Kept").alias("series"), F.lit(None).cast("string").alias("volume"))
+    df = spread(t.part).select("p_partkey", STRICT.spark.alias("t"), F.when(F.col("p_size") % 5 == 0, "Kept").alias("series"), F.lit(None).cast("string").alias("volume"))
     return N.with_strict_series(df, "t", "series", "volume").drop("t")
 
 
