@@ -9,6 +9,7 @@ from shelfspark.functions import rules as R
 from shelfspark.functions import vocab as V
 from shelfspark.functions.text import contains_any, extract, filled, none_if_empty, pub_year, text_or_empty
 from shelfspark.functions.volumes import extract_series, extract_volume
+from shelfspark.session import materialise
 from shelfspark.sources.pages import unescape_html
 
 RSS = "channel struct<item: array<struct<title: string, link: string, description: string>>>"
@@ -23,6 +24,12 @@ BIBKEYS = ("map<string, struct<title: string, authors: array<struct<name: string
            "subjects: array<struct<name: string>>>>")
 
 
+def read_once(read: DataFrame, response: str) -> DataFrame:
+    """What was read of the responses, stored without them: every mention of a value, filters
+    included, would read the whole response again."""
+    return materialise(read.drop(response), "read")
+
+
 def read_feed(responses: DataFrame, xml: str, reviews_only: bool = False) -> DataFrame:
     """Items of stored RSS responses; ``reviews_only`` keeps book links."""
     parsed = F.from_xml(F.col(xml), RSS)
@@ -56,9 +63,9 @@ def parse_marcxml(responses: DataFrame, xml: str) -> DataFrame:
     dropped before the XML is read."""
     record = F.regexp_extract(F.col(xml), "(?s)<(?:\\w+:)?record[\\s>].*?</(?:\\w+:)?record>", 0)
     inner = F.regexp_extract(F.col(xml), "(?s)<(?:\\w+:)?recordData[^>]*>\\s*(.*?)\\s*</(?:\\w+:)?recordData>", 1)
-    record = F.when(inner != "", inner).otherwise(record)
+    record = F.coalesce(none_if_empty(inner), record)
     bare = F.regexp_replace(F.regexp_replace(record, "(</?)\\w+:", "$1"), "\\sxmlns(:\\w+)?=\"[^\"]*\"", "")
-    out = responses.withColumn("_f", F.from_xml(bare, MARCXML)["datafield"])
+    out = read_once(responses.withColumn("_f", F.from_xml(bare, MARCXML)["datafield"]), xml)
 
     def first(code, *tags):
         """First value of the tags, each tag tried in turn."""
@@ -86,7 +93,7 @@ def parse_marcxml(responses: DataFrame, xml: str) -> DataFrame:
 def parse_volumes_json(responses: DataFrame, body: str) -> DataFrame:
     """First volume of ``items[].volumeInfo`` responses."""
     info = F.get(F.from_json(F.col(body), VOLUMES)["items"], F.lit(0))["volumeInfo"]
-    out = responses.withColumn("_v", info).where(F.col("_v").isNotNull())
+    out = read_once(responses.withColumn("_v", info), body).where(F.col("_v").isNotNull())
     lowered = F.transform(F.coalesce("_v.categories", F.array().cast("array<string>")), lambda c: F.lower(c))
     youth = F.exists(lowered, lambda c: contains_any(c, ("juvenile", "children", "young adult", "jeunesse")))
     genres = F.filter(F.transform(lowered, lambda c: R.first_contained(c, V.JSON_GENRES)), lambda g: g.isNotNull())
@@ -105,7 +112,7 @@ def parse_volumes_json(responses: DataFrame, body: str) -> DataFrame:
 def parse_bibkeys_json(responses: DataFrame, body: str, isbn: str) -> DataFrame:
     """``{"ISBN:x": {...}}`` responses as full candidates."""
     book = F.try_element_at(F.from_json(F.col(body), BIBKEYS), F.concat(F.lit("ISBN:"), F.col(isbn)))
-    out = responses.withColumn("_b", book).where(filled("_b.title"))
+    out = read_once(responses.withColumn("_b", book), body).where(filled("_b.title"))
     authors = F.array_join(F.transform("_b.authors", lambda a: a["name"]), " / ")
     subjects = F.array_join(F.transform("_b.subjects", lambda s: s["name"]), " ")
     nothing = F.lit("")
@@ -118,4 +125,4 @@ def parse_bibkeys_json(responses: DataFrame, body: str, isbn: str) -> DataFrame:
     out = (out.withColumn("genre", R.score_genres("title", nothing, nothing, "_s", "type"))
            .withColumn("volume", extract_volume(nothing, "title")))
     return (out.withColumn("series", extract_series(F.col("title"), nothing, nothing, F.col("volume")))
-            .withColumn("pegi", R.detect_pegi("type", "audience", nothing)).drop("_b", "_s", body))
+            .withColumn("pegi", R.detect_pegi("type", "audience", nothing)).drop("_b", "_s"))

@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import rules as R
 from shelfspark.functions import vocab as V
-from shelfspark.functions.text import col, extract, filled, none_if_empty, text_or_empty
+from shelfspark.functions.text import col, extract, filled, fixed_map, let, none_if_empty, once, text_or_empty
 from shelfspark.functions.volumes import extract_series, extract_volume
 
 
 def unescape_html(c) -> Column:
     """Named and numeric character references decoded."""
-    c = col(c)
-    common = F.create_map(*[F.lit(x) for n, p in name2codepoint.items() for x in (n, chr(p))])
-    rare = F.create_map(*[F.lit(x) for n, p in html5.items() if n.endswith(";") and n[:-1] not in name2codepoint for x in (n[:-1], p)])
+    common = fixed_map({n: chr(p) for n, p in name2codepoint.items()})
+    rare = fixed_map({n[:-1]: p for n, p in html5.items() if n.endswith(";") and n[:-1] not in name2codepoint})
 
     def decode(piece):
         name = F.regexp_extract(piece, "^(#?\\w+);", 1)
@@ -28,9 +27,11 @@ def unescape_html(c) -> Column:
         return F.when((name != "") & char.isNotNull(), F.concat(char, tail)).otherwise(
             F.concat(F.lit("&"), piece))
 
-    pieces = F.split(c, "&")
-    decoded = F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decode), "")
-    return F.when(c.contains("&"), F.concat(F.get(pieces, F.lit(0)), decoded)).otherwise(c)
+    def decoded(c):
+        text = let(F.split(c, "&"), lambda pieces: F.concat(
+            F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decode), "")))
+        return F.when(c.contains("&"), text).otherwise(c)
+    return once(c, decoded)
 
 
 def _char(code: Column) -> Column:

@@ -37,3 +37,28 @@ def test_titles_of_a_field_without_subfields(spark):
     """A field of indicators only has no subfields; the first piece never is one."""
     row = spark.range(1).select(marc._subfields(F.lit("  ")).alias("none"), marc._subfields(F.lit("  \x1fax\x1f\x1fb")).alias("two")).first()
     assert row["none"] == [] and [(s["code"], s["val"]) for s in row["two"]] == [("a", "x"), ("b", "")]
+
+
+def test_responses_are_read_once(spark):
+    """A stored response is read once, not for every value and filter that mentions what was read."""
+    from shelfspark.sources import feeds
+    xml = spark.createDataFrame([(1, '<record><datafield tag="200" ind1=" "><subfield code="a">T</subfield></datafield></record>'), (2, None)], "k int, xml string")
+    out = feeds.parse_marcxml(xml, "xml")
+    assert "from_xml" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [(r["k"], r["title"]) for r in out.collect()] == [(1, "T")]
+    body = spark.createDataFrame([("1", '{"ISBN:1": {"title": "U"}}'), ("2", "{}")], "isbn string, body string")
+    out = feeds.parse_bibkeys_json(body, "body", "isbn")
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [(r["isbn"], r["title"]) for r in out.collect()] == [("1", "U")]
+
+
+def test_expressions_given_to_helpers_are_evaluated_once(spark):
+    from shelfspark.functions import text
+    from shelfspark.functions.rules import normalise_audience
+    from shelfspark.sources.pages import unescape_html
+    df = spark.createDataFrame([("Été &amp; œuvre",), ("",), (None,)], "c string")
+    costly = F.regexp_extract("c", "(?s)(.*)", 1)
+    for helper in (text.none_if_empty, text.strip_accents, unescape_html, normalise_audience):
+        assert str(helper(costly)).count("regexp_extract(c") == 1, helper.__name__
+    got = df.select(text.none_if_empty(costly).alias("n"), text.strip_accents(costly).alias("s"), unescape_html(costly).alias("u")).collect()
+    assert [tuple(r) for r in got] == [("Été &amp; œuvre", "Ete &amp; œuvre", "Été & œuvre"), (None, "", ""), (None, None, None)]
