@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.text import (
     col, filled, fold_text, jaccard_of, leading_int, overlap_of, title_author_key, tokens,
 )
-from shelfspark.operators.keyed import attach_by_key, top_per_key
+from shelfspark.operators.keyed import attach_by_key, exact_rank, top_per_key
 from shelfspark.session import materialise
 
 
@@ -190,29 +190,161 @@ def similar_texts(left: DataFrame, left_text, right: DataFrame, right_text, thre
             .select("left_text", "right_text", "score"))
 
 
+# Fixed values of the comparison in cells: words of a block at most, blocks a side is cut into at
+# least, words of a cell compared as bits, numbers held at once while a cell is counted.
+CELL_WORDS, CELL_BLOCKS, CELL_BITS, CELL_ROOM = 4_000_000, 8, 512, 4_000_000
+
+
+def _numbered_sets(sides: list[DataFrame]) -> DataFrame:
+    """(side, set_key, n, first, ids): one row per distinct word set of a side, with its number of
+    words, its smallest key and the numbers of those of its words that the other side knows too,
+    common words having small numbers.  ``sides``: _id, words, set_key."""
+    def told(columns):
+        both = [df.select(F.lit(side).alias("side"), *columns) for side, df in enumerate(sides)]
+        return both[0].unionByName(both[1])
+    words = told([F.explode("words").alias("word")]).groupBy("word").agg(
+        F.sum(1 - F.col("side")).alias("_l"), F.sum("side").alias("_r")).where((F.col("_l") > 0) & (F.col("_r") > 0))
+    ranked = exact_rank(words.select("word", (-F.col("_l") * F.col("_r")).alias("_cost"), F.lit(0).alias("_all")), ["_all"], ["_cost", "word"], "id")
+    table = materialise(ranked.select("word", F.col("id").cast("int").alias("id")), "vocabulary")
+    key = F.unhex("set_key").alias("set_key")
+    known = (told([key, F.explode("words").alias("word")]).join(table, "word")
+             .groupBy("side", "set_key").agg(F.sort_array(F.collect_set("id")).alias("ids")))
+    every = told([key, F.size("words").alias("n"), "_id"]).groupBy("side", "set_key").agg(F.min("n").alias("n"), F.min("_id").alias("first"))
+    return materialise(every.join(known, ["side", "set_key"]), "sets")
+
+
+def _blocks(sets: DataFrame, threshold: float) -> list[tuple[int, int, int, int]]:
+    """(left band, its slices, right band, its slices) of the pairs of bands of sizes that can hold
+    similar sets: a set has at least ``threshold`` times the words of one it is similar to.  Few
+    rows, whatever the input: four bands for each division by the threshold."""
+    sizes = sets.groupBy("side", "band").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.sum(F.size("ids") + 8).alias("words")).collect()
+    total = [sum(r["words"] for r in sizes if r["side"] == side) for side in (0, 1)]
+    def slices(r):
+        return -(-r["words"] // max(1, min(CELL_WORDS, total[r["side"]] // CELL_BLOCKS)))
+    return [(a["band"], slices(a), b["band"], slices(b)) for a in sizes for b in sizes if a["side"] == 0 and b["side"] == 1
+            and max(a["low"], b["low"]) * threshold <= min(a["high"], b["high"]) + 1e-6]
+
+
+def _best_in_cell(threshold: float, method: str):
+    """Compares the left sets of a cell with its right sets; gives each left set its best right one."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def read(table):
+        ids = table.column("ids").combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        counts = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        return ids.flatten().to_numpy(zero_copy_only=False), counts, table.column("n").to_numpy().astype(np.float64)
+
+    def best(left, right):
+        # rights in the order of their keys: of equal scores the first place wins
+        right = right.take(pc.sort_indices(right, sort_keys=[("first", "ascending")], null_placement="at_start"))
+        (lw, lc, ln), (rw, rc, rn) = read(left), read(right)
+        m, k = len(ln), len(rn)
+        shared = np.intersect1d(lw, rw)
+        where, kept = [], []
+        for words, counts in ((lw, lc), (rw, rc)):
+            row = np.repeat(np.arange(len(counts)), counts)
+            here = np.isin(words, shared)
+            where.append(row[here])
+            kept.append(np.searchsorted(shared, words[here]))
+        often = [np.bincount(w, minlength=len(shared)) for w in kept]
+        order = np.argsort(-(often[0] * often[1]), kind="stable")
+        place = np.empty(len(shared), np.int64)
+        place[order] = np.arange(len(shared))
+        lwords, rwords = place[kept[0]], place[kept[1]]
+        bits = min(CELL_BITS, -(-len(shared) // 64) * 64)
+
+        def as_bits(rows, words, count):
+            out = np.zeros((count, bits // 64), np.uint64)
+            low = words < bits
+            np.bitwise_or.at(out, (rows[low], words[low] // 64), np.uint64(1) << (words[low] % 64).astype(np.uint64))
+            return out
+        lbits, rbits = as_bits(where[0], lwords, m), as_bits(where[1], rwords, k)
+        rare = lwords >= bits
+        by_word = np.argsort(lwords[rare], kind="stable")
+        holders = where[0][rare][by_word]
+        starts = np.searchsorted(lwords[rare][by_word], np.arange(len(shared) + 1))
+        rare = rwords >= bits
+        rrows, rwords = where[1][rare], rwords[rare]
+        hits = np.zeros(k + 1, np.int64)
+        np.add.at(hits, rrows + 1, starts[rwords + 1] - starts[rwords])
+        hits, ends = np.cumsum(hits), np.searchsorted(rrows, np.arange(k + 1))
+        score, found = np.full(m, -1.0), np.zeros(m, np.int64)
+        at = 0
+        while at < k:
+            # as many rights at once as the room allows, one at least
+            to = min(at + max(1, CELL_ROOM // m), k, max(at + 1, int(np.searchsorted(hits, hits[at] + CELL_ROOM, "right")) - 1))
+            common = np.zeros((to - at, m), np.uint16 if bits else np.int64)
+            for j in range(bits // 64):
+                common += np.bitwise_count(rbits[at:to, None, j] & lbits[None, :, j])
+            words, rows = rwords[ends[at]:ends[to]], rrows[ends[at]:ends[to]] - at
+            sizes = starts[words + 1] - starts[words]
+            if sizes.sum():
+                begin = np.repeat(starts[words] - (np.cumsum(sizes) - sizes), sizes)
+                code = np.repeat(rows * m, sizes) + holders[begin + np.arange(len(begin))]
+                common = common + np.bincount(code, minlength=(to - at) * m).reshape(to - at, m)
+            both = (rn[at:to, None] + ln[None, :]) if method == "jaccard" else np.maximum(rn[at:to, None], ln[None, :])
+            factor = threshold / (1 + threshold) if method == "jaccard" else threshold
+            r, l = np.nonzero(common >= both * factor - 1e-6)
+            n = common[r, l].astype(np.float64)
+            s = n / (both[r, l] - n if method == "jaccard" else both[r, l])
+            ok = s >= threshold
+            r, l, s = r[ok] + at, l[ok], s[ok]
+            pick = np.lexsort((r, -s, l))
+            r, l, s = r[pick], l[pick], s[pick]
+            top = np.r_[True, l[1:] != l[:-1]][:len(l)]
+            r, l, s = r[top], l[top], s[top]
+            better = s > score[l]
+            score[l[better]], found[l[better]] = s[better], r[better]
+            at = to
+        hit = np.nonzero(score >= 0)[0]
+        return pa.table({"set_key": left.column("set_key").take(pa.array(hit)), "right_id": right.column("first").take(pa.array(found[hit])),
+                         "score": pa.array(score[hit])})
+    return best
+
+
+def best_sets(lefts: DataFrame, rights: DataFrame, threshold: float, method: str) -> DataFrame:
+    """(set_key, right_id, score): the best right match of each left word set reaching the threshold.
+
+    Texts of many words share common ones with most others, so pairs are not written down: both
+    sides are cut into blocks by size and digest, and each pair of blocks that can hold similar sets
+    is counted in one task, the cell's commonest words as bits, the others through an index.  The
+    result equals comparing all pairs."""
+    sets = _numbered_sets([lefts, rights])
+    step = F.log(F.lit(1 / threshold)) / 4 if threshold < 1 else F.lit(1.0)
+    sets = sets.withColumn("band", F.floor(F.log("n") / step).cast("int"))
+    cells = _blocks(sets, threshold)
+    digest = F.conv(F.substring(F.hex("set_key"), 1, 8), 16, 10).cast("bigint")
+
+    def dealt(side):
+        mine = [(c[0], c[1], c[2], c[3]) if side == 0 else (c[2], c[3], c[0], c[1]) for c in cells]
+        plan = sets.sparkSession.createDataFrame(mine, "band int, slices long, other int, others long")
+        name = F.concat_ws("#", *[F.col(c) for c in (("band", "_mine", "other", "_theirs") if side == 0 else ("other", "_theirs", "band", "_mine"))])
+        return (sets.where(F.col("side") == side).join(F.broadcast(plan), "band").withColumn("_mine", digest % F.col("slices"))
+                .withColumn("_theirs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("others") - 1)))
+                .select(name, "set_key", "n", "first", "ids").toDF("cell", "set_key", "n", "first", "ids"))
+    kind = sets.schema["first"].dataType.simpleString()
+    found = dealt(0).groupBy("cell").cogroup(dealt(1).groupBy("cell")).applyInArrow(
+        _best_in_cell(threshold, method), f"set_key binary, right_id {kind}, score double")
+    return (found.groupBy("set_key").agg(F.min(F.struct((-F.col("score")).alias("loss"), "right_id")).alias("best"))
+            .select(F.lower(F.hex("set_key")).alias("set_key"), F.col("best.right_id").alias("right_id"), (-F.col("best.loss")).alias("score")))
+
+
 def fuzzy_title_match(left: DataFrame, left_key, left_text, right: DataFrame, right_key, right_text,
                       threshold: float, method: str = "jaccard") -> DataFrame:
     """Best right match of each left text reaching the threshold.
 
-    Exact and without comparing all pairs (see ``similar_sets``); equal word sets are handled once.
-    The best match of a set is a minimum, aggregated before the shuffle.  Ties go to the smallest
-    right key."""
+    Exact (see ``best_sets``); equal word sets are handled once.  Ties go to the smallest right key."""
     punct = "drop" if method == "jaccard" else "space"
     # Folding and splitting whole texts is the costly part and both sides are
     # read several times below: done once, kept in the shared folder.
     lefts = materialise(_token_sets(left, left_key, left_text, punct), "words")
     rights = materialise(_token_sets(right, right_key, right_text, punct), "words")
-    left_sets = lefts.groupBy("set_key").agg(F.first("words").alias("words"))
-    right_sets = rights.groupBy("set_key").agg(F.first("words").alias("words"))
+    best = materialise(best_sets(lefts, rights, threshold, method), "best")
     copies = lefts.groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"))
-    scored = similar_sets(left_sets, right_sets, threshold, method)
-    # the smallest key of each right set joins on the set, not on the pairs' words
-    first = rights.groupBy(F.col("set_key").alias("b")).agg(F.min("_id").alias("right_id"))
-    best = (scored.join(first, "b").groupBy(F.col("a").alias("set_key"))
-            .agg(F.min(F.struct((-F.col("score")).alias("loss"), "right_id")).alias("best"))
-            .select("set_key", F.col("best.right_id").alias("right_id"), (-F.col("best.loss")).alias("score")))
-    best = best.join(copies, "set_key")
-    return (attach_by_key(lefts.select("_id", "set_key"), best, "set_key", "copies")
+    return (attach_by_key(lefts.select("_id", "set_key"), best.join(copies, "set_key"), "set_key", "copies")
             .where(F.col("right_id").isNotNull())
             .select(F.col("_id").alias("left_id"), "right_id", "score"))
 
