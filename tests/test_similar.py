@@ -46,3 +46,32 @@ def test_a_word_of_every_item_has_few_postings(spark):
     for r in got:
         by.setdefault(r.probe, []).append((r.similar, r.common))
     assert by[200] == [(202, 4), (0, 3), (2, 3)] and by[0] == [(2, 4), (1, 3), (3, 3)]
+
+
+def test_best_match_in_a_cell_equals_all_pairs(monkeypatch):
+    """Common words as bits, rare ones through the index, few rights at once: the best of all pairs."""
+    import pyarrow as pa
+    monkeypatch.setattr(matching, "CELL_BITS", 64)
+    monkeypatch.setattr(matching, "CELL_ROOM", 50)
+    rnd = random.Random(9)
+
+    def side(count):
+        sets = [sorted(set(rnd.choices(range(150), [1 / (j + 1) for j in range(150)], k=rnd.randint(1, 25)))) for _ in range(count)]
+        return sets, [len(s) + rnd.randint(0, 2) for s in sets]
+    (a, na), (b, nb) = side(40), side(60)
+    keys = rnd.sample(range(1000), 60)
+    left = pa.table({"set_key": [bytes([i]) for i in range(40)], "n": pa.array(na, pa.int32()), "ids": pa.array(a, pa.list_(pa.int32())), "first": list(range(40))})
+    right = pa.table({"set_key": [bytes([i]) for i in range(60)], "n": pa.array(nb, pa.int32()), "ids": pa.array(b, pa.list_(pa.int32())), "first": keys})
+    for method, threshold in (("jaccard", 0.4), ("overlap", 0.5)):
+        want = {}
+        for i, x in enumerate(a):
+            scored = []
+            for j, y in enumerate(b):
+                k = len(set(x) & set(y))
+                score = k / (na[i] + nb[j] - k) if method == "jaccard" else k / max(na[i], nb[j])
+                if score >= threshold:
+                    scored.append((-score, keys[j]))
+            if scored:
+                want[bytes([i])] = (min(scored)[1], -min(scored)[0])
+        got = matching._best_in_cell(threshold, method)(left, right).to_pylist()
+        assert want and {r["set_key"]: (r["right_id"], r["score"]) for r in got} == want
