@@ -4,6 +4,7 @@ import random
 import time
 
 from shelfspark.operators import holdings, selection
+from shelfspark.plans import ordering
 
 
 def basket(rows, budget, stop_share):
@@ -96,3 +97,21 @@ def test_a_mistyped_volume_costs_one_row(spark):
     begin = time.time()
     got = holdings.missing_ranges(spark.createDataFrame(rows, "s string, v long, l long"), "s", "v", "l").collect()
     assert [tuple(r) for r in got] == [("a", 3, 1_999_999_999, 3)] and time.time() - begin < 30
+
+
+def test_repeated_suggestions_and_offers_do_not_multiply(spark):
+    """Thirty times the same suggestion and thirty equal offers are one candidate; an offer of
+    another price or volume stays, and so does one that a suggestion names by its code."""
+    offers = [(f"979{i:010d}", "Blue anvil", "Ann", "Pub", "Saga", "7", "Poche", 9.0) for i in range(30)]
+    offers += [("9791000000000", "Blue anvil", "Ann", "Pub", "Saga", "7", "Poche", 8.0), ("9792000000000", "Blue anvil", "Ann", "Pub", "Saga", "8", "Poche", 9.0)]
+    asked = [("Blue anvil", None, 5.0, "Album", "lettre", "à étudier", "2026-01-01")] * 30
+    asked += [("Blue anvil", offers[9][0], 5.0, "Album", "lettre", "à étudier", "2026-01-01")]
+    held = spark.createDataFrame([("9770000000001", "Red", "Bob", "Saga", "1", "BD", "Jeunesse", 3), (offers[0][0], "Other", "Bob", None, None, "BD", "Adulte", 3)],
+                                 "identifier string, title string, author string, series string, volume string, category string, audience string, loans long")
+    fresh = ordering.fresh_offers(spark.createDataFrame(offers, "isbn string, title string, author string, publisher string, series string, volume string, support string, price double"),
+                                  ordering.with_keys(held))
+    distinct = ordering.one_of_equals(fresh)
+    suggested = spark.createDataFrame(asked, "title string, isbn string, price double, motive string, source string, status string, added string")
+    got = ordering.suggested_phase(suggested, fresh, distinct)
+    # the first copy is held, so the second stands for them
+    assert sorted(r.isbn for r in got.collect()) == [offers[1][0], offers[9][0], "9791000000000", "9792000000000"]
