@@ -62,3 +62,26 @@ def test_expressions_given_to_helpers_are_evaluated_once(spark):
         assert str(helper(costly)).count("regexp_extract(c") == 1, helper.__name__
     got = df.select(text.none_if_empty(costly).alias("n"), text.strip_accents(costly).alias("s"), unescape_html(costly).alias("u")).collect()
     assert [tuple(r) for r in got] == [("Été &amp; œuvre", "Ete &amp; œuvre", "Été & œuvre"), (None, "", ""), (None, None, None)]
+
+
+def test_audience_forms_written_plainly_need_no_folding(spark):
+    """The forms of the table are what folding makes of them, so a value equal to one but for
+    capitals may skip it."""
+    from shelfspark.functions import text
+    from shelfspark.functions import vocab as V
+    forms = spark.createDataFrame([(k,) for k in V.AUDIENCE_FORMS], "c string")
+    assert all(V.AUDIENCE_FORMS.values())
+    assert [r.k for r in forms.select(text.fold_key("c").alias("k")).collect()] == list(V.AUDIENCE_FORMS)
+
+
+def test_values_of_a_copy_are_read_in_one_walk(spark):
+    """The last value of a code counts, the first copy with an audience gives the title's."""
+    def copy(*subs):
+        return ("995", [*subs])
+    df = spark.createDataFrame([(1, [copy(("a", "S"), ("f", "A"), ("f", "B"), ("l", "")), copy(("a", "T"), ("l", "Adulte")),
+                                     copy(("a", "T"), ("a", "S"), ("l", "JEUNE "), ("w", "Jeu")), copy(("f", "C"))])],
+                               "record_id long, fields array<struct<tag: string, sub: array<struct<code: string, val: string>>>>")
+    title = marc.marc_to_titles(df, "S", "x").first()
+    assert (title.identifier, title.audience, title.kind) == ("CB:B", "Jeunesse", "JEU")
+    assert [(r.barcode, r.audience) for r in marc.marc_to_copies(df, "S").orderBy("copy_pos").collect()] == [("B", ""), (None, "Jeunesse")]
+    assert str(marc.local_copies("S")).count("filter(") <= 2
