@@ -57,3 +57,11 @@ def test_stored_rows_are_read_in_as_many_tasks_as_dealt(spark):
         assert session.read_widely(spark).conf.get(session.READ_PARTS) == "3"
     finally:
         spark.conf.unset(session.READ_PARTS) if before is None else spark.conf.set(session.READ_PARTS, before)
+
+
+def test_values_of_a_record_are_mapped_by_their_use(spark):
+    """Last values, empty ones too, and first values that are not empty, each of their own fields."""
+    df = spark.createDataFrame([(1, [("200", [("a", "x"), ("a", "")]), ("214", [("c", ""), ("c", "new")]), ("210", [("c", "old"), ("d", "1")])])],
+                               "record_id long, fields array<struct<tag string, sub array<struct<code string, val string>>>>")
+    row = marc.with_values(df, ("200",), ("210", "214")).first()
+    assert row["_last"] == {"200a": ""} and row["_first"] == {"210c": "new", "210d": "1"}
