@@ -65,3 +65,14 @@ def test_values_of_a_record_are_mapped_by_their_use(spark):
                                "record_id long, fields array<struct<tag string, sub array<struct<code string, val string>>>>")
     row = marc.with_values(df, ("200",), ("210", "214")).first()
     assert row["_last"] == {"200a": ""} and row["_first"] == {"210c": "new", "210d": "1"}
+
+
+def test_report_joins_codes_to_titles_once(spark):
+    """Firsts and repeats of a code are outcomes of one pass; each was a join of all codes."""
+    from shelfspark.operators import audit
+    rows = spark.createDataFrame([("a", "a", 1), ("a", "a", 2), ("b", "b", 3), ("x", None, 4), (None, None, 5)], "raw string, code string, pos int")
+    known = spark.createDataFrame([("a",), ("a",), ("c",)], "identifier string")
+    report = audit.import_report(rows, "raw", "code", "pos", known, "identifier")
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert {r["reason"]: r["rows"] for r in report.collect()} == {
+        "updated": 1, "out_of_scope": 1, "duplicate_in_file": 1, "invalid_identifier": 1, "no_identifier": 1}
