@@ -67,6 +67,28 @@ def test_dead_chains_do_not_prolong_the_rounds(spark, monkeypatch):
     assert len(written) < 10
 
 
+def test_many_prices_are_listed_in_bounded_rounds(spark, monkeypatch):
+    """Three thousand offers, each of its own price, answer three hundred questions: a round lists a
+    fixed number of them, and questions whose first offers are refused go on behind these."""
+    monkeypatch.setattr(selection, "SLACK", 2)
+    monkeypatch.setattr(selection, "LISTED", 100, raising=False)
+    rnd = random.Random(7)
+    rows = [(i, 5 + rnd.randint(0, 5000) / 100, rnd.choice((f"k{i % 400}", "hot", None)), f"s{i // 10}" if i % 600 < 500 else None,
+             f"c{i // 30}" if i % 4000 > 1500 else None, i // 10 % 3 + 1 if i % 4000 > 1500 else None) for i in range(3000)]
+    sizes = []
+    materialise = selection.materialise
+
+    def counted(df, label):
+        stored = materialise(df, label)
+        sizes.append(stored.count())
+        return stored
+    monkeypatch.setattr(selection, "materialise", counted)
+    df = spark.createDataFrame([("g", *r) for r in rows], "g string, o int, price double, k string, slot string, chain string, step int")
+    got = selection.budget_select(df, "g", "price", ["o"], 2500.0, ("k",), 0.995, slot="slot", chain="chain", step="step")
+    assert {r.o for r in got.collect()} == basket(rows, 2500.0, 0.995)
+    assert max(sizes) <= 100 and len(sizes) > 2
+
+
 def ranges(rows, least):
     out = []
     for series in {s for s, _, _ in rows}:
