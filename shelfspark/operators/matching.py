@@ -191,8 +191,9 @@ def similar_texts(left: DataFrame, left_text, right: DataFrame, right_text, thre
 
 
 # Fixed values of the comparison in cells: words of a block at most, blocks a side is cut into at
-# least, words of a cell compared as bits, numbers held at once while a cell is counted.
-CELL_WORDS, CELL_BLOCKS, CELL_BITS, CELL_ROOM = 4_000_000, 8, 512, 4_000_000
+# least, commonest words of a cell compared as bits, numbers held at once while a cell is counted,
+# hits among its rarest words that a pair needs to be counted.
+CELL_WORDS, CELL_BLOCKS, CELL_BITS, CELL_ROOM, CELL_HITS = 4_000_000, 8, 512, 2_000_000, 8
 
 
 def _numbered_sets(sides: list[DataFrame]) -> DataFrame:
@@ -226,79 +227,123 @@ def _blocks(sets: DataFrame, threshold: float) -> list[tuple[int, int, int, int]
 
 
 def _best_in_cell(threshold: float, method: str):
-    """Compares the left sets of a cell with its right sets; gives each left set its best right one."""
+    """Compares the left sets of a cell with its right sets; gives each left set its best right one.
+
+    Two sets that must share k words share ``asked`` of them within the rarest (size - k + asked) of
+    each, so only these are looked up in an index, and pairs that have so many hits are counted whole."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    def needed(a, b):
+        """How many words sets of these sizes must share."""
+        wanted = (a + b) * (threshold / (1 + threshold)) if method == "jaccard" else np.maximum(a, b) * threshold
+        return np.maximum(np.ceil(wanted - 1e-6), 1).astype(np.int64)
+
+    def score_of(shared, a, b):
+        return shared / (a + b - shared if method == "jaccard" else np.maximum(a, b))
+
     def read(table):
         ids = table.column("ids").combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         counts = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
         return ids.flatten().to_numpy(zero_copy_only=False), counts, table.column("n").to_numpy().astype(np.float64)
 
+    def flat(starts, sizes):
+        """The places start, start + 1, ... of all ranges, one range behind the other."""
+        return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+    class Side:
+        """Words of the sets that both sides of the cell hold, rarest last; of each set the words it is found by."""
+
+        def __init__(self, words, counts, n, place, known, least, asked):
+            here = known[words]
+            row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[here]
+            self.words, self.n = place[words[here]], n
+            self.sizes = np.bincount(row, minlength=len(counts))
+            self.ends = np.cumsum(self.sizes)
+            self.starts = self.ends - self.sizes
+            must = needed(n, least)
+            found_by = np.where(self.sizes >= must, self.sizes - must + asked, 0)
+            self.most = int(found_by.max(initial=0))
+            at = np.arange(len(row), dtype=np.int32) >= (self.ends - found_by).astype(np.int32)[row]
+            self.rare, self.rare_row = self.words[at], row[at]
+            low = self.words < bits
+            self.bits = np.zeros((len(counts), bits // 64), np.uint64)
+            np.bitwise_or.at(self.bits, (row[low], self.words[low] // 64), np.uint64(1) << (self.words[low] % 64).astype(np.uint64))
+            self.others = self.sizes - np.bincount(row[low], minlength=len(counts))
+    bits = CELL_BITS
+
     def best(left, right):
         # rights in the order of their keys: of equal scores the first place wins
         right = right.take(pc.sort_indices(right, sort_keys=[("first", "ascending")], null_placement="at_start"))
         (lw, lc, ln), (rw, rc, rn) = read(left), read(right)
         m, k = len(ln), len(rn)
-        shared = np.intersect1d(lw, rw)
-        where, kept = [], []
-        for words, counts in ((lw, lc), (rw, rc)):
-            row = np.repeat(np.arange(len(counts)), counts)
-            here = np.isin(words, shared)
-            where.append(row[here])
-            kept.append(np.searchsorted(shared, words[here]))
-        often = [np.bincount(w, minlength=len(shared)) for w in kept]
-        order = np.argsort(-(often[0] * often[1]), kind="stable")
-        place = np.empty(len(shared), np.int64)
-        place[order] = np.arange(len(shared))
-        lwords, rwords = place[kept[0]], place[kept[1]]
-        bits = min(CELL_BITS, -(-len(shared) // 64) * 64)
-
-        def as_bits(rows, words, count):
-            out = np.zeros((count, bits // 64), np.uint64)
-            low = words < bits
-            np.bitwise_or.at(out, (rows[low], words[low] // 64), np.uint64(1) << (words[low] % 64).astype(np.uint64))
-            return out
-        lbits, rbits = as_bits(where[0], lwords, m), as_bits(where[1], rwords, k)
-        rare = lwords >= bits
-        by_word = np.argsort(lwords[rare], kind="stable")
-        holders = where[0][rare][by_word]
-        starts = np.searchsorted(lwords[rare][by_word], np.arange(len(shared) + 1))
-        rare = rwords >= bits
-        rrows, rwords = where[1][rare], rwords[rare]
-        hits = np.zeros(k + 1, np.int64)
-        np.add.at(hits, rrows + 1, starts[rwords + 1] - starts[rwords])
-        hits, ends = np.cumsum(hits), np.searchsorted(rrows, np.arange(k + 1))
-        score, found = np.full(m, -1.0), np.zeros(m, np.int64)
+        known = np.zeros(1 + max(lw.max(initial=0), rw.max(initial=0)), bool)
+        theirs = known.copy()
+        known[lw], theirs[rw] = True, True
+        known &= theirs
+        del theirs
+        place = np.cumsum(known, dtype=np.int32) - 1
+        least = needed(ln.min(), rn.min())
+        asked = int(min(max(CELL_HITS, least // 14), least))      # large sets share more words by chance
+        a, b = Side(lw, lc, ln, place, known, rn.min(), asked), Side(rw, rc, rn, place, known, ln.min(), asked)
+        del lw, rw, known
+        first = np.zeros(int(place[-1]) + 2, np.int32)
+        np.cumsum(np.bincount(a.rare, minlength=len(first) - 1), out=first[1:])
+        holders = a.rare_row[np.argsort(a.rare, kind="stable")]
+        sizes = first[b.rare + 1] - first[b.rare]
+        some = sizes > 0
+        begins, sizes, rows = first[b.rare[some]], sizes[some], b.rare_row[some]
+        hits = np.concatenate([[0], np.cumsum(np.bincount(rows, sizes, minlength=k))]).astype(np.int64)
+        ends = np.searchsorted(rows, np.arange(k + 1))
+        kind = np.uint8 if min(a.most, b.most) < 256 else np.int32
+        score, found, mark = np.full(m, -1.0), np.zeros(m, np.int64), np.zeros(len(first), bool)
+        room = -(-m // 8) * 8      # a row of the counts, whole words of eight bytes
         at = 0
         while at < k:
             # as many rights at once as the room allows, one at least
-            to = min(at + max(1, CELL_ROOM // m), k, max(at + 1, int(np.searchsorted(hits, hits[at] + CELL_ROOM, "right")) - 1))
-            common = np.zeros((to - at, m), np.uint16 if bits else np.int64)
+            to = min(at + max(1, CELL_ROOM // room), k, max(at + 1, int(np.searchsorted(hits, hits[at] + CELL_ROOM, "right")) - 1))
+            if hits[to] == hits[at]:
+                at = to
+                continue
+            part = slice(ends[at], ends[to])
+            times = np.zeros((to - at) * room, kind)
+            np.add.at(times, np.repeat((rows[part].astype(np.int64) - at) * room, sizes[part]) + holders[flat(begins[part], sizes[part])], kind(1))
+            enough = np.flatnonzero((times >= asked).view(np.uint64))
+            code = (enough[:, None] * 8 + np.arange(8)).ravel()
+            code = code[times[code] >= asked]
+            r, l = code // room + at, code % room
+            at = to
+            # the commonest words as bits bound what the pair can share, and that must beat the best so far
+            most = np.zeros(len(r), np.int64)
             for j in range(bits // 64):
-                common += np.bitwise_count(rbits[at:to, None, j] & lbits[None, :, j])
-            words, rows = rwords[ends[at]:ends[to]], rrows[ends[at]:ends[to]] - at
-            sizes = starts[words + 1] - starts[words]
-            if sizes.sum():
-                begin = np.repeat(starts[words] - (np.cumsum(sizes) - sizes), sizes)
-                code = np.repeat(rows * m, sizes) + holders[begin + np.arange(len(begin))]
-                common = common + np.bincount(code, minlength=(to - at) * m).reshape(to - at, m)
-            both = (rn[at:to, None] + ln[None, :]) if method == "jaccard" else np.maximum(rn[at:to, None], ln[None, :])
-            factor = threshold / (1 + threshold) if method == "jaccard" else threshold
-            r, l = np.nonzero(common >= both * factor - 1e-6)
-            n = common[r, l].astype(np.float64)
-            s = n / (both[r, l] - n if method == "jaccard" else both[r, l])
+                most += np.bitwise_count(b.bits[r, j] & a.bits[l, j])
+            most += np.minimum(a.others[l], b.others[r])
+            ok = (most >= needed(ln[l], rn[r])) & (score_of(most, ln[l], rn[r]) > score[l])
+            r, l = r[ok], l[ok]
+            if not len(r):
+                continue
+            shared = np.zeros(len(r), np.int64)
+            turns = np.flatnonzero(np.r_[True, r[1:] != r[:-1], True])
+            for one, end in zip(turns[:-1], turns[1:]):
+                mine = b.words[b.starts[r[one]]:b.ends[r[one]]]
+                mark[mine] = True
+                step = max(1, CELL_ROOM // int(a.sizes[l[one:end]].max()))
+                for i in range(one, end, step):
+                    some = l[i:min(end, i + step)]
+                    counts = a.sizes[some]
+                    shared[i:i + len(some)] = np.add.reduceat(mark[a.words[flat(a.starts[some], counts)]], np.cumsum(counts) - counts, dtype=np.int64)
+                mark[mine] = False
+            s = score_of(shared, ln[l], rn[r])
             ok = s >= threshold
-            r, l, s = r[ok] + at, l[ok], s[ok]
+            r, l, s = r[ok], l[ok], s[ok]
             pick = np.lexsort((r, -s, l))
             r, l, s = r[pick], l[pick], s[pick]
             top = np.r_[True, l[1:] != l[:-1]][:len(l)]
             r, l, s = r[top], l[top], s[top]
             better = s > score[l]
             score[l[better]], found[l[better]] = s[better], r[better]
-            at = to
         hit = np.nonzero(score >= 0)[0]
         return pa.table({"set_key": left.column("set_key").take(pa.array(hit)), "right_id": right.column("first").take(pa.array(found[hit])),
                          "score": pa.array(score[hit])})

@@ -1,6 +1,7 @@
 """Most similar items against a plain count; a word that every item holds."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -75,3 +76,44 @@ def test_best_match_in_a_cell_equals_all_pairs(monkeypatch):
                 want[bytes([i])] = (min(scored)[1], -min(scored)[0])
         got = matching._best_in_cell(threshold, method)(left, right).to_pylist()
         assert want and {r["set_key"]: (r["right_id"], r["score"]) for r in got} == want
+
+
+def zipf_sets(seed, count, size, vocabulary):
+    """Word sets as texts have them: common words in most, rare ones in few."""
+    import numpy as np
+    rnd = np.random.default_rng(seed)
+    ids = np.minimum((np.exp(rnd.random((count, size)) * np.log(vocabulary))).astype(np.int64), vocabulary) + rnd.integers(0, 40, (count, size))
+    return [sorted(set(row.tolist())) for row in ids]
+
+
+def cell_side(sets):
+    import pyarrow as pa
+    return pa.table({"set_key": [i.to_bytes(4) for i in range(len(sets))], "n": pa.array([len(s) for s in sets], pa.int32()),
+                     "ids": pa.array(sets, pa.list_(pa.int32())), "first": list(range(len(sets)))})
+
+
+def test_pairs_that_share_common_words_are_not_counted_whole():
+    """Of 81 million pairs one is similar; the others are not worth counting."""
+    sets = zipf_sets(1, 18_000, 250, 300_000)
+    left, right = sets[:9000], sets[9000:]
+    right[77] = left[5][:-3] + [900_001]
+    for method, threshold in (("jaccard", 0.6), ("overlap", 0.5)):
+        begin = time.process_time()
+        got = matching._best_in_cell(threshold, method)(cell_side(left), cell_side(right)).to_pylist()
+        assert time.process_time() - begin < 2.5
+        assert (5).to_bytes(4) in {r["set_key"] for r in got if r["right_id"] == 77}
+
+
+def test_sets_of_many_equal_words_in_a_cell():
+    """More words in common than a byte counts."""
+    sets = zipf_sets(2, 6, 2500, 10 ** 6)
+    left = sets + [s[: len(s) * 7 // 10] for s in sets]
+    right = [s[len(s) // 10:] for s in sets] + sets[:2]
+    for method, score in (("jaccard", lambda a, b: len(a & b) / len(a | b)), ("overlap", lambda a, b: len(a & b) / max(len(a), len(b)))):
+        got = matching._best_in_cell(0.5, method)(cell_side(left), cell_side(right)).to_pylist()
+        want = {}
+        for i, a in enumerate(left):
+            top = min((-score(set(a), set(b)), j) for j, b in enumerate(right))
+            if -top[0] >= 0.5:
+                want[i.to_bytes(4)] = (top[1], -top[0])
+        assert want and {r["set_key"]: (r["right_id"], r["score"]) for r in got} == want
