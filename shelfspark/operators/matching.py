@@ -9,7 +9,7 @@ from shelfspark.functions.text import (
     col, filled, fold_text, jaccard_of, leading_int, overlap_of, title_author_key, tokens,
 )
 from shelfspark.operators.keyed import attach_by_key, exact_rank, top_per_key
-from shelfspark.session import materialise
+from shelfspark.session import arrow_place, materialise, scratch
 
 
 def bare_code(c) -> Column:
@@ -192,14 +192,44 @@ def similar_texts(left: DataFrame, left_text, right: DataFrame, right_text, thre
 
 # Fixed values of the comparison in cells: words of a block at most, blocks a side is cut into at
 # least, commonest words of a cell compared as bits, numbers held at once while a cell is counted,
-# hits among its rarest words that a pair needs to be counted.
-CELL_WORDS, CELL_BLOCKS, CELL_BITS, CELL_ROOM, CELL_HITS = 4_000_000, 8, 512, 2_000_000, 8
+# hits among its rarest words that a pair needs to be counted, words numbered without a shuffle.
+CELL_WORDS, CELL_BLOCKS, CELL_BITS, CELL_ROOM, CELL_HITS, COMMON_WORDS = 4_000_000, 8, 512, 2_000_000, 8, 262_144
+CELL_TASKS = 2_000
 
 
-def _numbered_sets(sides: list[DataFrame]) -> DataFrame:
-    """(side, set_key, n, first, ids): one row per distinct word set of a side, with its number of
-    words, its smallest key and the numbers of those of its words that the other side knows too,
-    common words having small numbers.  ``sides``: _id, words, set_key."""
+def _numbers(common: list[str]):
+    """The numbers (1, 2, ...) of the ``common`` words of each row, and its other words."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        table = pa.array(common, pa.string())
+        for batch in batches:
+            words = batch.column("words")
+            flat, counts = words.flatten(), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(counts)), counts)
+            ids = pc.fill_null(pc.index_in(flat, value_set=table), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            at = ids > 0
+            inside = np.sort(row[at] * (len(common) + 1) + ids[at])
+
+            def lists(rows, values):
+                ends = np.cumsum(np.bincount(rows, minlength=len(counts)))
+                return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("side", "set_key", "n", "first")],
+                 lists(row[at], pa.array(inside % (len(common) + 1), pa.int32())), lists(row[~at], flat.filter(pa.array(~at)))],
+                names=["side", "set_key", "n", "first", "ids", "rest"])
+    return run
+
+
+def _numbered_sets(sides: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(side, set_key, n, first, ids, rest): of each text the digest of its words, their number, its
+    key, the numbers of its commonest words and its other words; and (side, set_key, more), the
+    numbers of those of the other words that both sides know.  Common words have small numbers.
+
+    A fixed number of words, which make up most of all texts, is looked up where the texts are; only
+    the others are shuffled to be numbered.  ``sides``: _id, words, set_key."""
     def told(columns):
         both = [df.select(F.lit(side).alias("side"), *columns) for side, df in enumerate(sides)]
         return both[0].unionByName(both[1])
@@ -207,23 +237,32 @@ def _numbered_sets(sides: list[DataFrame]) -> DataFrame:
         F.sum(1 - F.col("side")).alias("_l"), F.sum("side").alias("_r")).where((F.col("_l") > 0) & (F.col("_r") > 0))
     ranked = exact_rank(words.select("word", (-F.col("_l") * F.col("_r")).alias("_cost"), F.lit(0).alias("_all")), ["_all"], ["_cost", "word"], "id")
     table = materialise(ranked.select("word", F.col("id").cast("int").alias("id")), "vocabulary")
-    key = F.unhex("set_key").alias("set_key")
-    known = (told([key, F.explode("words").alias("word")]).join(table, "word")
-             .groupBy("side", "set_key").agg(F.sort_array(F.collect_set("id")).alias("ids")))
-    every = told([key, F.size("words").alias("n"), "_id"]).groupBy("side", "set_key").agg(F.min("n").alias("n"), F.min("_id").alias("first"))
-    return materialise(every.join(known, ["side", "set_key"]), "sets")
-
-
-def _blocks(sets: DataFrame, threshold: float) -> list[tuple[int, int, int, int]]:
-    """(left band, its slices, right band, its slices) of the pairs of bands of sizes that can hold
-    similar sets: a set has at least ``threshold`` times the words of one it is similar to.  Few
-    rows, whatever the input: four bands for each division by the threshold."""
-    sizes = sets.groupBy("side", "band").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.sum(F.size("ids") + 8).alias("words")).collect()
+    common = [r["word"] for r in table.where(F.col("id") <= COMMON_WORDS).orderBy("id").collect()]
+    rows = told([F.unhex("set_key").alias("set_key"), F.size("words").alias("n"), F.col("_id").alias("first"), "words"])
+    kind = rows.schema["first"].dataType.simpleString()
+    numbered = materialise(rows.mapInArrow(
+        _numbers(common), f"side int, set_key binary, n int, first {kind}, ids array<int>, rest array<string>"), "numbered")
+    more = (numbered.select("side", "set_key", F.explode("rest").alias("word")).join(table.where(F.col("id") > COMMON_WORDS), "word")
+            .groupBy("side", "set_key").agg(F.sort_array(F.collect_set("id")).alias("more")))
+    return numbered, more
+
+
+def _blocks(sets: DataFrame, threshold: float) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """(side, band, first block, blocks) of the bands of sizes, and the cells, pairs of blocks that can
+    hold similar sets: a set has at least ``threshold`` times the words of one it is similar to.  Few
+    rows, whatever the input: four bands for each division by the threshold.  Large cells come first."""
+    sizes = sets.groupBy("side", "band").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.sum(F.col("n") + 8).alias("words")).collect()
     total = [sum(r["words"] for r in sizes if r["side"] == side) for side in (0, 1)]
-    def slices(r):
-        return -(-r["words"] // max(1, min(CELL_WORDS, total[r["side"]] // CELL_BLOCKS)))
-    return [(a["band"], slices(a), b["band"], slices(b)) for a in sizes for b in sizes if a["side"] == 0 and b["side"] == 1
-            and max(a["low"], b["low"]) * threshold <= min(a["high"], b["high"]) + 1e-6]
+    plan, weight = {}, []
+    for r in sorted(sizes, key=lambda r: (r["side"], r["band"])):
+        slices = -(-r["words"] // max(1, min(CELL_WORDS, total[r["side"]] // CELL_BLOCKS)))
+        plan[r["side"], r["band"]] = range(len(weight), len(weight) + slices)
+        weight += [r["words"] / slices / r["low"]] * slices
+    cells = [(i, j) for a in sizes for b in sizes if a["side"] == 0 and b["side"] == 1
+             and max(a["low"], b["low"]) * threshold <= min(a["high"], b["high"]) + 1e-6
+             for i in plan[0, a["band"]] for j in plan[1, b["band"]]]
+    cells.sort(key=lambda c: -weight[c[0]] * weight[c[1]])
+    return [(side, band, blocks.start, len(blocks)) for (side, band), blocks in plan.items()], cells
 
 
 def _best_in_cell(threshold: float, method: str):
@@ -350,33 +389,59 @@ def _best_in_cell(threshold: float, method: str):
     return best
 
 
+def _in_cells(folder: str, cells: list[tuple[int, int]], compare):
+    """Reads the two blocks of each cell from the shared folder and compares them."""
+    def run(batches):
+        import pyarrow.parquet as pq
+        fs, inner = arrow_place(folder)
+
+        def read(block):
+            path = f"{inner}/block={block}"
+            if fs.get_file_info(path).type.name == "NotFound":     # a slice that no set fell into
+                return None
+            return pq.read_table(path, filesystem=fs, columns=["set_key", "n", "first", "ids"], partitioning=None)
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
+                left, right = (read(block) for block in cells[number])
+                if left is not None and right is not None:
+                    yield from compare(left, right).to_batches()
+    return run
+
+
 def best_sets(lefts: DataFrame, rights: DataFrame, threshold: float, method: str) -> DataFrame:
     """(set_key, right_id, score): the best right match of each left word set reaching the threshold.
 
     Texts of many words share common ones with most others, so pairs are not written down: both
-    sides are cut into blocks by size and digest, and each pair of blocks that can hold similar sets
-    is counted in one task, the cell's commonest words as bits, the others through an index.  The
-    result equals comparing all pairs."""
-    sets = _numbered_sets([lefts, rights])
+    sides are cut into blocks by size and digest, stored once in the shared folder, and each pair of
+    blocks that can hold similar sets is read and compared in one task.  The result equals comparing
+    all pairs."""
+    spark = lefts.sparkSession
+    numbered, more = _numbered_sets([lefts, rights])
     step = F.log(F.lit(1 / threshold)) / 4 if threshold < 1 else F.lit(1.0)
-    sets = sets.withColumn("band", F.floor(F.log("n") / step).cast("int"))
-    cells = _blocks(sets, threshold)
+    numbered = numbered.withColumn("band", F.floor(F.log("n") / step).cast("int"))
+    bands, cells = _blocks(numbered, threshold)
+    plan = spark.createDataFrame(bands, "side int, band int, begin int, slices int")
+    # one row for each distinct word set of a side, with the words that the other side knows too
+    every = numbered.groupBy("side", "set_key").agg(F.min("n").alias("n"), F.min("band").alias("band"), F.min("first").alias("first"), F.first("ids").alias("ids"))
+    sets = (every.join(more, ["side", "set_key"], "left")
+            .withColumn("ids", F.concat("ids", F.coalesce("more", F.array().cast("array<int>")))).where(F.size("ids") > 0))
     digest = F.conv(F.substring(F.hex("set_key"), 1, 8), 16, 10).cast("bigint")
-
-    def dealt(side):
-        mine = [(c[0], c[1], c[2], c[3]) if side == 0 else (c[2], c[3], c[0], c[1]) for c in cells]
-        plan = sets.sparkSession.createDataFrame(mine, "band int, slices long, other int, others long")
-        name = F.concat_ws("#", *[F.col(c) for c in (("band", "_mine", "other", "_theirs") if side == 0 else ("other", "_theirs", "band", "_mine"))])
-        return (sets.where(F.col("side") == side).join(F.broadcast(plan), "band").withColumn("_mine", digest % F.col("slices"))
-                .withColumn("_theirs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("others") - 1)))
-                .select(name, "set_key", "n", "first", "ids").toDF("cell", "set_key", "n", "first", "ids"))
-    kind = sets.schema["first"].dataType.simpleString()
-    found = dealt(0).groupBy("cell").cogroup(dealt(1).groupBy("cell")).applyInArrow(
-        _best_in_cell(threshold, method), f"set_key binary, right_id {kind}, score double")
+    count = sum(b[3] for b in bands)
+    folder = scratch(spark, "blocks")
+    (sets.join(F.broadcast(plan), ["side", "band"]).select((F.col("begin") + digest % F.col("slices")).cast("int").alias("block"), "set_key", "n", "first", "ids")
+     .repartition(max(count, 1), "block").write.partitionBy("block").parquet(folder))
+    kind = numbered.schema["first"].dataType.simpleString()
+    found = (spark.range(0, len(cells), 1, min(max(len(cells), 1), CELL_TASKS))
+             .mapInArrow(_in_cells(folder, _dealt(cells, CELL_TASKS), _best_in_cell(threshold, method)), f"set_key binary, right_id {kind}, score double"))
     return (found.groupBy("set_key").agg(F.min(F.struct((-F.col("score")).alias("loss"), "right_id")).alias("best"))
             .select(F.lower(F.hex("set_key")).alias("set_key"), F.col("best.right_id").alias("right_id"), (-F.col("best.loss")).alias("score")))
 
 
+def _dealt(cells: list, hands: int) -> list:
+    """The cells in another order: cut into as many runs, each has large and small ones."""
+    return [cell for hand in range(min(hands, len(cells))) for cell in cells[hand::hands]]
+
+
 def fuzzy_title_match(left: DataFrame, left_key, left_text, right: DataFrame, right_key, right_text,
                       threshold: float, method: str = "jaccard") -> DataFrame:
     """Best right match of each left text reaching the threshold.

@@ -117,3 +117,34 @@ def test_sets_of_many_equal_words_in_a_cell():
             if -top[0] >= 0.5:
                 want[i.to_bytes(4)] = (top[1], -top[0])
         assert want and {r["set_key"]: (r["right_id"], r["score"]) for r in got} == want
+
+
+def test_blocks_are_stored_once_whatever_the_number_of_cells(spark, monkeypatch):
+    """Small blocks make many cells; every set is in one stored row, and the matches are those of all pairs."""
+    monkeypatch.setattr(matching, "CELL_WORDS", 150)
+    monkeypatch.setattr(matching, "COMMON_WORDS", 30, raising=False)
+    folders = []
+    if hasattr(matching, "scratch"):
+        scratch = matching.scratch
+        monkeypatch.setattr(matching, "scratch", lambda *a: folders.append(scratch(*a)) or folders[-1])
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(120)]
+
+    def texts(count):
+        return [" ".join(rnd.choices(words, [1 / (j + 1) for j in range(120)], k=rnd.randint(1, 30))) for _ in range(count)]
+    a, b = texts(60), texts(80) + ["nobody else knows"]
+    b[3] = a[7]
+    L, R = spark.createDataFrame(list(enumerate(a)), "id int, t string"), spark.createDataFrame(list(enumerate(b)), "id int, t string")
+    for method, threshold in (("jaccard", 0.5), ("overlap", 0.4)):
+        want = {}
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                x1, y1 = set(x.split()), set(y.split())
+                s = len(x1 & y1) / (len(x1 | y1) if method == "jaccard" else max(len(x1), len(y1)))
+                if s >= threshold and (i not in want or s > want[i][1]):
+                    want[i] = (j, s)
+        got = matching.fuzzy_title_match(L, "id", "t", R, "id", "t", threshold, method).collect()
+        assert {r.left_id: (r.right_id, round(r.score, 9)) for r in got} == {k: (j, round(s, 9)) for k, (j, s) in want.items()}
+        stored = spark.read.parquet(folders[-1])
+        assert stored.select("block").distinct().count() > 12
+        assert stored.count() == len({frozenset(t.split()) for t in a}) + len({frozenset(t.split()) for t in b[:-1]})
