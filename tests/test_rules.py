@@ -57,6 +57,13 @@ def test_genre_expressions_do_not_nest():
         assert len(set(words)) == len(words)
 
 
+def test_dropping_all_but_letters_and_digits(spark):
+    texts = [None, "", "   ", "!!", "l'été", "a\nb\tc", "½ № Ⅳ", "日本 a 😀 b", " x ", "İstanbul ß", "a-b_c  d", " 'a' "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.trim(F.regexp_replace(F.lower(X.strip_accents(X.text_or_empty("t"))), "[^a-z0-9 ]", ""))
+    assert all(r.a == r.b for r in df.select(X.fold_text("t", "drop").alias("a"), plain.alias("b")).collect())
+
+
 def test_fuzzy_match_equals_brute_force(spark):
     import itertools
     import random
